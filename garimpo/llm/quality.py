@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import crc32_of_id
 
-PAIR_COLUMNS, SHAPE_COLUMNS, REPEAT_COLUMNS = 1_536, 448, 64
-COLUMNS = PAIR_COLUMNS + SHAPE_COLUMNS + REPEAT_COLUMNS
+#: Shares of repeated words or lines from which a step counts, and what a step weighs beside all other terms.
+STEPS = np.array([0.05, 0.1, 0.2, 0.3, 0.5, 0.7])
+STEP_WEIGHT = 0.5
+PAIR_COLUMNS, SHAPE_COLUMNS = 1_536, 448
+COLUMNS = PAIR_COLUMNS + SHAPE_COLUMNS + 2 * len(STEPS)
 #: The bound on labelled documents that the vectors are fitted on and that vote.
 SAMPLE = 4_000
 RANK = 48
@@ -51,14 +54,12 @@ def features(text: str | None) -> np.ndarray:
         out[PAIR_COLUMNS + zlib.crc32(_RUNS.sub(rb"\1+", w)) % SHAPE_COLUMNS] += n
     total = max(1, len(raw))
     out = np.log1p(out * (1000.0 / total)).astype(np.float32)
-    # repetition: shares of words and lines that occurred before, in steps
+    # repetition: how large a share of words repeats the word before, and of lines any line before
     plain = raw.split()
     lines = [x for x in raw.split(b"\n") if x]
-    for i, xs in enumerate((plain, lines)):
-        share = 1 - len(set(xs)) / max(1, len(xs))
-        out[PAIR_COLUMNS + SHAPE_COLUMNS + 16 * i + min(15, int(share * 16))] += 2.0
-    out[PAIR_COLUMNS + SHAPE_COLUMNS + 32 + min(15, int(np.log2(1 + len(plain))))] += 0.5
-    out[PAIR_COLUMNS + SHAPE_COLUMNS + 48 + min(15, int(len(set(plain)) ** 0.5 / 2))] += 0.0
+    again = sum(map(bytes.__eq__, plain, plain[1:])) / max(1, len(plain) - 1)
+    copied = 1 - len(set(lines)) / max(1, len(lines))
+    out[PAIR_COLUMNS + SHAPE_COLUMNS :] = np.concatenate([again > STEPS, copied > STEPS])
     return out
 
 
@@ -80,7 +81,8 @@ class Voters:
         self.vectors = self._unit(x @ self.basis)
 
     def _weighted(self, x: np.ndarray) -> np.ndarray:
-        return self._unit(x * self.idf)
+        terms = PAIR_COLUMNS + SHAPE_COLUMNS
+        return self._unit(np.concatenate([self._unit((x * self.idf)[:, :terms]), STEP_WEIGHT * x[:, terms:]], axis=1))
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, warc
+from . import exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing)}
 
 
 OP7 = """

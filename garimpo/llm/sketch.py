@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import partitions
 
-#: A paragraph ends at a line break, or inside a line after the end of a sentence.
+#: A paragraph ends at a line break, or inside a line after the end of a sentence; longer ones are cut after so many words.
 PARAGRAPH = re.compile(r"(?<=[.!?])\s+|\n")
+LONGEST_PARAGRAPH = 8
 CELLS = 15
 HASHES = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -30,10 +31,13 @@ def digests(text: str | None) -> np.ndarray:
     """Sorted 64-bit digests of the paragraphs; the n-th repeat of a paragraph has a digest of its own."""
     seen: dict[str, int] = {}
     out = []
-    for p in PARAGRAPH.split(text or ""):
-        if p:
-            n = seen[p] = seen.get(p, -1) + 1
-            out.append(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), n))
+    for whole in PARAGRAPH.split(text or ""):
+        words = whole.split(" ")
+        for at in range(0, len(words), LONGEST_PARAGRAPH):
+            p = " ".join(words[at : at + LONGEST_PARAGRAPH])
+            if p:
+                n = seen[p] = seen.get(p, -1) + 1
+                out.append(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), n))
     return np.unique(np.array(out, np.uint64))
 
 
@@ -78,25 +82,30 @@ class Sketch:
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Digests only on the left and only on the right; None if the table is too small."""
         count, key, chk = self.count.copy(), self.key.copy(), self.check.copy()
-        left, right = [], []
+        found, signs, n = [], [], 0
         while True:
             pure = np.flatnonzero((np.abs(count) == 1) & (check(key) == chk))
             if not len(pure):
                 break
             keys, first = np.unique(key[pure], return_index=True)
             sign = count[pure][first]
-            left.append(keys[sign > 0])
-            right.append(keys[sign < 0])
+            found.append(keys)
+            signs.append(sign)
+            n += len(keys)
             at = places(keys, len(count)).ravel()
             np.subtract.at(count, at, np.tile(sign, HASHES))
             np.bitwise_xor.at(key, at, np.tile(keys, HASHES))
             np.bitwise_xor.at(chk, at, np.tile(check(keys), HASHES))
-            if sum(map(len, left)) + sum(map(len, right)) > 4 * len(count):
+            if n > 4 * len(count):
                 return None
         if count.any() or key.any() or chk.any():
             return None
-        join = lambda x: np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64)
-        return join(left), join(right)
+        if not found:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        # a cell that only looked pure is undone later by the opposite sign
+        keys, at = np.unique(np.concatenate(found), return_inverse=True)
+        net = np.bincount(at, np.concatenate(signs)).astype(np.int64)
+        return (keys[net > 0], keys[net < 0]) if np.abs(net).max() == 1 or not net.any() else None
 
     def text(self) -> str:
         """The fingerprint as text: cells' counts (modulo 2^16), digests and checks, in base 64."""
