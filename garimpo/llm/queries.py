@@ -53,8 +53,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # lies at the top of the repository
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing)}
 
 
 OP7 = """
