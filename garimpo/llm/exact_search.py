@@ -59,7 +59,7 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         else:
             for r, w in zip(rows, weight, strict=True):
                 scores[r, postings] += w * held
-    return scores
+    return scores if small else np.clip(scores, *LONG)
 
 
 def best_of(row: np.ndarray, k: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def _search_block(k: int):
                 kept = np.flatnonzero(~own) if own.any() else None
                 best = best_of(row if kept is None else row[kept], k)
                 best = best if kept is None else kept[best]
-                out += [(int(q), int(ids[b]), min(max(int(row[b]), LONG[0]), LONG[1])) for b in best]
+                out += [(int(q), int(ids[b]), int(row[b])) for b in best]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [[], [], []], schema=_FOUND)
 
     return run
@@ -111,7 +111,7 @@ def search(
     A query's own row, that is every row with its id, is no candidate of it. Null ids and vectors that
     are null or hold null or non-finite components take no part; vectors of other lengths score over the terms
     both have; an empty vector scores 0. A repeated id is asked once, with its least vector, while
-    each of its rows stays a candidate for others. Scores beyond a long stop at its ends. Empty tables
+    each of its rows stays a candidate for others. Scores beyond a long stop at its ends and rank as such. Empty tables
     give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession

@@ -73,7 +73,7 @@ class Unigrams:
                 self.pieces[piece] = tuple(row)
         self.longest = max(map(len, self.pieces))
         # a character that the vocabulary lacks costs as much in every language
-        self.other = tuple([float(table.min())] * len(langs))
+        self.other = tuple([float(table.min(initial=1.0))] * len(langs))
 
     @functools.cached_property
     def scorer(self) -> Scorer:

@@ -121,17 +121,17 @@ def take(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: in
     ``part`` words, where the budget ends inside another pass. Columns are those of ``docs``
     (doc_id, text, source and n_chars are used); rows of a repeated doc_id are matched by their text.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    plan = mix(keyed.withColumn("_pair", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_h"))), "_pair", weights=weights, max_epochs=max_epochs, seed=seed)
-    plan = plan.filter("taken > 0").groupBy("_pair").agg(*[F.max_by(c, "taken").alias(c) for c in ("size", "epochs", "part")])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    pair = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+    keyed = docs.select(pair.alias("_mix_pair"), *docs.columns)
+    plan = mix(keyed.select("_mix_pair", "text", "source"), "_mix_pair", weights=weights, max_epochs=max_epochs, seed=seed)
+    plan = plan.filter("taken > 0").groupBy("_mix_pair").agg(*[F.max_by(c, "taken").alias(f"_mix_{c}") for c in ("size", "epochs", "part")])
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_part").cast("int")), " ")
     rows = (
-        keyed.withColumn("_pair", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_h")))
-        .join(plan, "_pair")
-        .withColumn("_copy", F.explode(F.expr("sequence(1L, epochs + if(part > 0, 1L, 0L))")))
-        .withColumn("_cut", (F.col("_copy") > F.col("epochs")) & (F.col("part") < F.col("size")))
+        keyed.join(plan, "_mix_pair")
+        .withColumn("_mix_copy", F.explode(F.expr("sequence(1L, _mix_epochs + if(_mix_part > 0, 1L, 0L))")))
+        .withColumn("_mix_cut", (F.col("_mix_copy") > F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size")))
     )
-    out = rows.withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(F.col("_mix_cut"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

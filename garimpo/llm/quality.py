@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             rows = [features(t).astype("<f2").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    rows = docs.join(F.broadcast(picked), id_col).select(text_col, F.col("_label").alias("label")).mapInArrow(run, "x binary, label double").collect()
+    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, F.col("_label").alias("label")).mapInArrow(run, "x binary, label double").collect()
     if not rows:
         return None
     rows = sorted(rows)

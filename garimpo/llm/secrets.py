@@ -130,7 +130,7 @@ def mask(text: str | None, spans: str) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by a mark of its kind; all documents stay. Columns are those
     of ``docs``. Documents without a span aren't touched, and only rows with one are joined."""
-    spans = scan(docs).filter("spans <> ''").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("spans").alias("_spans"))
+    spans = scan(docs).filter("spans <> ''").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.collect_set("spans").alias("_secret_spans"))
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     text_at, width = docs.columns.index("text"), len(docs.columns)
 
@@ -153,4 +153,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[n_chars] = pa.array(sizes, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return docs.join(spans, docs["doc_id"] == spans["_doc"], "left").drop("_doc").mapInArrow(run, docs.schema)
+    return docs.join(spans, docs["doc_id"] == spans["_secret_doc"], "left").drop("_secret_doc").mapInArrow(run, docs.schema)

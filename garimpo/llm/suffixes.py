@@ -227,10 +227,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the words of duplicate spans taken out; the first place of a passage keeps it.
     Texts without such a span stay as they are. Columns are those of ``docs``."""
-    spans = repeats(docs, least=least).filter("duplicate").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    spans = repeats(docs, least=least).filter("duplicate").groupBy(F.col("doc_id").alias("_repeat_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_repeat_spans"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    kept = F.filter(words, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
-    out = docs.join(spans, docs["doc_id"] == spans["_doc"], "left").withColumn("text", F.when(F.col("_spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text")))
+    kept = F.filter(words, lambda _, i: ~F.exists("_repeat_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
+    out = docs.join(spans, docs["doc_id"] == spans["_repeat_doc"], "left").withColumn("text", F.when(F.col("_repeat_spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_repeat_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
