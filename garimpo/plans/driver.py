@@ -352,7 +352,7 @@ def block_streak(spark, d):
     return store.refusal_streaks(outcomes, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "streak", "stopped")
 
 
-@query("""SELECT user_id, round(max(s - n) OVER (PARTITION BY user_id ORDER BY s, event_id) + n - s, 3) AS wait, event_id
+@query("""SELECT user_id, CAST(max(s - n) OVER (PARTITION BY user_id ORDER BY s, event_id) + n - s AS DOUBLE) AS wait, event_id
 FROM (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) - 1 AS n FROM events)""")
 def throttle(spark, d):
     ev = t(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
