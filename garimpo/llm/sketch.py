@@ -24,6 +24,8 @@ PARAGRAPH = re.compile(r"(?<=[.!?])\s+|\n")
 LONGEST_PARAGRAPH = 8
 CELLS = 15
 HASHES = 3
+#: Documents that are sketched side by side.
+AT_ONCE = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,76 +60,83 @@ def check(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 77) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-class Sketch:
-    """Cells of (count, exclusive or of digests, exclusive or of their checks)."""
+class Tables:
+    """One table for each of many sets of digests, side by side: (count, exclusive or of digests, exclusive or of their checks)."""
 
-    def __init__(self, cells: int):
-        self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint16)
+    def __init__(self, sets: int, cells: int):
+        self.cells = cells
+        self.count, self.key, self.check = np.zeros(sets * cells, np.int64), np.zeros(sets * cells, np.uint64), np.zeros(sets * cells, np.uint16)
 
-    @classmethod
-    def of(cls, keys: np.ndarray, cells: int = CELLS) -> Sketch:
-        s = cls(cells)
-        if len(keys):
-            at = places(keys, cells).ravel()
-            np.add.at(s.count, at, 1)
-            np.bitwise_xor.at(s.key, at, np.tile(keys, HASHES))
-            np.bitwise_xor.at(s.check, at, np.tile(check(keys), HASHES))
-        return s
+    def add(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> Tables:
+        """Add each key to three cells of its owner's table, ``sign`` times; what is added twice cancels but for its count."""
+        at = (places(keys, self.cells) + owner * self.cells).ravel()
+        np.add.at(self.count, at, np.tile(sign, HASHES))
+        np.bitwise_xor.at(self.key, at, np.tile(keys, HASHES))
+        np.bitwise_xor.at(self.check, at, np.tile(check(keys), HASHES))
+        return self
 
-    def minus(self, other: Sketch) -> Sketch:
-        s = Sketch(len(self.key))
-        s.count, s.key, s.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
-        return s
+    def texts(self) -> list[str]:
+        """Each table as text: counts (modulo 2^16), digests and checks, in base 64."""
+        parts = [x.reshape(-1, self.cells).astype(kind) for x, kind in ((self.count, "<u2"), (self.key, "<u8"), (self.check, "<u2"))]
+        return [base64.b64encode(b"".join(p[i].tobytes() for p in parts)).decode() for i in range(len(parts[0]))]
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests only on the left and only on the right; None if the table is too small."""
-        count, key, chk = self.count.copy(), self.key.copy(), self.check.copy()
-        found, signs, n = [], [], 0
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, failed) for each table: how many digests only one side has, and whether the table was too small."""
+        sets = len(self.count) // self.cells
+        found: list[tuple] = []
+        made = np.zeros(sets, np.int64)
         while True:
-            pure = np.flatnonzero((np.abs(count) == 1) & (check(key) == chk))
+            pure = np.flatnonzero((np.abs(self.count) == 1) & (check(self.key) == self.check))
+            pure = pure[made[pure // self.cells] <= 4 * self.cells]  # beyond that it goes in circles
             if not len(pure):
                 break
-            keys, first = np.unique(key[pure], return_index=True)
-            sign = count[pure][first]
-            found.append(keys)
-            signs.append(sign)
-            n += len(keys)
-            at = places(keys, len(count)).ravel()
-            np.subtract.at(count, at, np.tile(sign, HASHES))
-            np.bitwise_xor.at(key, at, np.tile(keys, HASHES))
-            np.bitwise_xor.at(chk, at, np.tile(check(keys), HASHES))
-            if n > 4 * len(count):
-                return None
-        if count.any() or key.any() or chk.any():
-            return None
+            owner, keys, sign = pure // self.cells, self.key[pure], self.count[pure]
+            order = np.lexsort((keys, owner))  # a digest may stand alone in several cells
+            owner, keys, sign = owner[order], keys[order], sign[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])
+            owner, keys, sign = owner[new], keys[new], sign[new]
+            found.append((owner, keys, sign))
+            made += np.bincount(owner, minlength=sets)
+            self.add(owner, keys, -sign)
+        failed = ((self.count != 0) | (self.key != 0) | (self.check != 0)).reshape(sets, -1).any(axis=1)
         if not found:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return np.zeros(sets, np.int64), np.zeros(sets, np.int64), failed
         # a cell that only looked pure is undone later by the opposite sign
-        keys, at = np.unique(np.concatenate(found), return_inverse=True)
-        net = np.bincount(at, np.concatenate(signs)).astype(np.int64)
-        return (keys[net > 0], keys[net < 0]) if np.abs(net).max() == 1 or not net.any() else None
-
-    def text(self) -> str:
-        """The fingerprint as text: cells' counts (modulo 2^16), digests and checks, in base 64."""
-        return base64.b64encode(self.count.astype("<u2").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u2").tobytes()).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, a_sketch: Sketch, b_sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``a`` and only in ``b``, by peeling; larger tables are made from the digests on failure."""
-    found = a_sketch.minus(b_sketch).peel()
-    cells = len(a_sketch.key)
-    while found is None:
-        cells *= 4
-        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
-    return found
-
-
-def likeness(a: np.ndarray, b: np.ndarray, a_sketch: Sketch, b_sketch: Sketch) -> float:
-    """Shared digests over all digests of both; 1 for two empty texts."""
-    left, right = difference(a, b, a_sketch, b_sketch)
-    shared = len(a) - len(left)
-    every = shared + len(left) + len(right)
-    return shared / every if every else 1.0
+        owner, keys, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((keys, owner))
+        owner, keys, sign = owner[order], keys[order], sign[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]))
+        net, owner = np.add.reduceat(sign, first), owner[first]
+        failed |= np.bincount(owner, np.abs(net) > 1, sets) > 0
+        return np.bincount(owner, net > 0, sets).astype(np.int64), np.bincount(owner, net < 0, sets).astype(np.int64), failed
+
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets) if sets else np.empty(0, np.uint64)
+
+
+def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
+    """The fingerprint of each set of digests."""
+    owner, keys = _flat(sets)
+    return Tables(len(sets), cells).add(owner, keys, np.ones(len(keys), np.int64)).texts()
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """For each pair: shared digests over all digests of both, 1 for two empty texts. Pairs whose
+    difference a table can't hold are sketched again with tables four times as large."""
+    left, right = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    open_ = np.arange(len(a))
+    while len(open_):
+        tables = Tables(len(open_), cells)
+        for some, sign in ((a, 1), (b, -1)):
+            owner, keys = _flat([some[i] for i in open_])
+            tables.add(owner, keys, np.full(len(keys), sign, np.int64))
+        l, r, failed = tables.peel()
+        left[open_], right[open_] = l, r
+        open_, cells = open_[failed], 4 * cells
+    shared = np.array([len(x) for x in a], np.int64) - left
+    every = shared + left + right
+    return np.where(every == 0, 1.0, shared / np.maximum(every, 1))
 
 
 def edit(text: str, following: str) -> str:
@@ -136,11 +145,6 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _sketched(text: str) -> tuple[np.ndarray, Sketch]:
-    keys = digests(text)
-    return keys, Sketch.of(keys)
-
-
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses.
 
@@ -178,27 +182,31 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     halo = halo.groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("bucket"), F.lit(True).alias("halo"), F.lit(None).cast(kind).alias("id"), "text")
     rows = base.select("bucket", F.lit(False).alias("halo"), "id", "text").unionByName(halo)
 
-    def finish(held, text, keys, sketch, following, next_keys, next_sketch):
-        edited = edit(text, following)
-        edited_keys, edited_sketch = _sketched(edited)
-        return (
-            held, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), sketch.text(), edited_sketch.text(),
-            likeness(keys, edited_keys, sketch, edited_sketch), likeness(keys, next_keys, sketch, next_sketch),
-        )
-
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    def finish(rows: list[tuple]) -> pa.RecordBatch:
+        """``rows``: (id, text, its digests, next text, its digests)."""
+        ids, texts, keys, following, next_keys = map(list, zip(*rows, strict=True))
+        edited = [edit(x, y) for x, y in zip(texts, following, strict=True)]
+        edited_keys = [digests(x) for x in edited]
+        hashed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]
+        columns = [pa.array(ids, pa.int64() if kind == "bigint" else None), pa.array(list(map(len, texts)), pa.int64()), pa.array(hashed), pa.array(fingerprints(keys)), pa.array(fingerprints(edited_keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(likenesses(keys, edited_keys)), pa.array(likenesses(keys, next_keys))], names=names)
+
     def run(batches):
-        last = None  # (bucket, id, text, digests, sketch) that waits for the next row of its bucket
+        last = None  # (bucket, id, text, digests) that waits for the next row of its bucket
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for b, is_halo, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, sketch = _sketched(text)
+                keys = digests(text)
                 if last is not None and last[0] == b:
-                    out.append(finish(*last[1:], text, keys, sketch))
-                last = None if is_halo else (b, i, text, keys, sketch)
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names=names)
+                    out.append((*last[1:], text, keys))
+                last = None if is_halo else (b, i, text, keys)
+                if len(out) >= AT_ONCE:
+                    yield finish(out)
+                    out = []
+        if out:
+            yield finish(out)
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.col("id").asc_nulls_first(), "text")
     return dealt.select("bucket", "halo", "id", "text").mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
