@@ -1,0 +1,464 @@
+"""Each operator against a brute-force version, on odd and on empty tables."""
+
+import hashlib
+import itertools
+import math
+import re
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from garimpo.llm import exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, suffixes, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# ---------------------------------------------------------------- 1
+
+
+def covered(texts: dict, least: int) -> dict:
+    """Words of each document inside a run of ``least`` words that occurs at two places."""
+    places, words = Counter(), {i: (t or "").encode().split() for i, t in texts}
+    runs = lambda w: (tuple(w[k : k + least]) for k in range(len(w) - least + 1))
+    for w in words.values():
+        places.update(runs(w))
+    out = defaultdict(set)
+    for i, w in words.items():
+        for k, r in enumerate(runs(w)):
+            if places[r] > 1:
+                out[i].update(range(k, k + least))
+    return out
+
+
+def test_suffixes_match_brute_force(spark, odd):
+    docs = odd.dropDuplicates(["doc_id"]).filter("doc_id is not null")
+    want = covered([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
+    found = defaultdict(set)
+    for r in suffixes.repeats(docs).collect():
+        assert r["n_words"] == r["end_word"] - r["start_word"] >= 50
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert found == want and want
+
+
+def test_suffixes_on_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = covered([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
+    found = defaultdict(set)
+    for r in suffixes.repeats(docs).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert found == want
+
+
+def test_drop_repeats_keeps_one(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "before " + text + " after"), (3, "other")], "doc_id long, text string")
+    left = dict(rows(suffixes.drop_repeats(docs)))
+    assert left == {1: text, 2: "before after", 3: "other"}
+
+
+def test_suffixes_empty(empty):
+    assert rows(suffixes.repeats(empty)) == []
+
+
+# ---------------------------------------------------------------- 2
+
+
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps[gaps.index(min(fits))] -= n
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def check_packed(found: list, capacity: int) -> int:
+    by = defaultdict(list)
+    for r in found:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(odd):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    found = packing.pack(odd, capacity=100).collect()
+    want = Counter()
+    for r in odd.collect():
+        ids = np.array([*(tok.encode(r["text"], add_special_tokens=False).ids if r["text"] else []), 2], "<u4")
+        for k, (start, n) in enumerate(packing.cut(len(ids), 100)):
+            want[r["doc_id"], k, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    assert check_packed(found, 100) == best_fit_decreasing([r["length"] for r in found], 100)
+
+
+def test_sweep_is_best_fit():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(60):
+        capacity = rng.choice([7, 40, 1024])
+        counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, capacity + 1), min(capacity, 25))}
+        lines = packing.sweep(counts, capacity)
+        made = {first + i for _, a, b, first, per, _ in lines for i in range(-(-(b - a) // per))}
+        assert len(made) == best_fit_decreasing([n for n, k in counts.items() for _ in range(k)], capacity)
+
+
+def test_encoder_agrees_with_the_tokenizers_library(spark, small):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    texts = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    texts += ["a <|endoftext|> b", "  x  \t\n\n y", "don't  I'LL", "x" * 5000, " " * 5000 + "a", "日本語😀́", "\x1c\x85a", "1234567 89"]
+    for text in texts:
+        assert enc(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_empty(empty):
+    assert rows(packing.pack(empty)) == []
+
+
+# ---------------------------------------------------------------- 3
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text or ""):
+        if len(m[2]) >= 8:
+            out.append(("assign", m.start(), m.end()))
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+@pytest.mark.parametrize("text", ["token=secret=abcdefghijk", "password=token: abcdefghijkl", "API_KEY : 'zzzzzzzz' passwd=short", "paſſword=abcdefghi", "AKIAAKIA AKIA0123456789AB0", "tokentoken==x" + "a" * 40])
+def test_base_spans(text):
+    found = [(secrets.KINDS[k], a, b) for k, a, b, _ in secrets.candidates(text) if k < 3]
+    assert found == base_spans(text)
+
+
+def test_secrets(odd):
+    want = Counter()
+    for r in odd.collect():
+        s = base_spans(r["text"])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        want[r["doc_id"], *(sum(x[0] == k for x in s) for k in ("assign", "access", "hex")), hashlib.sha256(joined.encode()).hexdigest()] += 1
+    found = secrets.scan(odd).collect()
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found) == want
+
+
+def test_ownership_separates_examples(spark):
+    copied, own = "ghp_" + "Gz" * 20, "ghp_" + "Qy" * 20
+    docs = spark.createDataFrame([(i, f"x {copied} y", f"s{i}") for i in range(4)] + [(9, f"é {own}", "s9")], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert found[0]["spans"] == "" and found[0]["n_example"] == 1 and found[0]["most_owners"] == 4
+    assert found[9]["spans"] == "vendor:2:46" and found[9]["n_live"] == 1
+
+
+def test_redact(spark, odd, empty):
+    before, after = Counter(r["doc_id"] for r in odd.collect()), secrets.redact(odd).collect()
+    assert Counter(r["doc_id"] for r in after) == before
+    assert not any(base_spans(r["text"]) for r in after)
+    assert rows(secrets.redact(empty)) == [] and rows(secrets.scan(empty)) == []
+    assert secrets.mask("ab cd ef", "hex:3:5,assign:0:5") == "<assign> ef"
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_forward_sums_every_segmentation():
+    from public_tokenizers import path
+
+    model = langid.Unigrams(["a", "b"], {("a", 300): 5, ("b", 400): 9}, path(langid.VOCABULARY))
+    for word in ("les", "und", "ção", "x"):
+        s = langid.SPACE + word
+        total = np.zeros(2)
+        for cuts in itertools.product([0, 1], repeat=len(s) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(s)]
+            p = np.ones(2)
+            for x, y in itertools.pairwise(at):
+                q = model.pieces.get(s[x:y])
+                q = q if q is not None else (model.other if y - x == 1 else (0, 0))
+                p *= q
+            total += p
+        assert np.allclose(model.log_probability(word), np.log(total))
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs).join(docs, "doc_id").filter("held_out").select("lang", "lang_pred").collect()
+    assert np.mean([r[0] == r[1] for r in found]) > 0.97 and len(found) > 150
+
+
+def test_language_odd(odd, empty):
+    found = langid.identify(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect()
+    for r in found:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] in ("en", "fr")) == letters and 0 <= r["score"] <= 1
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert rows(langid.identify(empty)) == []
+    assert langid.keep_identified(odd).filter("text is null or trim(text) = ''").count() == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_quality_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    found = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    r = found.filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good, bad = r[r.quality == 1].score.to_numpy(), r[r.quality == 0].score.to_numpy()
+    assert np.mean(good[:, None] > bad[None, :]) > 0.9
+
+
+def test_quality_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(30)] + [(3, None, 1), (4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for r in quality.classify(odd, labels).collect():
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    assert {r["score"] for r in quality.classify(odd, labels.filter("false")).collect()} == {0.5}
+    assert rows(quality.classify(empty, labels)) == []
+
+
+def test_votes_are_exact():
+    rng = np.random.default_rng(3)
+    x, y = np.abs(rng.standard_normal((60, quality.COLUMNS))).astype(np.float32), rng.integers(0, 2, 60)
+    voters = quality.Voters(x, y, rank=8)
+    z = voters._unit(voters._weighted(x[:5]) @ voters.basis)
+    for i, s in enumerate(voters.score(x[:5], neighbours=7)):
+        near = sorted(range(60), key=lambda j: -float(z[i] @ voters.vectors[j]))[:7]
+        w = [max(0, float(z[i] @ voters.vectors[j])) ** 4 for j in near]
+        assert math.isclose(s, sum(a * y[j] for a, j in zip(w, near, strict=True)) / sum(w), rel_tol=1e-3, abs_tol=1e-3)
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_sketch(odd):
+    held = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    for (i, text), (_, after) in zip(held, held[1:] + held[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        alike = []
+        for other in (edited, after):
+            a, b = set(sketch.digests(text).tolist()), set(sketch.digests(other).tolist())
+            alike.append(round(len(a & b) / len(a | b), 9) if a | b else 1.0)
+        want[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *alike] += 1
+    for buckets in (1, 5):
+        found = sketch.compare_neighbours(odd, buckets=buckets).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == want
+
+
+def test_sketch_recovers_large_differences():
+    a, b = np.arange(1, 5000, dtype=np.uint64) * np.uint64(7919), np.arange(1000, 9000, dtype=np.uint64) * np.uint64(7919)
+    assert sketch.likenesses([a, a[:0], a], [b, a[:0], a]).tolist() == [len(np.intersect1d(a, b)) / len(np.union1d(a, b)), 1.0, 1.0]
+
+
+def test_sketch_empty_and_single(spark, empty):
+    assert rows(sketch.compare_neighbours(empty)) == []
+    one = sketch.compare_neighbours(spark.createDataFrame([(4, "abcd. efgh")], "doc_id long, text string")).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcd.abcd.").hexdigest()
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_search(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.standard_normal(6).round(1).tolist()) for i in range(120)]
+    vectors += [(200, None), (201, [1.0, None]), (202, [float("nan")]), (203, [float("inf")]), (None, [1.0]), (204, []), (205, [3e30, 1.0]), (206, [1.0, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    sound = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    long = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    sound = {i: [long(x) for x in v] for i, v in sound.items()}
+    want = []
+    for q in (x for x in sound if x % 5 == 0):
+        scored = sorted(((-long(sum(a * b for a, b in zip(sound[q], v, strict=False))), i) for i, v in sound.items() if i != q))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    for blocks in ({}, {"query_block": 7, "candidate_block": 20}):
+        assert sorted(rows(exact_search.search(df, df.filter("vec_id % 5 = 0"), **blocks))) == sorted(want)
+
+
+def test_search_ties_and_empty(spark):
+    df = spark.createDataFrame([(i, [1.0]) for i in range(9)] + [(3, [2.0])], "vec_id long, embedding array<float>")
+    found = sorted(rows(exact_search.search(df, df.filter("vec_id = 0"))))
+    assert [r[2] for r in found] == [3, 1, 2, 3, 4]
+    assert rows(exact_search.search(df.limit(0), df.limit(0))) == []
+
+
+# ---------------------------------------------------------------- 8
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [b" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def component_ids(prints: list[tuple], radius: int) -> dict:
+    """Brute force over all pairs: fingerprint -> least id reachable."""
+    distinct = sorted({f for _, f in prints})
+    parent = {f: f for f in distinct}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(distinct, 2):
+        if (a ^ b).bit_count() <= radius:
+            parent[root(a)] = root(b)
+    least = {}
+    for i, f in prints:
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return {f: least.get(root(f)) for f in distinct}
+
+
+def test_simhash(odd):
+    prints = [(r["doc_id"], slow_fingerprint(r["text"])) for r in odd.collect()]
+    comp = component_ids(prints, 4)
+    assert Counter(rows(simhash.near_duplicates(odd))) == Counter((i, f"{f:016x}", comp[f]) for i, f in prints)
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_links_lose_nothing(spark, chunk):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    prints = list({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centres for _ in range(25)})
+    signed = [x - 2**64 if x >> 63 else x for x in prints]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, cell_chunk=chunk)
+    roots = dict(rows(simhash.components(edges)))
+    comp = component_ids([(x, y) for x, y in zip(signed, prints, strict=True)], 4)
+    mine = defaultdict(set)
+    for s, p in zip(signed, prints, strict=True):
+        mine[roots.get(s, s)].add(p)
+    want = defaultdict(set)
+    for p, c in comp.items():
+        want[c].add(p)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    assert dict(rows(simhash.components(edges))) == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_keep_first(spark, odd, empty):
+    kept = [r["doc_id"] for r in simhash.keep_first(odd, shingle=4).collect()]
+    comp = {i: c for i, _, c in rows(simhash.near_duplicates(odd))}
+    assert {i for i in kept if i is not None} == {i for i, c in comp.items() if i is not None and i == c}
+    assert rows(simhash.near_duplicates(empty)) == [] and rows(simhash.keep_first(empty)) == []
+
+
+# ---------------------------------------------------------------- 9
+
+
+def pages(spark):
+    long = "<p>é</p>" * 30
+    data = [(5, "http://x", long), (3, "http://y\r\nz", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (None, "u", long), (3, "again", long), (7, "u", "z" * 100)]
+    return spark.createDataFrame(data, "page_id long, url string, html string"), data
+
+
+@pytest.mark.parametrize("size", [1 << 30, 1])
+def test_warc_round_trip(spark, size):
+    df, data = pages(spark)
+    first = {}
+    for i, _, html in data:
+        raw = (html or "").encode()
+        if len(raw) >= 100 and i is not None:
+            first[raw] = min(i, first.get(raw, i))
+    want = Counter()
+    for i, _, html in data:
+        raw = (html or "").encode()
+        again = i is not None and raw in first and i > first[raw]
+        want[i, "revisit" if again else "response", first[raw] if again else None, len(raw), hashlib.sha256(raw).hexdigest(), None if again else raw] += 1
+    found = warc.archive_pages(df, package_bytes=size, with_payload=True).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"]) if r["payload"] is not None else None) for r in found) == want
+    assert rows(warc.archive_pages(df.limit(0))) == []
+
+
+def test_zip64_directory(tmp_path):
+    path = str(tmp_path / "many.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(66_000):  # more members than a plain end record can count
+            z.writestr(f"m{i}", b"")
+        with z.open(zipfile.ZipInfo("archive/data.warc.gz"), "w", force_zip64=True) as m:
+            m.write(b"payload")
+        z.comment = b"a comment"
+    r = warc.PackageReader(path)
+    assert len(r.members) == 66_001 and r.read(r.start("archive/data.warc.gz"), 7) == b"payload"
+    assert warc.PackageReader._zip64(b"\x01\x00\x10\x00" + (5).to_bytes(8, "little") + (6).to_bytes(8, "little"), 0xFFFFFFFF, 3, 0xFFFFFFFF) == (5, 3, 6)
+
+
+def test_packages_are_zip_files(spark, tmp_path):
+    df, _ = pages(spark)
+    listed = warc.write_packages(warc.roles(df), str(tmp_path / "w")).collect()
+    assert sum(r["records"] for r in listed) == 10
+    for r in listed:
+        with zipfile.ZipFile(r["path"]) as z:
+            assert z.testzip() is None and {x.compress_type for x in z.infolist()} == {zipfile.ZIP_STORED}
+    bad = tmp_path / "bad.zip"
+    with zipfile.ZipFile(bad, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/data.warc.gz", b"x" * 100)
+    with pytest.raises(ValueError):
+        warc.PackageReader(str(bad)).start("archive/data.warc.gz")
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_mixing(odd):
+    data = [(r["doc_id"], r["source"], len(WORDS.findall(r["text"] or ""))) for r in odd.collect()]
+    sizes = Counter()
+    for _, s, n in data:
+        sizes[s] += n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    full: set = set()
+    while True:  # fill, stop what is above its cap, share the excess again
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        open_ = [s for s in order if s not in full]
+        target = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if target[s] > 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    target |= {s: 3 * sizes[s] for s in full}
+    found = mixing.mix(odd).collect()
+    taken = Counter()
+    for r in found:
+        assert math.isclose(r["target"], target[r["source"]], rel_tol=1e-9) and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == math.floor(target[s] + 0.5) for s in order)
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in found) == Counter(data)
+    assert Counter(rows(mixing.mix(odd.repartition(5)))) == Counter(rows(mixing.mix(odd)))
+
+
+def test_take_has_the_planned_words(odd, empty):
+    docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    plan = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert sum(len(WORDS.findall(r["text"])) for r in mixing.take(docs).collect()) == plan
+    assert rows(mixing.mix(empty)) == [] and rows(mixing.take(empty)) == []
