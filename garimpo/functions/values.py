@@ -100,3 +100,37 @@ Organization LocalBusiness ProfessionalService Store Restaurant School Education
 HealthAndBeautyBusiness SportsActivityLocation EntertainmentBusiness FinancialService HomeAndConstructionBusiness MedicalBusiness
 LegalService AutomotiveBusiness FoodEstablishment LodgingBusiness
 """.split()
+# fixed values: links worth following first
+INTERESTING = (
+    "(?iu)(contato|contatos|contact|fale-conosco|fale-com|falecom|atendimento|suporte|ajuda|sobre|sobre-nos|quem-somos|institucional|empresa|servicos|serviços|produtos"
+    "|solucoes|soluções|planos|precos|preços|orcamento|orçamento|unidades|filiais|lojas|onde-estamos|localizacao|localização|trabalhe)"
+)
+# fixed values: street types and their short forms
+STREET_TYPES = dict(x.split("=") for x in """
+r=RUA rua=RUA av=AVENIDA avenida=AVENIDA al=ALAMEDA alameda=ALAMEDA tv=TRAVESSA trav=TRAVESSA travessa=TRAVESSA pc=PRACA praca=PRACA rod=RODOVIA rodovia=RODOVIA
+estr=ESTRADA estrada=ESTRADA lgo=LARGO largo=LARGO vl=VILA vila=VILA jd=JARDIM jardim=JARDIM mar=MARGINAL via=VIA
+""".split())
+# fixed values: walls before a profile page
+WALL_PATHS = [("(?i)^/checkpoint/", "checkpoint"), ("(?i)^/(authwall|uas/login|login|signup)", "auth"), ("(?i)/unavailable/?$", "gone")]
+AUTH_TEXT = "(?iu)(entre para ver|fa(ç|c)a login para ver|junte-se ao linkedin|sign in to view|join linkedin to view|to view .{0,30}profile|cadastre-se para ver)"
+CHECKPOINT_TEXT = "(?iu)(verifica(ç|c)(ão|ao) de seguran(ç|c)a|security verification|confirme que (é|e) voc(ê|e)|unusual activity|atividade incomum|vamos fazer uma verifica)"
+GONE_TEXT = "(?iu)(esta p(á|a)gina n(ã|a)o existe|this page doesn'?t exist|p(á|a)gina n(ã|a)o encontrada|page not found)"
+# fixed values: how a page states a company's size
+STAFF = r"(?:funcion(?:á|a)rios|employees|colaboradores)"
+STAFF_RANGE = r"(?iu)([\d.,]+)\s*[-–]\s*([\d.,]+)\s*" + STAFF
+STAFF_OPEN = r"(?iu)([\d.,]+)\s*\+\s*" + STAFF
+STAFF_ABOVE = r"(?iu)(?:mais de|acima de|over|more than)\s*([\d.,]+)\s*" + STAFF
+STAFF_ON_SITE = r"(?iu)([\d.,]+)\s*(?:funcion(?:á|a)rios|employees|associados)\s*(?:no|on|at)\s*linkedin"
+FOLLOWERS = r"(?iu)([\d.,]+)\s*(?:seguidores|followers)"
+# fixed values: search pages that hold no results
+DDG_BLOCKED = "(?i)(anomaly[_-]?modal|challenge-form|If this error persists|unusual traffic|blocked)"
+DDG_EMPTY = r"(?i)(no-results|No results\.|Nenhum resultado)"
+GOOGLE_BLOCKED = r"""(?iu)(Our systems have detected unusual traffic|tráfego incomum|nossos sistemas detectaram|id="captcha-form"|action="/sorry/index"|\bunusual traffic from your computer\b)"""
+GOOGLE_CONSENT = """(?i)(id="?consent-bump|antes de continuar (?:no|para o) Google|Before you continue to Google)"""
+GOOGLE_EMPTY = "(?iu)(did not match any documents|não encontrou nenhum documento|Nenhum documento|No results found)"
+# fixed values: network errors in words
+FETCH_ERRORS = {
+    "ENOTFOUND": "domínio não existe", "ECONNREFUSED": "conexão recusada", "ECONNRESET": "conexão interrompida pelo servidor", "ETIMEDOUT": "servidor não respondeu",
+    "EAI_AGAIN": "falha de DNS", "CERT_HAS_EXPIRED": "certificado HTTPS vencido", "DEPTH_ZERO_SELF_SIGNED_CERT": "certificado HTTPS não confiável",
+    "SELF_SIGNED_CERT_IN_CHAIN": "certificado HTTPS não confiável", "UNABLE_TO_VERIFY_LEAF_SIGNATURE": "certificado HTTPS incompleto",
+}

@@ -251,7 +251,7 @@ def internal_links(html: Column | str, base: Column | str, limit: int = 5) -> Co
     origin = F.regexp_extract(col(base), r"(?i)^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
     full = F.transform(hrefs, lambda h: F.when(h.rlike("(?i)^https?://"), h).when(h.startswith("/") & ~h.startswith("//"), F.concat(origin, h)))
     kept = F.array_distinct(F.filter(full, lambda u: u.isNotNull() & (host_of(u) == host) & ~F.lower(path_of(u)).rlike(r"\.(png|jpe?g|gif|svg|webp|pdf|zip|css|js|ico|mp4)$")))
-    first = lambda u: F.lower(u).rlike("(contato|contact|sobre|about|quem-somos|servico|service|produto|loja|unidade|equipe)")
+    first = lambda u: u.rlike(V.INTERESTING)
     return F.slice(F.concat(F.filter(kept, first), F.filter(kept, lambda u: ~first(u))), 1, limit)
 
 

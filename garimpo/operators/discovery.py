@@ -82,7 +82,9 @@ def cnae_reach(companies: DataFrame, codes: DataFrame, activities: DataFrame, as
     phone = F.col("ddd").isNotNull() & F.col("telefone").isNotNull()
     recent = F.coalesce(F.col("data_inicio_atividade") >= F.add_months(F.lit(as_of).cast("date"), -24), F.lit(False))
     sums = [F.count("*").alias("n"), F.count_if(phone).alias("phone"), F.count_if(F.col("email").isNotNull()).alias("mail"), F.count_if(recent).alias("recent")]
-    lengths = F.array(*map(F.lit, range(2, 8)))
+    # only the lengths that are asked for: six values at most, whatever the number of codes
+    asked = sorted(r[0] for r in codes.select(F.length("code")).distinct().collect() if 2 <= r[0] <= 7) or [7]
+    lengths = F.array(*map(F.lit, asked))
 
     by_activity = kept.groupBy("cnae_principal").agg(*sums).withColumn("len", F.explode(lengths)).withColumn("pfx", F.left("cnae_principal", F.col("len")))
     primary = by_activity.filter(F.length("pfx") == F.col("len")).groupBy("pfx").agg(*[F.sum(c).alias(c) for c in ("n", "phone", "mail", "recent")])

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import web
-from ..functions.registry import cnpjs_in, website_from_email
+from ..functions.registry import cnpjs_in, format_address, format_cep, website_from_email
 from ..operators import store
 
-LEAD_STATES = ["new", "contacted", "qualified", "won", "lost"]
+# fixed values: states of a lead, verdicts of a web lead and their labels
+LEAD_STATES = ["flagged", "contacted", "replied", "won", "lost"]
 VERDICTS = ["in_reach", "out_of_reach", "unmatched"]
+VERDICT_LABELS = {"unmatched": "sem CNPJ na Receita", "out_of_reach": "na base, fora do CNAE do projeto", "in_reach": "já na base, dentro do CNAE"}
+# fixed values: headers of the two CSV exports
+COMPANY_HEADER = """
+cnpj razao_social nome_fantasia cnae cnae_descricao municipio uf bairro endereco logradouro numero complemento cep data_inicio_atividade porte mei email
+telefone telefone_e_celular origem_do_telefone whatsapp site nota tier confianca gancho conselho status anotacoes marcado_em contatado_em
+""".split()
+LEAD_HEADER = """
+dominio site titulo situacao fora_por cnpj_casado casado_por cnae_casado emails telefones nota tier confianca ramo_errado gancho conselho status notas lido_em achado_em
+""".split()
 
 
 # ---------------------------------------------------------------- scores
@@ -50,10 +60,50 @@ def company_list(companies: DataFrame, places: DataFrame, crawls: DataFrame, sco
 
 def export_companies(companies: DataFrame, contacts: DataFrame) -> DataFrame:
     """Companies with their first phone."""
-    phones = store.first_phone(contacts).select("cnpj", "phone_e164", "is_mobile")
+    phones = store.first_phone(contacts).select("cnpj", "phone_e164", "is_mobile", "source", "wa_me")
     return companies.join(phones, "cnpj", "left")
 
 
+def company_export_rows(companies: DataFrame, contacts: DataFrame) -> DataFrame:
+    """The company export's 31 columns as text, from a :func:`company_list` and its contacts; unknown is empty."""
+    df = export_companies(companies, contacts)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    yes = lambda c: F.when(F.col(c).isNull(), "").when(F.col(c), "sim").otherwise("nao")
+    own = {
+        "endereco": F.coalesce(format_address("tipo_logradouro", "logradouro", "numero", "complemento", "bairro", "municipio", "uf", "cep"), F.lit("")),
+        "cep": F.coalesce(format_cep("cep"), F.lit("")), "mei": F.when(F.coalesce("mei", F.lit(False)), "sim").otherwise("nao"), "telefone": text("phone_e164"),
+        "telefone_e_celular": yes("is_mobile"), "origem_do_telefone": text("source"), "whatsapp": text("wa_me"), "site": text("final_url"), "nota": text("best_fit"),
+        "confianca": text("confidence"), "gancho": text("hook"), "conselho": text("advice"), "anotacoes": text("notes"), "marcado_em": text("flagged_at"), "contatado_em": text("contacted_at"),
+    }
+    return df.select(*[(own[c] if c in own else text(c)).alias(c) for c in COMPANY_HEADER])
+
+
+def lead_export_rows(leads: DataFrame, scores: DataFrame, keep: Column | None = None, limit: int = 5000) -> DataFrame:
+    """The open-web export's 20 columns as text; lists are joined by a middle dot."""
+    df = leads.join(scores, ["project_id", "apex"], "left").filter(F.col("discarded_at").isNull())
+    df = df if keep is None else df.filter(keep)
+    df = df.orderBy(F.col("best_fit").desc_nulls_last(), F.col("found_at").desc_nulls_last(), "apex").limit(limit)
+    label = F.lit(None).cast("string")
+    for k, v in VERDICT_LABELS.items():
+        label = F.when(F.col("verdict") == k, v).otherwise(label)
+    dots = lambda c: F.concat_ws(" · ", c)
+    made = [
+        F.col("apex"), F.coalesce("final_url", "website_url"), F.col("title"), F.coalesce(label, "verdict"), F.col("out_of_reach_by"), F.col("matched_cnpj"), F.col("match_via"), F.col("matched_cnae"),
+        dots("emails"), dots("phones"), F.col("best_fit"), F.col("tier"), F.col("confidence"), F.when(F.col("wrong_type"), "sim"), F.col("hook"), F.col("advice"), F.col("status"), F.col("notes"), F.col("read_at"), F.col("found_at"),
+    ]
+    return df.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(made, LEAD_HEADER, strict=True)])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV that spreadsheets open as UTF-8: a byte order mark before the header, fields quoted where needed. The
+    export is cut to a page's size, so it is one file."""
+    from ..functions.registry import csv_line
+
+    header = rows.sparkSession.createDataFrame([(-1, "\ufeff" + ",".join(rows.columns))], "n long, line string")
+    lines = rows.select(F.monotonically_increasing_id().alias("n"), csv_line([(F.col(c), dict(rows.dtypes)[c]) for c in rows.columns]).alias("line"))
+    header.union(lines).coalesce(1).sortWithinPartitions("n").select("line").write.mode("overwrite").text(path)
+
+
 def cnae_options(companies: DataFrame) -> DataFrame:
     return companies.groupBy("cnae", "cnae_descricao").count().orderBy(F.col("count").desc(), "cnae")
 
@@ -99,9 +149,12 @@ def analyse_pages(pages: DataFrame, probes: dict[str, list[str]] | None = None)
     return out.withColumn("probes", web.run_probes(probes or {}, "text_excerpt")).drop("_html", "_final", "html")
 
 
-def is_readable(signals_text: Column, structured: Column | None = None, least: int = 200) -> Column:
-    """Enough was read to judge by."""
-    return F.coalesce(F.length(signals_text) >= least, F.lit(False)) | (F.coalesce(F.length(structured) > 0, F.lit(False)) if structured is not None else F.lit(False))
+def is_readable(excerpt: Column, structured: Column | None = None, js_shell: Column | None = None) -> Column:
+    """Structured data is enough; else a page that isn't an empty shell and has text. Unread is unreadable."""
+    said = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    shell = F.lit(False) if js_shell is None else F.coalesce(js_shell, F.lit(False))
+    text = said(excerpt) & ~shell
+    return text if structured is None else said(structured) | text
 
 
 def presence_outcome(attempts: DataFrame) -> DataFrame:
