@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import values as V
-from .text import any_of, blank_to_null, col, collapse, fold, group
+from .text import any_of, blank_to_null, col, collapse, fold, group, let
 from .web import decode_html, extract_text, is_non_result, path_of, title_of, unwrap_redirect
 
 MAX_HITS, FIELD = 12, 400
@@ -188,31 +188,48 @@ def normalised(c: Column | str) -> Column:
 
 def parse_street(raw: Column | str) -> Column:
     """struct(tipo, logradouro, numero): the number stands after the last comma, the type is the first word, short or long."""
-    c = col(raw)
-    number = F.upper(group(c, r"^.+,\s*(\d+[A-Za-z]?)[^,]*$"))
-    street = F.when(number.isNotNull(), F.regexp_replace(c, ",[^,]*$", "")).otherwise(c)
-    first = F.replace(F.lower(fold(F.regexp_extract(street, r"^\s*(\S+)", 1))), F.lit("."), F.lit(""))
-    kind = F.create_map(*[F.lit(x) for kv in V.STREET_TYPES.items() for x in kv])[first]
-    words = normalised(street)
-    rest = F.when(kind.isNotNull(), F.regexp_replace(words, r"^\S+\s*", "")).otherwise(words)
-    return F.when(rest != "", F.struct(kind.alias("tipo"), rest.alias("logradouro"), number.alias("numero")))
+    types = F.create_map(*[F.lit(x) for kv in V.STREET_TYPES.items() for x in kv])
+
+    def of(c: Column) -> Column:
+        number = F.upper(group(c, r"^.+,\s*(\d+[A-Za-z]?)[^,]*$"))
+        return let(number, lambda no: let(F.when(no.isNotNull(), F.regexp_replace(c, ",[^,]*$", "")).otherwise(c), lambda street: named(street, no)))
+
+    def named(street: Column, no: Column) -> Column:
+        first = F.replace(F.lower(fold(F.regexp_extract(street, r"^\s*(\S+)", 1))), F.lit("."), F.lit(""))
+        return let(types[first], lambda kind: let(normalised(street), lambda words: built(kind, words, no)))
+
+    def built(kind: Column, words: Column, no: Column) -> Column:
+        rest = F.when(kind.isNotNull(), F.regexp_replace(words, r"^\S+\s*", "")).otherwise(words)
+        return let(rest, lambda r: F.when(r != "", F.struct(kind.alias("tipo"), r.alias("logradouro"), no.alias("numero"))))
+
+    return let(col(raw), of)
 
 
 def parse_place_address(raw: Column | str) -> Column:
     """struct(tipo, logradouro, numero, bairro, municipio, uf, cep) of an address in one line."""
-    c = col(raw)
-    code = F.regexp_extract(c, r"(\d{5}-?\d{3})\b", 1)
-    rest = F.when(code != "", F.regexp_replace(c, r"^(.*?)\d{5}-?\d{3}\b", "$1 ")).otherwise(c)
-    state = group(rest, r"[-,]\s*([A-Z]{2})\b")
-    rest = F.when(state.isNotNull(), F.regexp_replace(rest, r"^(.*?)[-,]\s*[A-Z]{2}\b", "$1 ")).otherwise(rest)
-    parts = F.filter(F.transform(F.split(rest, r"\s+-\s+|,"), lambda s: F.trim(s)), lambda s: s != "")
-    numbered = F.coalesce(F.get(parts, 1).rlike(r"^\d+[A-Za-z]?$"), F.lit(False))
-    street = parse_street(F.when(numbered, F.concat_ws(", ", F.get(parts, 0), F.get(parts, 1))).otherwise(F.get(parts, 0)))
-    tail = F.slice(parts, F.when(street["numero"].isNotNull() & numbered, 3).otherwise(2), F.lit(100))
-    city = F.when(F.size(tail) > 0, blank_to_null(normalised(F.element_at(tail, -1))))
-    district = F.when(F.size(tail) > 1, blank_to_null(normalised(F.get(tail, 0))))
-    known = street.isNotNull() | city.isNotNull() | state.isNotNull()
-    return F.when(known, F.struct(street["tipo"].alias("tipo"), F.coalesce(street["logradouro"], F.lit("")).alias("logradouro"), street["numero"].alias("numero"), district.alias("bairro"), city.alias("municipio"), state.alias("uf"), blank_to_null(F.replace(code, F.lit("-"), F.lit(""))).alias("cep")))
+
+    def of(c: Column) -> Column:
+        code = F.regexp_extract(c, r"(\d{5}-?\d{3})\b", 1)
+        rest = F.regexp_replace(c, r"^(.*?)\d{5}-?\d{3}\b", "$1 ")
+        return let(code, lambda cep: let(rest, lambda r: let(group(r, r"[-,]\s*([A-Z]{2})\b"), lambda uf: cut(cep, r, uf))))
+
+    def cut(cep: Column, rest: Column, uf: Column) -> Column:
+        left = F.when(uf.isNotNull(), F.regexp_replace(rest, r"^(.*?)[-,]\s*[A-Z]{2}\b", "$1 ")).otherwise(rest)
+        parts = F.filter(F.transform(F.split(left, r"\s+-\s+|,"), lambda s: F.trim(s)), lambda s: s != "")
+        return let(parts, lambda p: let(F.coalesce(F.get(p, 1).rlike(r"^\d+[A-Za-z]?$"), F.lit(False)), lambda numbered: placed(cep, uf, p, numbered)))
+
+    def placed(cep: Column, uf: Column, parts: Column, numbered: Column) -> Column:
+        street = parse_street(F.when(numbered, F.concat_ws(", ", F.get(parts, 0), F.get(parts, 1))).otherwise(F.get(parts, 0)))
+        return let(street, lambda s: let(F.slice(parts, F.when(s["numero"].isNotNull() & numbered, 3).otherwise(2), F.lit(100)), lambda tail: built(cep, uf, s, tail)))
+
+    def built(cep: Column, uf: Column, street: Column, tail: Column) -> Column:
+        city = F.when(F.size(tail) > 0, blank_to_null(normalised(F.element_at(tail, -1))))
+        district = F.when(F.size(tail) > 1, blank_to_null(normalised(F.get(tail, 0))))
+        number = blank_to_null(F.replace(cep, F.lit("-"), F.lit("")))
+        known = street.isNotNull() | (F.size(tail) > 0) | uf.isNotNull()
+        return F.when(known, F.struct(street["tipo"].alias("tipo"), F.coalesce(street["logradouro"], F.lit("")).alias("logradouro"), street["numero"].alias("numero"), district.alias("bairro"), city.alias("municipio"), uf.alias("uf"), number.alias("cep")))
+
+    return let(col(raw), of)
 
 
 # ---------------------------------------------------------------- errors and answers

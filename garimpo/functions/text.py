@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -57,6 +58,12 @@ def pad_left(c: Column | str, n: int) -> Column:
     return F.when(F.length(c) >= n, c).otherwise(F.lpad(c, n, "0"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: it is bound as a lambda's variable, so that long chains
+    of expressions don't multiply by substitution."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def any_of(tests: list[Column]) -> Column:
     """OR over tests; false for none."""
     out = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import values as V
-from .text import any_of, blank_to_null, col, collapse, fold, group
+from .text import any_of, blank_to_null, col, collapse, fold, group, let
 
 # ---------------------------------------------------------------- hosts
 
@@ -120,11 +120,11 @@ def unwrap_redirect(url: Column | str) -> Column:
         goes_on = path_of(u).rlike(r"^/url$|/l/?$")
         return F.coalesce(query("uddg"), F.when(goes_on, F.coalesce(query("q"), query("url"))))
 
-    u = absolute(F.trim(col(url)))
-    for _ in range(2):
-        found = inner(u)
-        u = F.when(found.isNotNull(), absolute(found)).otherwise(u)
-    return F.when(u.rlike("(?i)^https?://[^/]") & inner(u).isNull(), u)
+    def step(u: Column) -> Column:
+        return let(inner(u), lambda found: F.when(found.isNotNull(), absolute(found)).otherwise(u))
+
+    last = lambda u: F.when(u.rlike("(?i)^https?://[^/]") & inner(u).isNull(), u)
+    return let(absolute(F.trim(col(url))), lambda u: let(step(u), lambda v: let(step(v), last)))
 
 
 # ---------------------------------------------------------------- markup
