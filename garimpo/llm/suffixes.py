@@ -207,7 +207,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     across = _match(ends, least, window, False)
     hits = found.filter("edge < 0").select("core", "doc", "pos", "before", "after").union(across.select("core", "doc", "pos", "before", "after"))
 
-    first = hits.groupBy(F.col("core").alias("_core")).agg(F.min(F.struct("doc", "pos")).alias("first"))
+    # written first, the two sides of the join are plain shuffles, which Spark can split where a core is frequent
+    first = materialise(hits.groupBy(F.col("core").alias("_core")).agg(F.min(F.struct("doc", "pos")).alias("first")), "suffix-firsts")
     core = least - window + 1
     placed = hits.join(first, hits["core"] == first["_core"]).select(
         "doc",
