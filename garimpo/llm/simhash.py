@@ -201,6 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = star.join(nodes, star["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     moved = star.join(least, "root").select("node", "component_id")
     named = nodes.join(moved, nodes["fp"] == moved["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
+    # written first, the last join is between plain shuffles, which Spark can split at a fingerprint of many copies
+    named = materialise(named, "simhash-classes")
     return prints.join(named, prints["fp"] == named["_fp"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
