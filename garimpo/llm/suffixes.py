@@ -3,18 +3,19 @@
 Only the suffixes that begin at content-selected positions are kept: in every stretch of ``w``
 consecutive k-grams the one with the least hash (a minimiser). Any passage of ``least`` words
 holds such a position among its first ``w``, so its suffix there shares at least ``least - w + 1``
-words (the *core*) with the passage's other places. Suffixes are range-sorted by their core and what follows; neighbours
-in that order with equal cores are compared, and the match is extended to the right and to the left over
-the ``w - 1`` words around the core. Longer passages hold further minimisers, whose matches join up, so
-nothing beyond those words has to be carried.
+words (the *core*) with the passage's other places. Suffixes are range-sorted by their core and what
+follows. Each passage of ``least`` words is hashed at the one minimiser of its first window, and hashes are counted over all
+places of that core: inside a partition where the core's rows lie in one, else by an aggregate. Longer
+passages hold further minimisers, whose matches join up, so nothing beyond those words has to be carried.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialise
@@ -58,20 +59,23 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Positions of the least k-gram (the last one among equals) of every ``window`` consecutive ones."""
+def minimisers(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the least k-gram (the last one among equals) of every ``window`` consecutive ones,
+    and the first and last of the windows of each: they follow one another."""
     grams = window_hashes(words, gram)
     if len(grams) < window:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     out = []
     for at in range(0, len(grams) - window + 1, 1 << 16):
         part = np.lib.stride_tricks.sliding_window_view(grams[at : at + (1 << 16) + window - 1], window)
         out.append(at + np.arange(len(part)) + window - 1 - part[:, ::-1].argmin(axis=1))
-    return np.unique(np.concatenate(out))
+    pos, first, n = np.unique(np.concatenate(out), return_index=True, return_counts=True)
+    return pos, first, first + n - 1
 
 
 def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int) -> DataFrame:
-    """(core, right, left, doc, pos): one row a kept suffix; right and left hold 16 bits a word, left backwards."""
+    """(core, right, left, doc, pos, low, high): one row a kept suffix; right and left hold 16 bits a word, left backwards.
+    The passages of ``least`` words that begin ``low`` to ``high`` words before it have it as their minimiser; each has one."""
     core, side = least - window + 1, window - 1
 
     def run(batches):
@@ -82,15 +86,16 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int
                 if len(tokens) < least:
                     continue
                 words = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
-                pos = minimisers(words, gram, window)
-                pos = pos[pos + core <= len(words)]
+                pos, first, last = minimisers(words, gram, window)
+                inside = first <= len(words) - least
+                pos, first, last = pos[inside], first[inside], np.minimum(last[inside], len(words) - least)
                 small = ((words >> np.uint64(20)) & np.uint64(0xFFFF)).astype(">u2")
                 # words beyond the text: a value that differs by position and document never matters, as lengths end it
                 padded = np.concatenate([np.zeros(side, ">u2"), small, np.zeros(side, ">u2")])
                 views = np.lib.stride_tricks.sliding_window_view(padded, side)
                 right = np.ascontiguousarray(views[pos + core + side])
                 left = np.ascontiguousarray(views[pos][:, ::-1])
-                parts.append((i, window_hashes(words, core)[pos].view(np.int64), right, left, pos, len(words)))
+                parts.append((i, window_hashes(words, core)[pos].view(np.int64), right, left, pos, pos - last, pos - first))
             if not parts:
                 continue
             n = sum(len(p[4]) for p in parts)
@@ -99,99 +104,167 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([p[1] for p in parts])), fixed(2), fixed(3), batch.column(0).take(pa.array(of)),
-                    pa.array(np.concatenate([p[4] for p in parts]).astype(np.int32)), pa.array(np.repeat([p[5] for p in parts], [len(p[4]) for p in parts]).astype(np.int32)),
+                    *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5, 6)),
                 ],
-                names=["core", "right", "left", "doc", "pos", "words"],
+                names=_ROW,
             )
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, right binary, left binary, doc long, pos int, words int")
-
-
-_OUT = "edge int, core long, right binary, left binary, doc long, pos int, words int, before int, after int"
-_NAMES = ["edge", "core", "right", "left", "doc", "pos", "words", "before", "after"]
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, right binary, left binary, doc long, pos int, low int, high int")
 
 
-def _common(a: np.ndarray, b: np.ndarray, room_a: np.ndarray, room_b: np.ndarray) -> np.ndarray:
-    """Leading words that two rows share, at most what either text has there."""
-    same = a == b
-    n = np.where(same.all(axis=1), a.shape[1], (~same).argmax(axis=1))
-    return np.minimum(n, np.minimum(room_a, room_b))
+_ROW = ["core", "right", "left", "doc", "pos", "low", "high"]
+_OUT = "open boolean, core long, right binary, left binary, doc long, pos int, low int, high int, start_word int, end_word int, keep_start int, keep_end int, first_doc long"
+#: Rows of one core that a task holds at once; larger groups meet by their keys instead.
+GROUP_ROWS = 100_000
 
 
-def _compare(t: dict, order: np.ndarray, core: int, least: int, before: np.ndarray, after: np.ndarray) -> None:
-    """Match neighbours in ``order``; keep the longest match of each row."""
-    a, b = order[:-1], order[1:]
-    near = (t["core"][a] == t["core"][b]) & ~((t["doc"][a] == t["doc"][b]) & (t["pos"][a] == t["pos"][b]))
-    a, b = a[near], b[near]
-    if not len(a):
-        return
-    end = lambda x: t["words"][x] - t["pos"][x] - core
-    left = _common(t["left"][a], t["left"][b], t["pos"][a], t["pos"][b])
-    right = _common(t["right"][a], t["right"][b], end(a), end(b))
-    long = left + core + right >= least
-    for rows in (a[long], b[long]):
-        np.maximum.at(before, rows, left[long])
-        np.maximum.at(after, rows, right[long])
+def _keys(core: np.ndarray, right: np.ndarray, left: np.ndarray, i: int) -> np.ndarray:
+    """Hash of the passages of ``least`` words that begin ``i`` words before the core."""
+    side = right.shape[1]
+    odd = np.random.default_rng(11).integers(0, 1 << 63, 2 * side + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        h = core.view(np.uint64) * odd[-1] + np.uint64(i) * odd[-2]
+        h = h + left[:, :i].astype(np.uint64) @ odd[:i] + right[:, : side - i].astype(np.uint64) @ odd[side : 2 * side - i]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def _columns(table: pa.Table, side: int) -> dict:
-    t = {c: table[c].to_numpy() for c in ("core", "doc", "pos", "words")}
+    t = {c: table[c].to_numpy() for c in table.column_names if c not in ("right", "left")}
     for c in ("right", "left"):
         t[c] = np.frombuffer(b"".join(table[c].to_pylist()), ">u2").reshape(-1, side).astype(np.uint16)
     return t
 
 
-def _match(rows: DataFrame, least: int, window: int, edges: bool) -> DataFrame:
-    """Compare neighbours of sorted partitions. ``edges`` also gives each partition's first and last row,
-    for which ``edge`` is twice the partition's number, or one more; else that is -1."""
-    core, side = least - window + 1, window - 1
+def _resolve(table: pa.Table, least: int, core: int):
+    """Rows of whole groups: the words of each that repeated passages cover, and those that stand here first."""
+    side = least - core
+    cores = table["core"].to_numpy()
+    same = cores[1:] == cores[:-1]
+    table = table.filter(pa.array(np.append(same, False) | np.insert(same, 0, False)))
+    n = len(table)
+    if not n:
+        return
+    t = _columns(table, side)
+    by_place = np.lexsort((t["pos"], t["doc"]))
+    new = np.ones(n, bool)
+    new[1:] = (np.diff(t["doc"][by_place]) != 0) | (np.diff(t["pos"][by_place]) != 0)
+    place = np.empty(n, np.int64)
+    place[by_place] = np.cumsum(new) - 1
+    docs = t["doc"][by_place][new]
+    # most and least words before the core: of all repeated passages, and of those whose first place this is
+    most, fewest = np.full((2, n), -1, np.int32), np.full((2, n), side + 1, np.int32)
+    first_place = np.full(n, n, np.int64)
+    for i in range(side + 1):
+        rows = np.flatnonzero((t["low"] <= i) & (i <= t["high"]))
+        if not len(rows):
+            continue
+        key = _keys(t["core"][rows], t["right"][rows], t["left"][rows], i)
+        order = np.argsort(key)
+        rows, key = rows[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(starts, len(rows)))
+        first, last = (np.repeat(f.reduceat(place[rows], starts), lengths) for f in (np.minimum, np.maximum))
+        again = first < last
+        rows, first = rows[again], first[again]
+        for k, held in enumerate((rows, rows[place[rows] == first])):
+            most[k, held], fewest[k, held] = np.maximum(most[k, held], i), np.minimum(fewest[k, held], i)
+        first_place[rows] = np.minimum(first_place[rows], first)
+    found = np.flatnonzero(most[0] >= 0)
+    if not len(found):
+        return
+    pos, kept = t["pos"][found], most[1, found] < 0
+    blank = pa.array([b""] * len(found), pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.zeros(len(found), bool)), pa.array(t["core"][found]), blank, blank, pa.array(t["doc"][found]), pa.array(pos), pa.array(t["low"][found]), pa.array(t["high"][found]),
+            pa.array(pos - most[0, found]), pa.array(pos - fewest[0, found] + least), pa.array(pos - most[1, found], mask=kept), pa.array(pos - fewest[1, found] + least, mask=kept),
+            pa.array(docs[first_place[found]]),
+        ],
+        names=re.findall(r"(\w+) \w+", _OUT),
+    )
+
+
+def _match(rows: DataFrame, least: int, window: int, group_rows: int) -> DataFrame:
+    """Resolve the groups of equal core that lie inside a sorted partition. Rows of a partition's first and last
+    group, which may go on in the next partition, and of very large groups come out ``open``, as they are."""
+    core = least - window + 1
+
+    def as_open(table: pa.Table):
+        for b in table.combine_chunks().to_batches():
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), *b.columns, *(pa.nulls(n, pa.int32()) for _ in range(4)), pa.nulls(n, pa.int64())], names=re.findall(r"(\w+) \w+", _OUT))
 
     def run(batches):
-        pid, carry, first = TaskContext.get().partitionId(), None, True
+        open_core, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).select(["core", "right", "left", "doc", "pos", "words"])
-            if edges and first:
-                yield from _edge(table.slice(0, 1), 2 * pid)
-            first = False
-            if carry is not None:
-                table = pa.concat_tables([carry, table])
-            t = _columns(table, side)
-            n = len(table)
-            before, after = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
-            _compare(t, np.arange(n), core, least, before, after)
-            by_left = np.lexsort((*(t["left"][:, k] for k in range(side - 1, -1, -1)), t["core"]))
-            _compare(t, by_left, core, least, before, after)
-            found = np.flatnonzero(before >= 0)
-            if len(found):
-                kept = table.take(pa.array(found))
-                yield _batch(kept, np.full(len(found), -1), before[found], after[found])
-            carry = table.slice(n - 1)
-        if edges and carry is not None:
-            yield from _edge(carry, 2 * pid + 1)
+            table = pa.Table.from_batches([batch]).select(_ROW)
+            cores = table["core"].to_numpy()
+            if open_core is None:
+                open_core = cores[0]
+            n = int(np.searchsorted(cores, open_core, "right")) if cores[0] == open_core else 0
+            if n:
+                yield from as_open(table.slice(0, n))
+                table, cores = table.slice(n), cores[n:]
+            if not len(cores):
+                continue
+            last = int(np.searchsorted(cores, cores[-1], "left"))
+            if last or (held and held[0]["core"][0].as_py() != cores[0]):
+                yield from _resolve(pa.concat_tables([*held, table.slice(0, last)]), least, core)
+                held = []
+            held.append(table.slice(last))
+            if sum(map(len, held)) > group_rows:
+                for x in held:
+                    yield from as_open(x)
+                open_core, held = cores[-1], []
+        for x in held:
+            yield from as_open(x)
 
     return rows.mapInArrow(run, _OUT)
 
 
-def _batch(t: pa.Table, edge: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-    """Contexts are only needed again at the edges."""
-    blank = edge[0] < 0
-    context = [pa.array([b""] * len(t), pa.binary()) if blank else t[c].combine_chunks() for c in ("right", "left")]
-    return pa.RecordBatch.from_arrays([pa.array(edge.astype(np.int32)), t["core"].combine_chunks(), *context, *(t[c].combine_chunks() for c in ("doc", "pos", "words")), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], names=_NAMES)
-
-
-def _edge(t: pa.Table, number: int):
-    yield _batch(t, np.array([number]), np.array([-1]), np.array([-1]))
-
+def _across(found: DataFrame, least: int, window: int) -> DataFrame:
+    """The open rows by the keys of their passages; rows of equal surroundings go as one."""
+    side = window - 1
+    rows = found.filter("open").select(*_ROW).withColumn("context", F.xxhash64("core", "right", "left", "low", "high"))
+    place = F.struct("doc", "pos")
+    contexts = rows.groupBy("core", "context", "right", "left", "low", "high").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = _columns(pa.Table.from_batches([batch]).select(["core", "right", "left", "low", "high"]), side)
+            for i in range(side + 1):
+                rows = np.flatnonzero((t["low"] <= i) & (i <= t["high"]))
+                at = pa.array(rows)
+                key = pa.array(_keys(t["core"][rows], t["right"][rows], t["left"][rows], i))
+                kept = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("core", "context", "first", "last")]
+                yield pa.RecordBatch.from_arrays([*kept, key, pa.array(np.full(len(rows), i, np.int32))], names=["core", "context", "first", "last", "key", "i"])
+
+    places = "first struct<doc:long,pos:int>, last struct<doc:long,pos:int>"
+    keys = materialise(contexts.mapInArrow(run, f"core long, context long, {places}, key long, i int"), "suffix-keys")
+    # written first, the two sides of a join are plain shuffles, which Spark can split
+    firsts = materialise(keys.groupBy(F.col("core").alias("_core"), F.col("key").alias("_key")).agg(F.min("first").alias("place"), F.max("last").alias("_last")).filter("place < _last").drop("_last"), "suffix-firsts")
+    again = keys.join(firsts, (keys["core"] == firsts["_core"]) & (keys["key"] == firsts["_key"])).groupBy(F.col("core").alias("_core"), F.col("context").alias("_context"))
+    again = materialise(again.agg(F.max("i").alias("most"), F.min("i").alias("fewest"), F.min("place.doc").alias("first_doc"), F.collect_list(F.struct("i", "place")).alias("passages")), "suffix-contexts")
+    own = F.transform(F.filter("passages", lambda p: (p["place"]["doc"] == F.col("doc")) & (p["place"]["pos"] == F.col("pos"))), lambda p: p["i"])
+    joined = rows.join(again, (rows["core"] == again["_core"]) & (rows["context"] == again["_context"])).withColumn("own", own)
+    return joined.select(
+        "doc", (F.col("pos") - F.col("most")).alias("start_word"), (F.col("pos") - F.col("fewest") + least).alias("end_word"),
+        (F.col("pos") - F.array_max("own")).alias("keep_start"), (F.col("pos") - F.array_min("own") + least).alias("keep_end"), "first_doc",
+    )
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, gram: int = GRAM, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Passages of at least ``least`` words that occur at more than one place.
 
     Returns one row a maximal span of a document: (id_col, start_word, end_word, n_words, first_doc,
-    duplicate). Words are runs without ASCII white space; ``end_word`` is exclusive. A span is a run of words covered by
-    matches; ``first_doc`` is the smallest id in which any of its suffixes occurs, and ``duplicate``
-    is false if the document is that one and all of the span's suffixes occur here first.
+    duplicate). Words are runs without ASCII white space; ``end_word`` is exclusive. A span is a run of words
+    covered by passages of ``least`` words that occur again; ``first_doc`` is the smallest id in which any of them occurs.
+    ``duplicate`` is false if all of the span's passages occur here first.
 
     Null and short texts have no span, nor do rows without an id. Copies of a document are spans from end to end. A
     repeated id counts as one more place only where its text has the passage elsewhere. An empty
@@ -201,27 +274,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         raise ValueError("a passage must hold a whole window of k-grams")
     rows = _suffixes(docs, id_col, text_col, least, gram, window)
     order = ["core", "right", "left", "doc", "pos"]
-    found = materialise(_match(rows.repartitionByRange(*order).sortWithinPartitions(*order), least, window, True), "suffixes")
-    # neighbours across partitions: two rows a partition, whatever it holds
-    ends = found.filter("edge >= 0").select(*order, "words", "edge").repartition(1).sortWithinPartitions("edge")
-    across = _match(ends, least, window, False)
-    hits = found.filter("edge < 0").select("core", "doc", "pos", "before", "after").union(across.select("core", "doc", "pos", "before", "after"))
-
-    # written first, the two sides of the join are plain shuffles, which Spark can split where a core is frequent
-    first = materialise(hits.groupBy(F.col("core").alias("_core")).agg(F.min(F.struct("doc", "pos")).alias("first")), "suffix-firsts")
-    core = least - window + 1
-    placed = hits.join(first, hits["core"] == first["_core"]).select(
-        "doc",
-        (F.col("pos") - F.col("before")).alias("start_word"),
-        (F.col("pos") + core + F.col("after")).alias("end_word"),
-        F.col("first.doc").alias("first_doc"),
-        ((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))).alias("duplicate"),
-    )
+    found = materialise(_match(rows.repartitionByRange(*order).sortWithinPartitions(*order), least, window, group_rows), "suffixes")
+    columns = ["doc", "start_word", "end_word", "keep_start", "keep_end", "first_doc"]
+    placed = found.filter("not open").select(*columns).union(_across(found, least, window).select(*columns)).distinct()
     # spans of a document that overlap or touch join up
     by_start = Window.partitionBy("doc").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = placed.withColumn("_new", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start_word"), 1).otherwise(0)).withColumn("_span", F.sum("_new").over(by_start))
-    spans = islands.groupBy("doc", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("first_doc"), F.max("duplicate").alias("duplicate"))
+    elsewhere = ~F.coalesce((F.col("keep_start") == F.col("start_word")) & (F.col("keep_end") == F.col("end_word")), F.lit(False))
+    spans = islands.groupBy("doc", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("first_doc"), F.max(elsewhere).alias("duplicate"))
     return spans.select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", "duplicate")
 
 

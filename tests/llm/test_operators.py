@@ -65,6 +65,22 @@ def test_drop_repeats_keeps_one(spark):
     assert left == {1: text, 2: "before after", 3: "other"}
 
 
+@pytest.mark.parametrize("group_rows", [suffixes.GROUP_ROWS, 0])
+def test_suffixes_find_a_pair_in_a_frequent_core(spark, group_rows):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    boiler, pairs = text(45), [text(5) for _ in range(4)]
+    texts = [f"{text(30)} {p + ' ' if p else ''}{boiler} {text(30)}" for p in [*pairs, *pairs, *[""] * 600]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, batch = defaultdict(set), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 40)
+    for r in suffixes.repeats(docs, group_rows=group_rows).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    spark.conf.unset(batch)
+    assert found == covered(list(enumerate(texts)), 50) and len(found) == 8
+
+
 def test_suffixes_empty(empty):
     assert rows(suffixes.repeats(empty)) == []
 
