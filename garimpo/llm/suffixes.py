@@ -262,9 +262,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """Passages of at least ``least`` words that occur at more than one place.
 
     Returns one row a maximal span of a document: (id_col, start_word, end_word, n_words, first_doc,
-    duplicate). Words are runs without ASCII white space; ``end_word`` is exclusive. A span is a run of words
+    duplicate, duplicate_runs). Words are runs without ASCII white space; ``end_word`` is exclusive. A span is a run of words
     covered by passages of ``least`` words that occur again; ``first_doc`` is the smallest id in which any of them occurs.
-    ``duplicate`` is false if all of the span's passages occur here first.
+    ``duplicate_runs`` are the (start_word, end_word) of the span's words that no passage covers whose first place (by
+    document and position) is here; ``duplicate`` tells that these are all of its words.
 
     Null and short texts have no span, nor do rows without an id. Copies of a document are spans from end to end. A
     repeated id counts as one more place only where its text has the passage elsewhere. An empty
@@ -281,15 +282,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     by_start = Window.partitionBy("doc").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = placed.withColumn("_new", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start_word"), 1).otherwise(0)).withColumn("_span", F.sum("_new").over(by_start))
-    elsewhere = ~F.coalesce((F.col("keep_start") == F.col("start_word")) & (F.col("keep_end") == F.col("end_word")), F.lit(False))
-    spans = islands.groupBy("doc", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("first_doc"), F.max(elsewhere).alias("duplicate"))
-    return spans.select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", "duplicate")
+    kept = F.array_sort(F.collect_set(F.when(F.col("keep_start").isNotNull(), F.struct(F.col("keep_start").alias("a"), F.col("keep_end").alias("b")))))
+    spans = islands.groupBy("doc", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("first_doc"), kept.alias("kept"))
+    # what lies between the kept words
+    runs = F.expr("""aggregate(concat(kept, array(struct(end_word AS a, end_word AS b))),
+      struct(start_word AS at, cast(array() AS array<struct<start_word:int,end_word:int>>) AS runs),
+      (s, k) -> struct(greatest(s.at, k.b) AS at, if(k.a > s.at, concat(s.runs, array(struct(s.at AS start_word, k.a AS end_word))), s.runs) AS runs),
+      s -> s.runs)""")
+    return spans.select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", (F.size("kept") == 0).alias("duplicate"), runs.alias("duplicate_runs"))
 
 
 def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the words of duplicate spans taken out; the first place of a passage keeps it.
-    Texts without such a span stay as they are. Columns are those of ``docs``."""
-    spans = repeats(docs, least=least).filter("duplicate").groupBy(F.col("doc_id").alias("_repeat_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_repeat_spans"))
+    """``docs`` with the words of duplicate runs taken out; the first place of a passage keeps it.
+    Texts without such a run stay as they are. Columns are those of ``docs``."""
+    spans = repeats(docs, least=least).filter(F.size("duplicate_runs") > 0).groupBy(F.col("doc_id").alias("_repeat_doc")).agg(F.flatten(F.collect_list("duplicate_runs")).alias("_repeat_spans"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     kept = F.filter(words, lambda _, i: ~F.exists("_repeat_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
     out = docs.join(spans, docs["doc_id"] == spans["_repeat_doc"], "left").withColumn("text", F.when(F.col("_repeat_spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text")))

@@ -81,6 +81,15 @@ def test_suffixes_find_a_pair_in_a_frequent_core(spark, group_rows):
     assert found == covered(list(enumerate(texts)), 50) and len(found) == 8
 
 
+def test_first_places_of_passages_stay(spark):
+    x, y, p = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyp")
+    docs = spark.createDataFrame([(1, x), (2, f"{x} {y}"), (3, y), (4, f"{p} {p}"), (5, "w " * 200)], "doc_id long, text string")
+    left = dict(rows(suffixes.drop_repeats(docs)))
+    assert left == {1: x, 2: y, 3: "", 4: p, 5: " ".join(["w"] * 50)}
+    runs = {r["doc_id"]: (r["duplicate"], r["first_doc"], [tuple(x) for x in r["duplicate_runs"]]) for r in suffixes.repeats(docs).collect()}
+    assert runs == {1: (False, 1, []), 2: (False, 1, [(0, 60)]), 3: (True, 2, [(0, 60)]), 4: (False, 4, [(60, 120)]), 5: (False, 5, [(50, 200)])}
+
+
 def test_suffixes_empty(empty):
     assert rows(suffixes.repeats(empty)) == []
 
