@@ -46,6 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a number of its own for each row in ``column``; written once, so that the numbers hold."""
+    return materialise(df.withColumn(column, F.monotonically_increasing_id()), "numbered")
+
+
 def crc32_of_id(col):
     """CRC-32 of an id written as decimal text (null id: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

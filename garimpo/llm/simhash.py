@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 LOW_BITS = 0x5555555555555555
 #: Members of a cell beyond which it is dealt out as pairs of chunks.
@@ -207,8 +207,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 5) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays
-    (every row of it, if repeated); rows without a doc_id stay. Columns are those of ``docs``."""
-    found = near_duplicates(docs, radius=radius, shingle=shingle)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without near-duplicates: of each component one row stays, one with the smallest doc_id, or
+    with none if no row has any. Other rows of that doc_id are judged by their own text. Columns are those of ``docs``."""
+    rows = numbered(docs, "_row")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col("_row").alias("row"))
+    found = near_duplicates(rows.select(key.alias("_key"), "text"), "_key", radius=radius, shingle=shingle)
+    kept = found.filter(F.col("_key.row") == F.col("component_id.row")).select(F.col("_key.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

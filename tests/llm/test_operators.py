@@ -397,6 +397,12 @@ def test_keep_first(spark, odd, empty):
     assert rows(simhash.near_duplicates(empty)) == [] and rows(simhash.keep_first(empty)) == []
 
 
+def test_keep_first_keeps_one_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a)] * 3 + [(None, a), (None, b), (None, b), (4, c), (4, a), (5, c)], "doc_id long, text string").repartition(3)
+    assert Counter(rows(simhash.keep_first(docs))) == Counter([(1, a), (None, b), (4, c)])
+
+
 # ---------------------------------------------------------------- 9
 
 
