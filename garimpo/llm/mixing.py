@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, numbered
 
 #: Rows of all sources together that fall in one range of keys.
 ROWS_PER_RANGE = 20_000
@@ -73,6 +73,7 @@ def mix(
     max_epochs: int = 3,
     seed: str = "mix",
     rows_per_range: int = ROWS_PER_RANGE,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -84,10 +85,11 @@ def mix(
 
     Null text has size 0 and is taken 0 times a word. Null sources form one source, ordered last.
     An empty table gives no rows. Repeated rows are documents of their own. Other columns, whatever
-    their names, are not read. Rows of equal key (repeated ids) are ordered by size.
+    their names, are not read. Rows of equal key (repeated ids) are ordered by size. Columns named in ``carried``
+    come along as they are and order what else is equal.
     """
     base = materialise(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("size"), hash_key(id_col, seed=seed).alias("_key")),
+        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("size"), hash_key(id_col, seed=seed).alias("_key"), *carried),
         "mix-sizes",
     )
     bits = max(8, math.ceil(math.log2(max(1.0, base.count() / rows_per_range))))
@@ -101,7 +103,7 @@ def mix(
     goal = targets(sizes, "_s", list(weights), max_epochs)
     before = before.join(goal, before["_source"].eqNullSafe(goal["_s"])).select("_source", "_range", "_before", "source_size", "target")
 
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size", "_id", *carried).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     right = before.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target")
     joined = placed.join(right, placed["_source"].eqNullSafe(right["_s"]) & (placed["_range"] == right["_r"]))
@@ -112,22 +114,22 @@ def mix(
         .withColumn("_rest", F.col("_budget") - F.col("epochs") * F.col("source_size") - F.col("_before") - F.col("_in"))
         .withColumn("part", F.when(F.col("epochs") >= max_epochs, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("size", "_rest"))).cast("long"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
-        .select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", "epochs", "part", "taken")
+        .select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", "epochs", "part", "taken", *carried)
     )
 
 
 def take(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus itself: each document once for every whole pass, and once more, cut to
     ``part`` words, where the budget ends inside another pass. Columns are those of ``docs``
-    (doc_id, text, source and n_chars are used); rows of a repeated doc_id are matched by their text.
+    (doc_id, text, source and n_chars are used); every row is taken as the plan says for that row.
     """
     pair = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-    keyed = docs.select(pair.alias("_mix_pair"), *docs.columns)
-    plan = mix(keyed.select("_mix_pair", "text", "source"), "_mix_pair", weights=weights, max_epochs=max_epochs, seed=seed)
-    plan = plan.filter("taken > 0").groupBy("_mix_pair").agg(*[F.max_by(c, "taken").alias(f"_mix_{c}") for c in ("size", "epochs", "part")])
+    keyed = numbered(docs, "_mix_row")
+    plan = mix(keyed.select(pair.alias("_mix_pair"), "text", "source", "_mix_row"), "_mix_pair", weights=weights, max_epochs=max_epochs, seed=seed, carried=("_mix_row",))
+    plan = plan.filter("taken > 0").select("_mix_row", *[F.col(c).alias(f"_mix_{c}") for c in ("size", "epochs", "part")])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_part").cast("int")), " ")
     rows = (
-        keyed.join(plan, "_mix_pair")
+        keyed.join(plan, "_mix_row")
         .withColumn("_mix_copy", F.explode(F.expr("sequence(1L, _mix_epochs + if(_mix_part > 0, 1L, 0L))")))
         .withColumn("_mix_cut", (F.col("_mix_copy") > F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size")))
     )

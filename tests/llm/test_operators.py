@@ -493,3 +493,14 @@ def test_take_has_the_planned_words(odd, empty):
     plan = mixing.mix(docs).agg(F.sum("taken")).first()[0]
     assert sum(len(WORDS.findall(r["text"])) for r in mixing.take(docs).collect()) == plan
     assert rows(mixing.mix(empty)) == [] and rows(mixing.take(empty)) == []
+
+
+def test_take_follows_the_plan_of_repeated_rows(spark):
+    same, other = " ".join(f"s{i}" for i in range(40)), " ".join(f"o{i}" for i in range(1000))
+    docs = spark.createDataFrame([(1, same, "b")] * 30 + [(1, same, "a")] * 2 + [(2, other, "a"), (None, same, "b"), (None, same, "b")], "doc_id long, text string, source string").repartition(3)
+    plan, taken = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["source"]] += r["taken"]
+    for r in mixing.take(docs).collect():
+        taken[r["source"]] += len(WORDS.findall(r["text"]))
+    assert taken == plan
