@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 #: Base kinds in their order. Group 2 of an assignment is its value; the fixed lengths are least lengths of a value.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -129,21 +129,20 @@ def mask(text: str | None, spans: str) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by a mark of its kind; all documents stay. Columns are those
-    of ``docs``. Documents without a span aren't touched, and only rows with one are joined."""
-    spans = scan(docs).filter("spans <> ''").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.collect_set("spans").alias("_secret_spans"))
+    of ``docs``. Rows without a span aren't touched; spans are joined by row, so ids may repeat or be null."""
+    rows = numbered(docs, "_secret_row")
+    spans = scan(rows, "_secret_row").filter("spans <> ''").select("_secret_row", F.col("spans").alias("_secret_spans"))
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     text_at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for batch in batches:
             texts, sizes = [], []
-            lists, old = batch.column(width).to_pylist(), batch.column(text_at).to_pylist()
+            held_by, old = batch.column(width).to_pylist(), batch.column(text_at).to_pylist()
             counts = batch.column(n_chars).to_pylist() if n_chars is not None else [None] * len(old)
-            for text, held, n in zip(old, lists, counts, strict=True):
-                if held and text:
-                    kept = {x for spans in held for x in spans.split(",")}  # of all rows of this id
-                    own = (f"{KINDS[k]}:{a}:{b}" for k, a, b, _ in candidates(text))
-                    text = mask(text, ",".join(x for x in own if x in kept))
+            for text, spans, n in zip(old, held_by, counts, strict=True):
+                if spans and text:
+                    text = mask(text, spans)
                     n = len(text)
                 texts.append(text)
                 sizes.append(n)
@@ -153,4 +152,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[n_chars] = pa.array(sizes, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return docs.join(spans, docs["doc_id"] == spans["_secret_doc"], "left").drop("_secret_doc").mapInArrow(run, docs.schema)
+    return rows.join(spans, "_secret_row", "left").select(*docs.columns, "_secret_spans").mapInArrow(run, docs.schema)
