@@ -106,7 +106,7 @@ def _matrix(texts: list) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Voters | None:
     """Voters from about ``sample`` labelled documents at most, those with the smallest hashes of
-    their ids; of an id with several labels the mean counts. None if there is no label."""
+    their ids; of an id with several labels the mean counts, of one with several rows a single text. None if there is no label."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg(label_col).alias("_label"))
     n = known.count()
     if not n:
@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             rows = [features(t).astype("<f2").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, F.col("_label").alias("label")).mapInArrow(run, "x binary, label double").collect()
+    sampled = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, F.col("_label").alias("label")).agg(F.min(F.struct(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))).alias("one"))
+    rows = sampled.select("one.text", "label").mapInArrow(run, "x binary, label double").collect()
     if not rows:
         return None
     rows = sorted(rows)

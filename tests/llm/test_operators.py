@@ -269,6 +269,12 @@ def test_quality_odd(spark, odd, empty):
     assert rows(quality.classify(empty, labels)) == []
 
 
+def test_a_repeated_id_votes_once(spark):
+    docs = spark.createDataFrame([(1, "hot text again")] * 50 + [(1, "another text"), (2, "a b c"), (3, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert sorted(quality.fit(docs, labels, "quality").labels.tolist()) == [0, 0, 1]
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(3)
     x, y = np.abs(rng.standard_normal((60, quality.COLUMNS))).astype(np.float32), rng.integers(0, 2, 60)
