@@ -10,6 +10,8 @@ from .filters import CompanyFilters, apply, prefix_match
 
 LIMIT_DEFAULT, LIMIT_MOST = 50, 1000
 MIN_STREET_CHARS, AMBIGUOUS_AT = 4, 12
+#: Parts that the establishments of one address are dealt to before their smallest numbers are picked.
+ADDRESS_SALTS = 64
 
 ORDERS = {
     "founded-desc": ("data_inicio_atividade", "desc"),
@@ -141,15 +143,24 @@ def find_by_address(companies: DataFrame, probes: DataFrame) -> DataFrame:
     """(ref, skipped, ambiguous, cnpjs): establishments with a probe's number and state whose street ends with its last word.
 
     A probe that can't be asked says why: no number, a short street or no state, in this order. At most 12 numbers
-    are listed, the smallest; a 13th makes the probe ambiguous. Probes meet the registry by (number,
-    state); only the street's end is a residual condition.
+    are listed, the smallest; a 13th makes the probe ambiguous. The registry is first reduced to the 13 smallest
+    numbers of each (number, state, street's end) that is asked, which the probes then meet by equality.
     """
     p = probes.select("ref", digits(F.coalesce("numero", F.lit(""))).alias("_no"), F.coalesce(F.try_element_at(F.filter(F.split(F.coalesce("logradouro", F.lit("")), r"(?U)\s+"), lambda w: w != ""), F.lit(-1)), F.lit("")).alias("_street"), F.upper(F.coalesce("uf", F.lit(""))).alias("_uf"))
     skipped = F.when(F.col("_no") == "", "sem-numero").when(F.length("_street") < MIN_STREET_CHARS, "rua-curta").when(F.col("_uf") == "", "sem-uf")
     p = p.withColumn("skipped", skipped)
     there = companies.select("cnpj", digits("numero").alias("_n"), F.col("uf").alias("_u"), "logradouro")
     asked = p.filter("skipped is null")
-    hit = asked.join(there, (asked["_no"] == there["_n"]) & (asked["_uf"] == there["_u"]) & there["logradouro"].endswith(asked["_street"]))
+    key = ["_no", "_uf", "_street"]
+    wanted = asked.select(*key).distinct()
+    ends = wanted.groupBy("_no", "_uf").agg(F.collect_set(F.length("_street")).alias("_lengths"))
+    cut = there.join(ends, (there["_n"] == ends["_no"]) & (there["_u"] == ends["_uf"])).withColumn("_length", F.explode("_lengths")).filter(F.length("logradouro") >= F.col("_length"))
+    cut = cut.select("cnpj", "_no", "_uf", F.expr("right(logradouro, _length)").alias("_street")).join(wanted, key, "left_semi")
+    smallest = lambda df, *by: df.withColumn("_few", F.row_number().over(Window.partitionBy(*by).orderBy("cnpj"))).filter(F.col("_few") <= AMBIGUOUS_AT + 1)
+    # in two steps, so that a frequent address doesn't meet in one task
+    few = smallest(cut.withColumn("_salt", F.pmod(F.xxhash64("cnpj"), F.lit(ADDRESS_SALTS))), *key, "_salt")
+    few = smallest(few, *key).select("cnpj", *key)
+    hit = asked.join(few, key)
     ranked = hit.withColumn("_rank", F.row_number().over(Window.partitionBy("ref").orderBy("cnpj"))).filter(F.col("_rank") <= AMBIGUOUS_AT + 1)
     found = ranked.groupBy("ref").agg(F.sort_array(F.collect_list(F.when(F.col("_rank") <= AMBIGUOUS_AT, F.col("cnpj")))).alias("cnpjs"), (F.max("_rank") > AMBIGUOUS_AT).alias("ambiguous"))
     return p.select("ref", "skipped").join(found, "ref", "left").select("ref", "skipped", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("cnpjs", F.array().cast("array<string>")).alias("cnpjs"))

@@ -244,18 +244,31 @@ def semi_join_page(spark, d):
     return discovery.by_numbers(est(spark, d), keys).select("cnpj", "razao_social")
 
 
+def _lookup(spark, d, customers):
+    k = F.col("c_custkey")
+    probes = customers.select(
+        k.cast("string").alias("ref"), F.concat(F.lit("RUA DAS "), F.col("c_mktsegment")).alias("logradouro"), F.when(k % 11 != 0, (k % 50).cast("string")).alias("numero"),
+        F.when(k % 13 != 0, F.lower(F.substring(F.lit("OFP"), (k % 3 + 1).cast("int"), F.lit(1)))).alias("uf"),
+    )
+    return discovery.find_by_address(est(spark, d), probes).withColumn("cnpjs", F.array_join("cnpjs", ","))
+
+
 @query(EST + """, p AS (SELECT c_custkey::VARCHAR AS ref, 'RUA DAS ' || c_mktsegment AS street, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey % 50)::VARCHAR END AS no,
  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE lower(substr('OFP', (c_custkey % 3 + 1)::INTEGER, 1)) END AS uf FROM customer WHERE c_custkey < 200),
 h AS (SELECT ref, cnpj, row_number() OVER (PARTITION BY ref ORDER BY cnpj) AS rn FROM p JOIN est e ON e.numero = p.no AND e.uf = upper(p.uf) AND ends_with(e.logradouro, list_last(string_split(street, ' ')))),
 g AS (SELECT ref, count(*) > 12 AS ambiguous, string_agg(cnpj, ',' ORDER BY cnpj) FILTER (WHERE rn <= 12) AS cnpjs FROM h GROUP BY ref)
 SELECT p.ref, CASE WHEN no IS NULL THEN 'sem-numero' WHEN p.uf IS NULL THEN 'sem-uf' END AS skipped, coalesce(ambiguous, false) AS ambiguous, coalesce(cnpjs, '') AS cnpjs FROM p LEFT JOIN g USING (ref)""")
 def address_batch_lookup(spark, d):
-    k = F.col("c_custkey")
-    probes = t(spark, d, "customer").filter(k < 200).select(
-        k.cast("string").alias("ref"), F.concat(F.lit("RUA DAS "), F.col("c_mktsegment")).alias("logradouro"), F.when(k % 11 != 0, (k % 50).cast("string")).alias("numero"),
-        F.when(k % 13 != 0, F.lower(F.substring(F.lit("OFP"), (k % 3 + 1).cast("int"), F.lit(1)))).alias("uf"),
-    )
-    return discovery.find_by_address(est(spark, d), probes).withColumn("cnpjs", F.array_join("cnpjs", ","))
+    return _lookup(spark, d, t(spark, d, "customer").filter("c_custkey < 200"))
+
+
+@query(EST + """, p AS (SELECT c_custkey::VARCHAR AS ref, 'RUA DAS ' || c_mktsegment AS street, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey % 50)::VARCHAR END AS no,
+ CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE lower(substr('OFP', (c_custkey % 3 + 1)::INTEGER, 1)) END AS uf FROM customer),
+h AS (SELECT ref, cnpj, row_number() OVER (PARTITION BY ref ORDER BY cnpj) AS rn FROM p JOIN est e ON e.numero = p.no AND e.uf = upper(p.uf) AND ends_with(e.logradouro, list_last(string_split(street, ' ')))),
+g AS (SELECT ref, count(*) > 12 AS ambiguous, string_agg(cnpj, ',' ORDER BY cnpj) FILTER (WHERE rn <= 12) AS cnpjs FROM h GROUP BY ref)
+SELECT p.ref, CASE WHEN no IS NULL THEN 'sem-numero' WHEN p.uf IS NULL THEN 'sem-uf' END AS skipped, coalesce(ambiguous, false) AS ambiguous, coalesce(cnpjs, '') AS cnpjs FROM p LEFT JOIN g USING (ref)""")
+def address_batch_lookup_all(spark, d):
+    return _lookup(spark, d, t(spark, d, "customer"))
 
 
 # ---------------------------------------------------------------- joins and aggregates of the store

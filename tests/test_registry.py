@@ -133,6 +133,27 @@ def test_address_lookup(spark, est):
     assert D.find_by_address(est, some.limit(0)).count() == 0
 
 
+def test_address_lookup_of_all_customers(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    d, con = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("customer", "orders", "nation", "lineitem", "documents", "events", "supplier", "part", "region"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    found = sorted(map(tuple, entry.queries()["address_batch_lookup_all"](spark, d).collect()))
+    assert found == sorted(con.sql(entry.oracle_sql()["address_batch_lookup_all"]).fetchall())
+    assert len(found) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0] > 200
+
+
+def test_address_probes_meet_few_establishments(spark):
+    there = spark.createDataFrame([(f"{i:05d}", "1", "SP", "RUA DAS FLORES" if i % 2 else "RUA GONCALVES") for i in range(3000)], "cnpj string, numero string, uf string, logradouro string")
+    probes = spark.createDataFrame([(f"p{i}", street, "1", "sp") for i, street in enumerate(["RUA FLORES", "RUA ALVES", "RUA NENHUMA"] * 50)], "ref string, logradouro string, numero string, uf string")
+    found = {r["ref"]: r for r in D.find_by_address(there, probes).collect()}
+    want = [[f"{i:05d}" for i in range(3000) if i % 2 == odd][:12] for odd in (1, 0)] + [[]]
+    assert all(found[f"p{i}"]["cnpjs"] == want[i % 3] and found[f"p{i}"]["ambiguous"] == (i % 3 < 2) for i in range(150))
+
+
 def test_dictionary(spark):
     a = spark.createDataFrame([("8630501", "Clínica médica"), ("8630502", "Exames"), ("8630503", "Outra"), ("0111301", "Cultivo de arroz")] + [(f"470000{i}", f"Loja {i}") for i in range(6)], schemas.DICTIONARY)
     assert [r["codigo"] for r in D.search_activities(a, "CLINICA").collect()] == ["8630501"]
