@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc32_of_id
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Runs of letters, lower-cased, are the words; other characters say nothing about a language.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, lower-cased, are the words; other characters, fractions and numerals such as Ⅷ among them, say nothing about a language.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 SPACE = "▁"
 #: Words whose scores a worker keeps.
 CACHE = 400_000
+#: Characters of texts scored at once, words of one length scored side by side, and the length from which a word is scored alone.
+CHARS_AT_ONCE, WORDS_AT_ONCE, LONG_WORD = 4_000_000, 8_192, 64
 UNKNOWN = "und"
 
 
@@ -74,6 +77,31 @@ class Unigrams:
         self.longest = max(map(len, self.pieces))
         # a character that the vocabulary lacks costs as much in every language
         self.other = tuple([float(table.min(initial=1.0))] * len(langs))
+        self._grow()
+
+    def _grow(self) -> None:
+        """The pieces as a tree in arrays: children by (node, character), a row of probabilities by node."""
+        letters = sorted(set("".join(self.pieces)))
+        of = {c: i + 1 for i, c in enumerate(letters)}  # 0: a character of no piece
+        self.letter = np.zeros(max(map(ord, letters)) + 2, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        child: dict[int, int] = {}
+        ends, rows = [-1], []
+        for piece, row in self.pieces.items():
+            node = 0
+            for c in piece:
+                key = node * self.width + of[c]
+                if key not in child:
+                    child[key] = len(ends)
+                    ends.append(-1)
+                node = child[key]
+            ends[node] = len(rows)
+            rows.append(row)
+        keys = np.array(list(child), np.int64)
+        order = np.argsort(keys)
+        self.edges, self.nodes = keys[order], np.array(list(child.values()), np.int32)[order]
+        self.ends, self.rows = np.array(ends, np.int32), np.array(rows)
 
     @functools.cached_property
     def scorer(self) -> Scorer:
@@ -107,44 +135,95 @@ class Unigrams:
             alpha.append(total)
         return tuple(math.log(max(x, 1e-300)) - scale * math.log(1e150) for x in alpha[-1])
 
+    def _side_by_side(self, words: list[str]) -> np.ndarray:
+        """The forward algorithm over words of one length: every start's sums go on along the tree, all words at once."""
+        n, k = len(words), len(self.langs)
+        codes = np.frombuffer("".join(SPACE + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, -1)
+        letters = np.ascontiguousarray(self.letter[np.minimum(codes, len(self.letter) - 1)].T).astype(np.int64)
+        size = len(letters)
+        alpha = np.zeros((size + 1, n, k))
+        alpha[0] = 1.0
+        for start in range(size):
+            here, alive, node = alpha[start], np.arange(n), np.zeros(n, np.int64)
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                key = node * self.width + letters[end - 1, alive]
+                at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                on = self.edges[at] == key
+                to = self.nodes[at[on]]
+                goes = alive[on]
+                row = self.ends[to]
+                ends = row >= 0
+                who = goes[ends]
+                alpha[end, who] += here[who] * self.rows[row[ends]]
+                if end == start + 1 and len(who) < n:
+                    lone = np.ones(n, bool)
+                    lone[who] = False
+                    alpha[end, lone] += here[lone] * np.array(self.other)
+                alive, node = goes, to.astype(np.int64)
+                if not len(alive):
+                    break
+        return alpha[size]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """:meth:`log_probability` of many words, those of one length side by side."""
+        out = np.empty((len(words), len(self.langs)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        edges = np.flatnonzero(np.diff(sizes[order])) + 1
+        for same in np.split(order, edges):
+            for at in range(0, len(same), WORDS_AT_ONCE):
+                part = same[at : at + WORDS_AT_ONCE]
+                if len(part) and sizes[part[0]] < LONG_WORD:
+                    found = self._side_by_side([words[i] for i in part])
+                    out[part] = np.log(np.maximum(found, 1e-300))
+                    part = part[(found < 1e-250).any(axis=1)]  # too small for plain sums
+                for i in part:
+                    out[i] = self.log_probability(words[i])
+        return out
+
 
 class Scorer:
     """Scores texts; words that were met before are looked up."""
 
     def __init__(self, model: Unigrams):
-        self.model, self.at, self.rows = model, _Index(self), np.empty((1024, len(model.langs)))
-
-    def add(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[i] = self.model.log_probability(word)
-        return i
+        self.model, self.at, self.rows = model, {}, np.empty((1024, len(model.langs)))
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior under equal priors); ``und`` and 0 if there is no letter or no language."""
-        words = words_of(text)
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+    def _learn(self, found: list[list[str]]) -> None:
         if len(self.at) > CACHE:
             self.at.clear()
-        total = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), CACHE):
-            part = words[at : at + CACHE]
-            ids = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
-            total += self.rows[ids].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        new = list({w for words in found for w in words if w not in self.at})
+        n = len(self.at)
+        if n + len(new) > len(self.rows):
+            more = max(len(self.rows), n + len(new))
+            self.rows = np.concatenate([self.rows, np.empty((more, self.rows.shape[1]))])
+        self.rows[n : n + len(new)] = self.model.log_probabilities(new)
+        self.at.update(zip(new, range(n, n + len(new)), strict=True))
 
-
-class _Index(dict):
-    def __init__(self, owner: Scorer):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, word: str) -> int:
-        i = self[word] = self.owner.add(word)
-        return i
+    def score(self, text: str | None) -> tuple[str, float]:
+        """(language, posterior under equal priors); ``und`` and 0 if there is no letter or no language."""
+        return self.score_all([text])[0]
+
+    def score_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """:meth:`score` of each text; new words of many texts are scored together."""
+        out, at = [], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHARS_AT_ONCE):
+                chars += len(texts[end] or "")
+                end += 1
+            found = [words_of(t) for t in texts[at:end]]
+            if self.model.langs:
+                self._learn(found)
+            for words in found:
+                if not words or not self.model.langs:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                total = self.rows[ids].sum(axis=0)
+                best = int(total.argmax())
+                out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            at = end
+        return out
 
 
 def train(docs: DataFrame, path: str | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 2_000) -> Unigrams:
@@ -170,7 +249,7 @@ def predict(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col:
     def run(batches):
         scorer = sent.value.scorer
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            found = scorer.score_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -182,8 +261,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from the text and non-null language of documents whose id's CRC-32 isn't ``held_out`` modulo
     ``folds``, and predicts every whole text from the text alone. ``und`` with score 0: null texts, texts
-    without a letter, and all texts if there is nothing to learn from. A null id is in neither fold (held_out false). Repeated rows are
-    scored each, other columns ignored, an empty table gives no rows.
+    without a letter (numerals and marks are none), and all texts if there is nothing to learn from. Languages of equal score: the
+    first by code point. A null id is in neither fold (held_out false). Whole texts of any length are scored. Repeated rows are
+    scored each, other columns ignored, an empty table gives no rows. The broadcast model holds one probability for each piece
+    of the vocabulary and each distinct ``lang``, a few bytes times 24 thousand a language.
     """
     fold = crc32_of_id(id_col) % folds
     model = train(docs.filter(fold != held_out), path, text_col, lang_col, id_col, docs_per_lang)
@@ -200,7 +281,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     def run(batches):
         scorer = sent.value.scorer
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column(text_at).to_pylist()]
+            found = scorer.score_all(batch.column(text_at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
