@@ -1,39 +1,36 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
-Bulk-synchronous best-fit. Documents are range-sorted by length through a distributed rank: the
-count of every (length, salt) cell gives the cell's first rank, a window inside the cell the rest.
-Open gaps are kept sorted as runs of equal gaps with consecutive sequence numbers. A superstep takes
-the documents of one length, from long to short, sweeps the runs for the successor (the smallest gap
-that holds it), and gives gaps to documents by rank: where more documents ask than the run has room
-for, the lowest ranks win and the others go on to the next gap, or open new sequences. Then the gaps
-are updated and the next superstep begins.
-
-Lengths and gaps are integers up to the capacity, so there are at most ``capacity`` supersteps and
-the sweep sees counts, never documents: its input (one count a length) and its outcome (one line for each
-stretch of ranks) are bounded by the capacity whatever the corpus holds. That outcome is broadcast, and every document
-finds its sequence from its own rank, in place, without a further shuffle.
+Bulk-synchronous best-fit. Documents go from long to short in bands whose longest is twice the
+shortest. A round range-sorts the documents of a band together with the open gaps, from large to small, and every
+partition sweeps its range once: a gap is put on a stack, a document takes the gap on top, which is its
+successor, the smallest that holds it. A gap that holds several documents of the band stands for as many slots. Documents that
+find no gap in their partition, and slots that no document of theirs took, are matched across partitions by
+rank: partition after partition, the documents left over take the slots left over last, so only two counts
+a partition meet on the driver. Conflicts can't remain: a slot has one rank and so does a document. Then the gaps are
+updated, and the documents without one go to the next round; where no gap holds any of them, the longest
+open new sequences, as many to each as must fit.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
-import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 2
 CAPACITY = 1_024
 #: Texts with runs of characters beyond this go to the tokenizers library, whose time is linear in them.
 LONGEST_RUN = 2_000
-ROWS_PER_SALT = 20_000
+#: From so many documents a sequence on, all documents that no gap holds open sequences at once.
+ALL_FROM = 4
 
 
 # ---------------------------------------------------------------- tokens
@@ -113,50 +110,173 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-# ---------------------------------------------------------------- the sweep
+# ---------------------------------------------------------------- the rounds
 
+#: What a sweep makes of its rows: a document with its sequence, a document left over, a gap with slots left over.
+PLACED, WAITING, OPEN = 0, 1, 2
+_SWEPT = "kind int, row long, length long, sequence long, part int, rank long, slots long"
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit by supersteps over lengths, from long to short.
 
-    Returns lines (length, rank_from, rank_to, sequence, per_sequence, offset): documents of that length and
-    those ranks go, ``per_sequence`` to each, to the sequences from ``sequence`` on, the first at ``offset``.
+def _sweep(rows: DataFrame, longest: int) -> DataFrame:
+    """One round inside the partitions of range-sorted ``rows`` (size, is_doc, id). ``rank`` counts the documents left over
+    of a partition, and the slots left over from the bottom of its stack, ``slots`` of them from ``rank`` on."""
+
+    def run(batches):
+        part, waiting = TaskContext.get().partitionId(), 0
+        ids, left, height = [], [], 0  # the stack: sequences and their free slots
+        for batch in batches:
+            out = []
+            for size, is_doc, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not is_doc:
+                    ids.append(i)
+                    left.append(max(1, size // longest))
+                elif ids:
+                    out.append((PLACED, i, size, ids[-1], part, 0, 0))
+                    left[-1] -= 1
+                    if not left[-1]:
+                        ids.pop(), left.pop()
+                else:
+                    out.append((WAITING, i, size, 0, part, waiting, 0))
+                    waiting += 1
+            yield _swept(out)
+        out = []
+        for i, n in zip(ids, left, strict=True):
+            out.append((OPEN, 0, 0, i, part, height, n))
+            height += n
+        yield _swept(out)
+
+    return rows.mapInArrow(run, _SWEPT)
+
+
+def _swept(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SWEPT.split(", ")])
+
+
+def across(waiting: list[int], slots: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+    """Match what the partitions left over, given counts a partition from large sizes to small.
+
+    Lines (part, from, to, at, slot): documents of ``part`` with ranks from ``from`` to ``to`` take the slots of partition ``at``
+    downwards from ``slot``. Also how many documents of each partition found one: those of the first ranks.
+    """
+    stack, lines, found = [], [], []
+    for part, (n, held) in enumerate(zip(waiting, slots, strict=True)):
+        got = 0
+        while got < n and stack:
+            at, height = stack.pop()
+            some = min(height, n - got)
+            lines.append((part, got, got + some, at, height - 1))
+            got += some
+            if some < height:
+                stack.append((at, height - some))
+        found.append(got)
+        if held:
+            stack.append((part, held))
+    return lines, found
+
+
+def place(items: DataFrame, capacity: int) -> DataFrame:
+    """(row, sequence) for every row of ``items`` (row long, length long, from 1 to ``capacity``; rows are distinct and not negative).
+
+    The driver sees counts: one a length, two a partition and round. There are about two rounds a halving of the
+    capacity, however many documents there are.
     """
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first sequence, how many)
-    gaps: list[int] = []  # those with a run, sorted
-    made, lines = 0, []
-
-    def put(gap: int, first: int, n: int) -> None:
-        if n and gap:
-            if gap not in runs:
-                runs[gap] = []
-                bisect.insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at < len(gaps):  # the successor
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:
-                gap, first = capacity, made
-                n = -(-left // (capacity // length))
-                made += n
-            each = gap // length
-            full, rest = min(n, left // each), 0
-            if full < n:
-                rest = left % each if full == left // each else 0
-            for some, per in ((full, each), (1 if rest else 0, rest)):
-                if some:
-                    lines.append((length, rank, rank + some * per, first, per, capacity - gap))
-                    put(gap - per * length, first, some)
-                    rank, left, first, n = rank + some * per, left - some * per, first + some, n - some
-            put(gap, first, n)
-    return lines
+    spark = items.sparkSession
+    counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    if not counts:
+        return spark.createDataFrame([], "row long, sequence long")
+    shortest, opened = min(counts), 0
+    # no two of these share a sequence: each has its own, which bears its number; sequences opened later count down from -1
+    long = items.filter(F.col("length") > capacity // 2).select("row", F.col("row").alias("sequence"), "length")
+    placed = [long]
+    gaps = materialise(long.select("sequence", (capacity - F.col("length")).alias("gap")).filter(F.col("gap") >= shortest), "pack-gaps")
+
+    top = capacity // 2
+    while top:
+        band = [n for n in counts if top // 2 < n <= top]
+        docs = items.filter((F.col("length") > top // 2) & (F.col("length") <= top)).select("row", "length")
+        top //= 2
+        while band:
+            least, most = min(band), max(band)
+            rows = docs.select(F.col("length").alias("size"), F.lit(True).alias("is_doc"), F.col("row").alias("id"))
+            rows = rows.union(gaps.filter(F.col("gap") >= least).select("gap", F.lit(False), "sequence"))
+            order = [F.desc("size"), "is_doc", "id"]
+            swept = materialise(_sweep(rows.repartitionByRange(*order).sortWithinPartitions(*order), most), "pack-swept")
+            left = {r["part"]: (r["docs"], r["slots"]) for r in swept.groupBy("part").agg(F.count_if(F.col("kind") == WAITING).alias("docs"), F.sum("slots").alias("slots")).collect()}
+            parts = max(left) + 1
+            waiting, slots = ([left.get(p, (0, 0))[k] for p in range(parts)] for k in (0, 1))
+            lines, found = across(waiting, slots)
+
+            new = swept.filter(F.col("kind") == PLACED).select("row", "sequence", "length")
+            if lines:
+                new = new.union(_matched(swept, lines))
+            rest, any_left = _rest(swept, waiting, found), sum(waiting) > sum(found)
+            new = materialise(new, "pack-placed")
+            placed.append(new)
+            gaps = _updated(gaps, new, shortest)
+            if not any_left:
+                break
+            docs = materialise(rest, "pack-rest")
+            band = [r[0] for r in docs.select("length").distinct().collect()]
+            if (gaps.agg(F.max("gap")).first()[0] or 0) >= min(band):
+                continue
+            # no gap holds any of them: the longest open sequences, those that go as many to one by rank
+            per = F.expr(f"{capacity}L div length")
+            first = {r["per"]: r["first"] for r in docs.groupBy(per.alias("per")).agg(F.min("rank").alias("first")).collect()}
+            ends = [*sorted(first.values())[1:], sum(waiting) - sum(found)]
+            group = F.lit(None).cast("long")
+            for (k, begin), end in zip(sorted(first.items()), ends, strict=True):
+                # all of the longest; of others, if many go to one, those that fill sequences to the count
+                full = -(-(end - begin) // k) if k == min(first) else (end - begin) // k if min(first) >= ALL_FROM else 0
+                if full:
+                    group = F.when((per == k) & (F.col("rank") < begin + full * k), F.expr(f"{opened}L + (rank - {begin}L) div {k}L")).otherwise(group)
+                    opened += full
+            docs = materialise(docs.select("row", "length", (-1 - group).alias("sequence")), "pack-opened")
+            new = docs.filter("sequence is not null").select("row", "sequence", "length")
+            placed.append(new)
+            fresh = new.groupBy("sequence").agg((capacity - F.sum("length")).alias("gap")).filter(F.col("gap") >= shortest)
+            gaps = materialise(gaps.union(fresh), "pack-gaps")
+            docs = docs.filter("sequence is null").select("row", "length")
+            band = [r[0] for r in docs.select("length").distinct().collect()]
+
+    out = placed[0].select("row", "sequence")
+    for x in placed[1:]:
+        out = out.union(x.select("row", "sequence"))
+    return out
+
+
+def _matched(swept: DataFrame, lines: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(row, sequence, length) of the documents that ``lines`` (at most two a partition) give a slot of another partition."""
+    spark = swept.sparkSession
+    table = F.broadcast(spark.createDataFrame(lines, "_part int, _from long, _to long, _at int, _slot long"))
+    docs = swept.filter(F.col("kind") == WAITING).join(table, (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
+    docs = docs.select("row", "length", F.col("_at").alias("at"), (F.col("_slot") - F.col("rank") + F.col("_from")).alias("slot"))
+    floor: dict[int, int] = {}
+    for _, a, b, at, slot in lines:
+        floor[at] = min(floor.get(at, slot), slot - (b - a) + 1)
+    used = F.broadcast(spark.createDataFrame(list(floor.items()), "_at int, _floor long"))
+    held = swept.filter(F.col("kind") == OPEN).join(used, F.col("part") == F.col("_at")).filter(F.col("rank") + F.col("slots") > F.col("_floor"))
+    held = held.select("sequence", F.col("part").alias("at"), F.explode(F.expr("sequence(greatest(rank, _floor), rank + slots - 1)")).alias("slot"))
+    return docs.join(held, ["at", "slot"]).select("row", "sequence", "length")
+
+
+def _rest(swept: DataFrame, waiting: list[int], found: list[int]) -> DataFrame:
+    """(row, length, rank) of the documents without a slot, ranked from long to short over all partitions."""
+    before, table = 0, []
+    for part, (n, got) in enumerate(zip(waiting, found, strict=True)):
+        if n > got:
+            table.append((part, got, before - got))
+            before += n - got
+    parts = F.broadcast(swept.sparkSession.createDataFrame(table, "_part int, _got long, _shift long"))
+    docs = swept.filter(F.col("kind") == WAITING).join(parts, F.col("part") == F.col("_part")).filter(F.col("rank") >= F.col("_got"))
+    return docs.select("row", "length", (F.col("rank") + F.col("_shift")).alias("rank"))
+
+
+def _updated(gaps: DataFrame, new: DataFrame, shortest: int) -> DataFrame:
+    """``gaps`` less what was placed in them; gaps that hold nothing any more go."""
+    both = gaps.union(new.select("sequence", -F.col("length")))
+    return materialise(both.groupBy("sequence").agg(F.sum("gap").alias("gap")).filter(F.col("gap") >= shortest), "pack-gaps")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -164,27 +284,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Returns one row a piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]). A
     document is its ids and id 2; null text is empty, so one token. Only documents longer than
-    ``capacity`` are cut. Places in a sequence are gapless from 0. Ties of equal length are ranked by a hash,
-    then by id, piece and checksum; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    ``capacity`` are cut; whole texts of any length are packed. Places in a sequence, which holds ``capacity`` rows at most,
+    are gapless from 0. Pieces of equal length are interchangeable and go by the rows' numbers; repeated rows
+    are packed each; an empty table gives no rows; other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
-    made = materialise(pieces(docs, id_col, text_col, capacity, vocabulary, ranks, with_ids), "pieces")
-    salts = max(64, math.ceil(made.count() / ROWS_PER_SALT))
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
-
-    cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = materialise(cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))), "pieces-cells")
-    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("_n")).collect()}  # at most ``capacity`` rows
-
-    lines = spark.createDataFrame(sweep(counts, capacity), "_length long, _from long, _to long, _sequence long, _per long, _offset long")
-    inside = Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "ids_crc32")
-    ranked = salted.withColumn("_in", F.row_number().over(inside) - 1).join(cells.drop("_n"), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    fits = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    nth = F.col("_rank") - F.col("_from")
-    return ranked.join(F.broadcast(lines), fits).select(
-        id_col, "piece", "start", "length", "ids_crc32",
-        F.expr("_sequence + (_rank - _from) div _per").alias("sequence_id"),
-        (F.col("_offset") + F.pmod(nth, F.col("_per")) * F.col("length")).cast("long").alias("offset"),
+    made = numbered(pieces(docs, id_col, text_col, capacity, vocabulary, ranks, with_ids), "_row")
+    found = place(made.select(F.col("_row").alias("row"), "length"), capacity)
+    inside = Window.partitionBy("sequence").orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = made.join(found, made["_row"] == found["row"])
+    return rows.select(
+        F.col(id_col), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"),
+        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"),
         *(["ids"] if with_ids else []),
     )

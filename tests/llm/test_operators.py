@@ -136,16 +136,34 @@ def test_packing(odd):
     assert check_packed(found, 100) == best_fit_decreasing([r["length"] for r in found], 100)
 
 
-def test_sweep_is_best_fit():
+def test_across_is_the_matching_of_one_stack():
     import random
 
     rng = random.Random(1)
-    for _ in range(60):
-        capacity = rng.choice([7, 40, 1024])
-        counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, capacity + 1), min(capacity, 25))}
-        lines = packing.sweep(counts, capacity)
-        made = {first + i for _, a, b, first, per, _ in lines for i in range(-(-(b - a) // per))}
-        assert len(made) == best_fit_decreasing([n for n, k in counts.items() for _ in range(k)], capacity)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        waiting, slots = ([rng.choice([0, 0, rng.randrange(5)]) for _ in range(n)] for _ in range(2))
+        lines, found = packing.across(waiting, slots)
+        stack, want = [], {}
+        for p in range(n):
+            for k in range(waiting[p]):
+                if stack:
+                    want[p, k] = stack.pop()
+            stack += [(p, k) for k in range(slots[p])]
+        assert {(p, a + i): (at, slot - i) for p, a, b, at, slot in lines for i in range(b - a)} == want
+        assert found == [sum(q == p for q, _ in want) for p in range(n)]
+
+
+@pytest.mark.parametrize(("capacity", "low", "high", "n"), [(100, 1, 100, 400), (1024, 200, 700, 300), (1024, 1, 60, 900), (7, 1, 7, 200), (64, 20, 20, 90)])
+def test_rounds_need_no_more_sequences_than_best_fit_decreasing(spark, capacity, low, high, n):
+    lengths = np.random.default_rng(7).integers(low, high + 1, n).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "row long, length long").repartition(3)
+    used = defaultdict(int)
+    found = rows(packing.place(items, capacity))
+    assert sorted(r for r, _ in found) == list(range(n))
+    for r, s in found:
+        used[s] += lengths[r]
+    assert max(used.values()) <= capacity and len(used) <= best_fit_decreasing(lengths, capacity)
 
 
 def test_encoder_agrees_with_the_tokenizers_library(spark, small):
@@ -213,6 +231,16 @@ def test_redact_rows_without_an_id(spark):
     assert Counter(rows(secrets.redact(docs))) == Counter([(None, "<assign>", "a"), (None, "plain", None), (3, "key <access> end", "a")])
 
 
+def test_signed_tokens_are_those_of_the_plain_pattern():
+    import random
+
+    plain, rng = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["eyJ", "abcdefgh", ".", ".", " ", "eyJ12345678", "x", "_____"]) for _ in range(rng.randrange(1, 22)))
+        assert list(secrets.signed_tokens(text)) == [m.span() for m in plain.finditer(text)]
+    assert list(secrets.signed_tokens("eyJAAAAAAAA" * 300_000)) == []  # minutes by the plain pattern
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -250,6 +278,22 @@ def test_language_odd(odd, empty):
     assert langid.keep_identified(odd).filter("text is null or trim(text) = ''").count() == 0
 
 
+def test_words_side_by_side_score_as_alone(spark, small):
+    from public_tokenizers import path
+
+    model = langid.Unigrams(["a", "b"], {("a", i): i % 97 for i in range(300, 9000)} | {("b", i): i % 89 for i in range(300, 9000)}, path(langid.VOCABULARY))
+    texts = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(20).collect()]
+    words = sorted({w for t in texts for w in langid.words_of(t)}) + ["日本語", "\U0001d54f", "a" * 63, "b" * 64, "q" * 3000, "ſ"]
+    assert np.allclose(model.log_probabilities(words), [model.log_probability(w) for w in words], rtol=1e-12)
+    assert len(model.log_probabilities([])) == 0
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ ① 12 ٣ _ ́"), (2, "le chat"), (3, "the cat"), (4, "三")], "doc_id long, text string").selectExpr("*", "if(doc_id = 2, 'fr', 'en') as lang")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, folds=99, held_out=98).collect()}
+    assert found[1] == ("und", 0.0) and found[4][0] in ("en", "fr")
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -316,6 +360,28 @@ def test_sketch_empty_and_single(spark, empty):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcd.abcd.").hexdigest()
 
 
+def test_sketch_of_text_ids(spark):
+    docs = spark.createDataFrame([(f"k{i:03d}" if i % 9 else None, f"word{i} and more. " * (i % 5)) for i in range(60)], "doc_id string, text string").repartition(4)
+    held = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    want = Counter((i, hashlib.sha256(sketch.edit(a, b).encode()).hexdigest()) for (i, a), (_, b) in zip(held, held[1:] + held[:1], strict=True))
+    for buckets in (1, 7, 100):
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in sketch.compare_neighbours(docs, buckets=buckets).collect()) == want
+
+
+def test_fingerprint_is_the_sum_of_its_digests():
+    """Cells against a plain table: count, exclusive or of digests and of their checks."""
+    import base64
+
+    keys = sketch.digests("one two. three four.\nfive\none two. " + " ".join(f"w{i}" for i in range(90)))
+    count, key, check = [0] * 15, [0] * 15, [0] * 15
+    for k, places, mark in zip(keys.tolist(), sketch.places(keys, 15).T.tolist(), sketch.check(keys).tolist(), strict=True):
+        assert sorted(x // 5 for x in places) == [0, 1, 2]
+        for c in places:
+            count[c], key[c], check[c] = count[c] + 1, key[c] ^ k, check[c] ^ mark
+    raw = base64.b64decode(sketch.fingerprints([keys])[0])
+    assert np.frombuffer(raw[:30], "<u2").tolist() == count and np.frombuffer(raw[30:150], "<u8").tolist() == key and np.frombuffer(raw[150:], "<u2").tolist() == check
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -342,6 +408,13 @@ def test_search_ties_and_empty(spark):
     assert rows(exact_search.search(df.limit(0), df.limit(0))) == []
 
 
+def test_search_ignores_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
+    odd = df.selectExpr("*", "1 as query_id", "'x' as rank", "2 as score", "3 as c", "4 as q", "array(1) as weights")
+    want = rows(exact_search.search(df, df.filter("vec_id < 3")))
+    assert sorted(rows(exact_search.search(odd, odd.filter("vec_id < 3")))) == sorted(want) and len(want) == 15
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -378,13 +451,13 @@ def test_simhash(odd):
     assert Counter(rows(simhash.near_duplicates(odd))) == Counter((i, f"{f:016x}", comp[f]) for i, f in prints)
 
 
-@pytest.mark.parametrize("chunk", [4096, 8])
-def test_links_lose_nothing(spark, chunk):
+@pytest.mark.parametrize(("chunk", "groups"), [(4096, None), (8, None), (4096, 7), (4096, 8)])
+def test_links_lose_nothing(spark, chunk, groups):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
     prints = list({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centres for _ in range(25)})
     signed = [x - 2**64 if x >> 63 else x for x in prints]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, cell_chunk=chunk)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, groups, cell_chunk=chunk)
     roots = dict(rows(simhash.components(edges)))
     comp = component_ids([(x, y) for x, y in zip(signed, prints, strict=True)], 4)
     mine = defaultdict(set)
@@ -441,6 +514,16 @@ def test_warc_round_trip(spark, size):
     assert rows(warc.archive_pages(df.limit(0))) == []
 
 
+def test_warc_ignores_clashing_columns_and_deals_ranges(spark):
+    df, data = pages(spark)
+    odd = df.selectExpr("*", "'p' as path", "1 as start", "2 as length", "'d' as payload_digest", "3 as refers_to", "'k' as _k", "4 as first", "'x' as payload")
+    want = Counter(rows(warc.archive_pages(df)))
+    assert Counter(rows(warc.archive_pages(odd, package_bytes=1))) == want and sum(want.values()) == len(data)
+    packages = warc.write_packages(warc.roles(df.union(df).repartition(3)), warc.new_path(spark, "warc"), 1)
+    ranges = warc.dealt(packages)
+    assert ranges.rdd.getNumPartitions() == min(20, spark.sparkContext.defaultParallelism) and ranges.count() == 20
+
+
 def test_zip64_directory(tmp_path):
     path = str(tmp_path / "many.zip")
     with zipfile.ZipFile(path, "w") as z:
