@@ -3,10 +3,10 @@
 Only the suffixes that begin at content-selected positions are kept: in every stretch of ``w``
 consecutive k-grams the one with the least hash (a minimiser). Any passage of ``least`` words
 holds such a position among its first ``w``, so its suffix there shares at least ``least - w + 1``
-words (the *core*) with the passage's other places. Suffixes are range-sorted by their core and what
+words (the *core*) with the passage's other places. Suffixes are dealt by the hash of their core and sorted by it and what
 follows. Each passage of ``least`` words is hashed at the one minimiser of its first window, and hashes are counted over all
-places of that core: inside a partition where the core's rows lie in one, else by an aggregate. Longer
-passages hold further minimisers, whose matches join up, so nothing beyond those words has to be carried.
+places of that core: inside its partition, or by an aggregate for a core of very many places, whose rows a bounded
+sample has told to deal at random. Longer passages hold further minimisers, whose matches join up, so nothing beyond those words has to be carried.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import materialise, partitions
 
 LEAST_WORDS, GRAM, WINDOW = 50, 8, 20
 BASE = 0x9E3779B97F4A7C15
 WORDS_KEPT = 400_000
+#: Suffixes, beside those of one document, that a worker holds before it sends them on.
+ROWS_AT_ONCE = 20_000
+#: Documents a partition from which the cores of very many places are told.
+SAMPLED = 20
 
 
 class _Words(dict):
@@ -73,16 +77,31 @@ def minimisers(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, n
     return pos, first, first + n - 1
 
 
-def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int) -> DataFrame:
-    """(core, right, left, doc, pos, low, high): one row a kept suffix; right and left hold 16 bits a word, left backwards.
-    The passages of ``least`` words that begin ``low`` to ``high`` words before it have it as their minimiser; each has one."""
+def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int, hot: np.ndarray) -> DataFrame:
+    """(core, right, left, doc, pos, low, high, deal): one row a kept suffix; right and left hold 16 bits a word, left backwards.
+    The passages of ``least`` words that begin ``low`` to ``high`` words before it have it as their minimiser; each has one.
+    Rows go by ``deal``: the core, or, for one of ``hot``, a hash of the place."""
     core, side = least - window + 1, window - 1
 
+    def rows(parts: list, docs_of: pa.Array) -> pa.RecordBatch:
+        n = sum(len(p[4]) for p in parts)
+        fixed = lambda k: pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * side), n, [None, pa.py_buffer(np.concatenate([p[k] for p in parts]))]).cast(pa.binary())
+        of = np.repeat([p[0] for p in parts], [len(p[4]) for p in parts])
+        cores, doc = np.concatenate([p[1] for p in parts]), docs_of.take(pa.array(of))
+        deal, spread = cores.copy(), np.isin(cores, hot)
+        if spread.any():
+            at = np.concatenate([p[4] for p in parts])[spread]
+            deal[spread] = (doc.to_numpy()[spread] << 20) ^ at
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cores), fixed(2), fixed(3), doc, *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5, 6)), pa.array(deal)],
+            names=[*_ROW, "deal"],
+        )
+
     def run(batches):
         for batch in batches:
-            parts = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = text.encode("utf-8", "surrogatepass").split() if text else []
+            parts, held = [], 0
+            for i, text in enumerate(batch.column(1)):
+                tokens = text.as_py().encode("utf-8", "surrogatepass").split() if text.is_valid else []
                 if len(tokens) < least:
                     continue
                 words = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
@@ -96,20 +115,27 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int
                 right = np.ascontiguousarray(views[pos + core + side])
                 left = np.ascontiguousarray(views[pos][:, ::-1])
                 parts.append((i, window_hashes(words, core)[pos].view(np.int64), right, left, pos, pos - last, pos - first))
-            if not parts:
-                continue
-            n = sum(len(p[4]) for p in parts)
-            fixed = lambda k: pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * side), n, [None, pa.py_buffer(b"".join(p[k].tobytes() for p in parts))]).cast(pa.binary())  # noqa: B023, E731
-            of = np.repeat([p[0] for p in parts], [len(p[4]) for p in parts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([p[1] for p in parts])), fixed(2), fixed(3), batch.column(0).take(pa.array(of)),
-                    *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5, 6)),
-                ],
-                names=_ROW,
-            )
+                held += len(pos)
+                if held >= ROWS_AT_ONCE:
+                    yield rows(parts, batch.column(0))
+                    parts, held = [], 0
+            if parts:
+                yield rows(parts, batch.column(0))
+
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, right binary, left binary, doc long, pos int, low int, high int, deal long")
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, right binary, left binary, doc long, pos int, low int, high int")
+
+def _hot_cores(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int, group_rows: int) -> np.ndarray:
+    """Cores that hold more rows than ``group_rows`` and than a partition's mean, as a sample of about ``SAMPLED`` documents
+    a partition tells; never more cores than partitions. A core that the sample misses costs time, not results."""
+    n, parts = docs.count(), partitions(docs.sparkSession)
+    share = min(1.0, SAMPLED * parts / max(1, n))
+    held = _suffixes(docs.sample(share, 7), id_col, text_col, least, gram, window, np.empty(0, np.int64)).groupBy("core").count()
+    rows, most = held.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    bound = max(group_rows * share, rows / parts)
+    if most <= bound:
+        return np.empty(0, np.int64)
+    return np.sort(np.array([r[0] for r in held.filter(F.col("count") > bound).select("core").collect()], np.int64))
 
 
 _ROW = ["core", "right", "left", "doc", "pos", "low", "high"]
@@ -185,9 +211,9 @@ def _resolve(table: pa.Table, least: int, core: int):
     )
 
 
-def _match(rows: DataFrame, least: int, window: int, group_rows: int) -> DataFrame:
-    """Resolve the groups of equal core that lie inside a sorted partition. Rows of a partition's first and last
-    group, which may go on in the next partition, and of very large groups come out ``open``, as they are."""
+def _match(rows: DataFrame, least: int, window: int, group_rows: int, hot: np.ndarray) -> DataFrame:
+    """Resolve the groups of equal core of a sorted partition. Rows of ``hot`` cores and of groups that
+    grow beyond ``group_rows`` come out ``open``, as they are."""
     core = least - window + 1
 
     def as_open(table: pa.Table):
@@ -196,15 +222,19 @@ def _match(rows: DataFrame, least: int, window: int, group_rows: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), *b.columns, *(pa.nulls(n, pa.int32()) for _ in range(4)), pa.nulls(n, pa.int64())], names=re.findall(r"(\w+) \w+", _OUT))
 
     def run(batches):
-        open_core, held = None, []
+        large, held = None, []  # the core that goes out as it is, and the rows of a group that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch]).select(_ROW)
+            spread = np.isin(table["core"].to_numpy(), hot)
+            if spread.any():
+                yield from as_open(table.filter(pa.array(spread)))
+                table = table.filter(pa.array(~spread))
+            if not len(table):
+                continue
             cores = table["core"].to_numpy()
-            if open_core is None:
-                open_core = cores[0]
-            n = int(np.searchsorted(cores, open_core, "right")) if cores[0] == open_core else 0
+            n = int(np.searchsorted(cores, large, "right")) if large is not None and cores[0] == large else 0
             if n:
                 yield from as_open(table.slice(0, n))
                 table, cores = table.slice(n), cores[n:]
@@ -218,9 +248,9 @@ def _match(rows: DataFrame, least: int, window: int, group_rows: int) -> DataFra
             if sum(map(len, held)) > group_rows:
                 for x in held:
                     yield from as_open(x)
-                open_core, held = cores[-1], []
-        for x in held:
-            yield from as_open(x)
+                large, held = cores[-1], []
+        if held:
+            yield from _resolve(pa.concat_tables(held), least, core)
 
     return rows.mapInArrow(run, _OUT)
 
@@ -268,14 +298,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     document and position) is here; ``duplicate`` tells that these are all of its words.
 
     Null and short texts have no span, nor do rows without an id. Copies of a document are spans from end to end. A
-    repeated id counts as one more place only where its text has the passage elsewhere. An empty
-    table gives no rows; other columns are ignored. Words around a core are compared by 16 bits each, the core by 64.
+    repeated id counts as one more place only where its text has the passage elsewhere. Whole texts of any length are
+    read; an empty table gives no rows; other columns are ignored. Words around a core are compared by 16 bits each, the core by 64.
     """
     if window + gram - 1 > least:
         raise ValueError("a passage must hold a whole window of k-grams")
-    rows = _suffixes(docs, id_col, text_col, least, gram, window)
-    order = ["core", "right", "left", "doc", "pos"]
-    found = materialise(_match(rows.repartitionByRange(*order).sortWithinPartitions(*order), least, window, group_rows), "suffixes")
+    hot = _hot_cores(docs, id_col, text_col, least, gram, window, group_rows)
+    rows = _suffixes(docs, id_col, text_col, least, gram, window, hot)
+    dealt = rows.repartition(partitions(docs.sparkSession), "deal").sortWithinPartitions("core", "right", "left", "doc", "pos")
+    found = materialise(_match(dealt, least, window, group_rows, hot), "suffixes")
     columns = ["doc", "start_word", "end_word", "keep_start", "keep_end", "first_doc"]
     placed = found.filter("not open").select(*columns).union(_across(found, least, window).select(*columns)).distinct()
     # spans of a document that overlap or touch join up
