@@ -12,8 +12,8 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from garimpo.llm import langid, packing, secrets
-from test_operators import base_spans, check_packed, component_ids, slow_fingerprint
+from garimpo.llm import langid, packing, secrets, simhash
+from test_operators import base_spans, check_packed
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,10 +77,69 @@ def test_language(stages):
     assert pairs(stages[1]) == want and sum(want.values()) > 0.95 * stages[0].count()
 
 
+def shingles(text) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar(texts: list, least: float) -> list[tuple[int, int]]:
+    """Brute force: all pairs of texts whose five-word shingles have a Jaccard similarity of ``least`` or more."""
+    sets = [shingles(t) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * max(1, len(sets[i] | sets[j])) or sets[i] == sets[j]]
+
+
 def test_near_duplicates(stages):
-    rows = [(r["doc_id"], slow_fingerprint(r["text"])) for r in stages[1].collect()]
-    comp = component_ids(rows, 4)
-    assert {r["doc_id"] for r in stages[2].collect()} == {i for i, f in rows if comp[f] == i}
+    """No link is further than the stage's radius, and of near copies a tenth at most stay."""
+    docs = {r["doc_id"]: r["text"] for r in stages[1].collect()}
+    kept = {r["doc_id"]: r["text"] for r in stages[2].collect()}
+    ids, width = sorted(docs), 64 * simhash.VIEWS
+    prints = [[simhash.fingerprint(docs[i], 5, view=v) for v in range(simhash.VIEWS)] for i in ids]
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)) <= int(simhash.APART * width):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    first = {ids[k]: ids[root(k)] for k in range(len(ids))}
+    assert set(first.values()) <= set(kept) <= set(docs)  # the smallest id of each group by brute force stays
+    assert len(kept) <= len(set(first.values())) + 0.1 * (len(docs) - len(set(first.values())))
+    assert len(set(kept.values())) == len(kept)  # no exact copy
+    assert all(kept[i] == docs[i] for i in kept)
+    texts, left = [docs[i] for i in ids], set(kept)
+    near = [(ids[i], ids[j]) for i, j in similar(texts, 0.8)]
+    both = [p for p in near if p[0] in left and p[1] in left]
+    assert near and len(both) <= 0.1 * len(near)
+
+
+def test_no_unlike_document_goes(stages):
+    """A document that went has a kept one of at least half its shingles, or is linked to it over others."""
+    docs, kept = {r["doc_id"]: r["text"] for r in stages[1].collect()}, {r["doc_id"] for r in stages[2].collect()}
+    ids = sorted(docs)
+    like = Counter(i for a, b in similar([docs[i] for i in ids], 0.5) for i in (ids[a], ids[b]))
+    assert all(like[i] for i in docs if i not in kept)
+
+
+def test_stages_on_the_odd_table(spark, odd, small, tmp_path):
+    """Null and repeated ids, clashing columns: no row goes that has no like among those that stay, until the mix."""
+    docs = odd
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, columns = docs, docs.columns
+        stage(spark, docs, small).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == columns and docs.dtypes == before.dtypes
+        if k == 1:
+            left = {shingles(r["text"]) for r in docs.collect()}
+            assert all(any(len(shingles(r["text"]) & x) >= 0.5 * len(shingles(r["text"])) for x in left) for r in before.collect())
+        if k == 2:
+            assert docs.count() == before.count() and not any(base_spans(r["text"]) for r in docs.collect())
+    assert check_packed(docs.collect(), 1024) > 0
 
 
 def test_secrets_are_gone_and_nothing_else(stages):
