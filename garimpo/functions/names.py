@@ -76,12 +76,17 @@ def _matches(candidate: Column, name: Column) -> Column:
     return F.when(F.size(candidate) == 0, False).when(F.size(candidate) == 1, single).otherwise(either)
 
 
+def names_agree(candidate: Column, name: Column) -> Column:
+    """Two lists of company tokens agree; the second one has two at least."""
+    return F.coalesce((F.size(name) >= MIN_COMPANY_TOKENS) & _matches(candidate, name), F.lit(False))
+
+
 def verify_mirror_link(site_url, site_title, legal, trade) -> Column:
     """A site's title or domain label agrees with one of a company's names."""
     from .web import apex_label
 
     title, label = company_tokens(site_title), company_tokens(apex_label(site_url))
-    agrees = lambda n: (F.size(n) >= MIN_COMPANY_TOKENS) & (_matches(title, n) | _matches(label, n))
+    agrees = lambda n: names_agree(title, n) | names_agree(label, n)
     return F.coalesce(agrees(company_tokens(legal)) | agrees(company_tokens(trade)), F.lit(False))
 
 

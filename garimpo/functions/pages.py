@@ -257,3 +257,13 @@ def salvage_json(answer: Column | str, schema: str) -> Column:
     c = F.trim(F.regexp_replace(col(answer), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
     sound = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema))
     return F.coalesce(sound(c), sound(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))))
+
+
+def answer_rows(answer: Column | str, item: str) -> Column:
+    """The rows of a model's answer, an array of ``item`` (a DDL schema): a bare list, or the list under ``results`` or ``leads``;
+    fences and words around are taken off; null if nothing is JSON."""
+    c = F.trim(F.regexp_replace(col(answer), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
+    listed = f"array<struct<{', '.join(':'.join(x.split(None, 1)) for x in item.split(', '))}>>"
+    bare = F.when(c.startswith("[") & F.try_parse_json(c).isNotNull(), F.from_json(c, listed))
+    found = salvage_json(answer, f"results {listed}, leads {listed}")
+    return F.coalesce(bare, found["results"], found["leads"])

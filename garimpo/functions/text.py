@@ -40,8 +40,10 @@ def collapse(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(col(c), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    """White space of any kind off both ends. Text that begins and ends with a plain character, as nearly all does, skips the expression."""
+    c = col(c)
+    plain = lambda x: F.ascii(x).between(33, 127)
+    return F.when((c == "") | (plain(c) & plain(F.right(c, F.lit(1)))), c).otherwise(F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", ""))
 
 
 def digits(c: Column | str) -> Column:

@@ -100,11 +100,20 @@ Organization LocalBusiness ProfessionalService Store Restaurant School Education
 HealthAndBeautyBusiness SportsActivityLocation EntertainmentBusiness FinancialService HomeAndConstructionBusiness MedicalBusiness
 LegalService AutomotiveBusiness FoodEstablishment LodgingBusiness
 """.split()
+# fixed values: what makes a page's platform, generators first, then marks in the markup, in this order
+GENERATORS = ["wordpress", "wix", "joomla", "drupal"]
+PLATFORM_MARKS = [
+    ("/wp-content/", "wordpress"), ("/wp-includes/", "wordpress"), ("static.parastorage.com", "wix"), ("wix.com", "wix"), ("squarespace", "squarespace"),
+    ("shopify", "shopify"), ("cdn.jsdelivr.net/npm/vue", "vue"), ("__nuxt", "vue"), ("__next", "nextjs"),
+]
+# fixed values: hosts whose every address is a conversation
+CHAT_HOSTS = ["wa.me", "api.whatsapp.com", "chat.whatsapp.com"]
 # fixed values: links worth following first
 INTERESTING = (
     "(?iu)(contato|contatos|contact|fale-conosco|fale-com|falecom|atendimento|suporte|ajuda|sobre|sobre-nos|quem-somos|institucional|empresa|servicos|serviços|produtos"
     "|solucoes|soluções|planos|precos|preços|orcamento|orçamento|unidades|filiais|lojas|onde-estamos|localizacao|localização|trabalhe)"
 )
+FILE_ENDING = r"(?i)\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|mp4|mp3)$"
 # fixed values: street types and their short forms
 STREET_TYPES = dict(x.split("=") for x in """
 r=RUA rua=RUA av=AVENIDA avenida=AVENIDA al=ALAMEDA alameda=ALAMEDA tv=TRAVESSA trav=TRAVESSA travessa=TRAVESSA pc=PRACA praca=PRACA rod=RODOVIA rodovia=RODOVIA

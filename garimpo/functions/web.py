@@ -49,7 +49,7 @@ def apex_label(url: Column | str) -> Column:
 def is_social_profile(url: Column | str) -> Column:
     """A profile on a hub: chat hosts always, else a single path segment, or a channel's two, that isn't content."""
     host, path = host_of(url), F.regexp_replace(path_of(url), "/+$", "")
-    chat = host.isin("wa.me", "api.whatsapp.com", "chat.whatsapp.com")
+    chat = host.isin(V.CHAT_HOSTS)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     numbered = (path == "/profile.php") & col(url).rlike(r"\?(?:[^#]*&)?id=")
     channel = (F.size(segments) == 2) & F.coalesce(F.get(segments, 0), F.lit("")).rlike(r"(?i)^(c|channel|user|@[\w.-]+)$")
@@ -70,6 +70,10 @@ def linkedin_entity_slug(url: Column | str) -> Column:
     return group(F.regexp_replace(F.lower(path_of(url)), "/+$", ""), r"^/(?:[a-z]{2}/)?(?:company|school|showcase)/([^/]+)")
 
 
+def profile_slug(url: Column | str) -> Column:
+    return group(F.lower(path_of(url)), r"^/(?:[a-z]{2}/)?(?:in|pub)/([^/]+)")
+
+
 def linkedin_about_url(url: Column | str) -> Column:
     return F.concat(F.lit("https://www.linkedin.com/company/"), linkedin_entity_slug(url), F.lit("/about/"))
 
@@ -166,16 +170,11 @@ def platform_of(html: Column | str, generator: Column | None = None) -> Column:
     """The generator first, then marks in the markup, in order."""
     h, g = F.lower(col(html)), F.lower(generator_of(html) if generator is None else generator)
     out = F
-    for name in ("wordpress", "wix", "joomla", "drupal"):
+    for name in V.GENERATORS:
         out = out.when(g.contains(name), name)
-    return (
-        out.when(h.contains("/wp-content/") | h.contains("/wp-includes/"), "wordpress")
-        .when(h.contains("static.parastorage.com") | h.contains("wix.com"), "wix")
-        .when(h.contains("squarespace"), "squarespace")
-        .when(h.contains("shopify"), "shopify")
-        .when(h.contains("cdn.jsdelivr.net/npm/vue") | h.contains("__nuxt"), "vue")
-        .when(h.contains("__next"), "nextjs")
-    )
+    for mark, name in V.PLATFORM_MARKS:
+        out = out.when(h.contains(mark), name)
+    return out
 
 
 def footer_year(html: Column | str) -> Column:
@@ -233,26 +232,59 @@ def emails_of(html: Column | str, site_host: Column | str | None = None) -> Colu
     domain = lambda x: F.split_part(x, F.lit("@"), F.lit(2))
     sound = lambda x: x.contains("@") & ~x.rlike(V.NOT_A_CONTACT) & ~x.rlike(V.ASSET_AT) & (F.length(F.substring_index(x, "@", 1)) >= 2) & domain(x).contains(".")
     kept = F.array_distinct(F.filter(F.transform(found, tidy), sound))
+    return F.slice(rank_emails(kept, site_host), 1, V.MAX_CONTACTS)
+
+
+def rank_emails(emails: Column | str, site_host: Column | str | None = None) -> Column:
+    """The site's own addresses, then those of free mailboxes, then others, each in the order found."""
+    domain = lambda x: F.split_part(x, F.lit("@"), F.lit(2))
     own = apex_of(F.concat(F.lit("https://"), col(site_host))) if site_host is not None else F.lit("")
     mine = lambda x: (own == "") | (domain(x) == own) | domain(x).endswith(F.concat(F.lit("."), own))
     free = lambda x: domain(x).isin(V.FREE_MAIL) | domain(x).rlike(V.FREE_ANY_ENDING)
-    parts = [F.filter(kept, mine), F.filter(kept, lambda x: ~mine(x) & free(x)), F.filter(kept, lambda x: ~mine(x) & ~free(x))]
-    return F.slice(F.concat(*parts), 1, V.MAX_CONTACTS)
+    return let(col(emails), lambda kept: F.concat(F.filter(kept, mine), F.filter(kept, lambda x: ~mine(x) & free(x)), F.filter(kept, lambda x: ~mine(x) & ~free(x))))
 
 
 def merge_contacts(current: Column | str, found: Column | str) -> Column:
     return F.slice(F.array_distinct(F.concat(col(current), col(found))), 1, V.MAX_CONTACTS)
 
 
-def internal_links(html: Column | str, base: Column | str, limit: int = 5) -> Column:
-    """Same-host links to read next: those that promise contacts or services first, files left out."""
-    c, host = col(html), host_of(base)
-    hrefs = F.regexp_extract_all(c, F.lit(r"""(?i)href=["']([^"'#]+)"""), F.lit(1))
-    origin = F.regexp_extract(col(base), r"(?i)^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
-    full = F.transform(hrefs, lambda h: F.when(h.rlike("(?i)^https?://"), h).when(h.startswith("/") & ~h.startswith("//"), F.concat(origin, h)))
-    kept = F.array_distinct(F.filter(full, lambda u: u.isNotNull() & (host_of(u) == host) & ~F.lower(path_of(u)).rlike(r"\.(png|jpe?g|gif|svg|webp|pdf|zip|css|js|ico|mp4)$")))
-    first = lambda u: u.rlike(V.INTERESTING)
-    return F.slice(F.concat(F.filter(kept, first), F.filter(kept, lambda u: ~first(u))), 1, limit)
+def resolve_href(href: Column | str, base: Column | str) -> Column:
+    """Origin and path of a link on a page, dot segments resolved, query and fragment off; null for anything but http(s)."""
+    h, here = F.trim(col(href)), col(base)
+    origin = F.regexp_extract(here, r"(?i)^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.coalesce(F.nullif(path_of(here), F.lit("")), F.lit("/")), "[^/]*$", "")
+    bare = F.regexp_replace(h, "[?#].*$", "")
+    absolute = (
+        F.when(h.rlike("(?i)^https?://"), bare)
+        .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(h.startswith("//"), F.concat(F.regexp_extract(here, "^([^:]+:)", 1), bare))
+        .when(h.startswith("/"), F.concat(origin, bare))
+        .when(bare == "", F.concat(origin, F.coalesce(F.nullif(path_of(here), F.lit("")), F.lit("/"))))
+        .otherwise(F.concat(origin, folder, bare))
+    )
+
+    def tidy(u: Column) -> Column:
+        empty = F.array().cast("array<string>")
+        parts = F.split(path_of(u), "/")
+        step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+        path = F.array_join(F.aggregate(parts, empty, step), "/")
+        path = F.when(path_of(u).rlike(r"/\.{1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
+        return F.concat(F.lower(F.regexp_extract(u, "(?i)^([a-z]+://[^/?#]+)", 1)), F.when(path == "", "/").otherwise(path))
+
+    return let(absolute, tidy)
+
+
+def internal_links(html: Column | str, base: Column | str, limit: int = 5, every: bool = False) -> Column:
+    """Links of the same host to read next, by origin and path, without the root: those whose path promises contacts or
+    services. With ``every`` also the others, after them, but no files."""
+    host = host_of(base)
+    hrefs = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']([^"'#]+)["']"""), F.lit(1))
+    full = F.transform(hrefs, lambda h: resolve_href(h, base))
+    first = lambda u: path_of(u).rlike(V.INTERESTING)
+    here = F.filter(full, lambda u: u.isNotNull() & (host_of(u) == host) & ~path_of(u).isin("", "/"))
+    wanted = (lambda u: ~path_of(u).rlike(V.FILE_ENDING)) if every else first
+    kept = F.slice(F.array_distinct(F.filter(here, wanted)), 1, 4 * limit)
+    return let(kept, lambda k: F.slice(F.concat(F.filter(k, first), F.filter(k, lambda u: ~first(u))), 1, limit))
 
 
 def page_signals(html: Column | str, final_url: Column | str) -> dict[str, Column]:
@@ -282,7 +314,6 @@ def page_signals(html: Column | str, final_url: Column | str) -> dict[str, Colum
 
 def run_probes(probes: dict[str, list[str]], text: Column | str) -> Column:
     """Map probe -> whether one of its terms stands as a whole word in the folded text; empty where nothing was read."""
-    hay = F.lower(fold(text))
 
     def term(t: str) -> str:
         from .text import _FROM, _TO
@@ -294,5 +325,6 @@ def run_probes(probes: dict[str, list[str]], text: Column | str) -> Column:
     empty = F.create_map().cast("map<string,boolean>")
     if not tests:
         return empty
-    made = F.create_map(*[x for k, p in tests.items() for x in (F.lit(k), hay.rlike(p))])
+    # the folded text is bound, so that it is made once for all probes
+    made = let(F.lower(fold(text)), lambda hay: F.create_map(*[x for k, p in tests.items() for x in (F.lit(k), hay.rlike(p))]))
     return F.when(F.coalesce(F.trim(col(text)), F.lit("")) == "", empty).otherwise(made)

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.registry import is_mobile_shape, is_own_domain, mail_domain
+from ..functions.registry import is_mobile_shape, is_own_domain
 from ..functions.text import any_of, digits, fold
 
 
@@ -90,7 +90,8 @@ def predicate(f: CompanyFilters) -> Column:
     if f.email_domain:
         add(F.split_part(F.lower("email"), F.lit("@"), F.lit(2)).isin([d.strip().lower() for d in f.email_domain]))
     if f.own_domain_email:
-        add(F.col("email").contains("@") & is_own_domain(mail_domain("email")))
+        # what stands between the first @ and the next, as in the test of email_domain
+        add(F.col("email").contains("@") & is_own_domain(F.split_part(F.lower("email"), F.lit("@"), F.lit(2))))
     if f.is_mobile:
         add(is_mobile_shape("telefone"))
     if f.cep_prefix:

@@ -11,10 +11,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.filter("_rn = 1").drop("_rn")
 
 
+def _every(rows: DataFrame) -> list[Column]:
+    """All columns that have an order, by name: a last resort that makes a pick the same on every run."""
+    return [F.col(f"`{f.name}`") for f in sorted(rows.schema.fields, key=lambda f: f.name) if "map<" not in f.dataType.simpleString()]
+
+
 def insert_new(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """Insert, do nothing where the key exists; of repeated new keys the first by ``order`` goes in."""
+    """Insert, do nothing where the key exists; of repeated new keys the first by ``order``, or else by all columns, goes in."""
     fresh = rows.join(target.select(*keys), keys, "left_anti")
-    fresh = latest(fresh, keys, order) if order else fresh.dropDuplicates(keys)
+    fresh = latest(fresh, keys, [*(order or []), *_every(fresh)])
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -31,8 +36,8 @@ def add_counts(target: DataFrame, rows: DataFrame, keys: list[str], counter: str
 
 
 def update(target: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Set ``values`` on rows whose key is in ``rows``; other rows stay."""
-    named = rows.dropDuplicates(keys).select(*keys, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_{v}") for v in values])
+    """Set ``values`` on rows whose key is in ``rows``; other rows stay. Of rows of one key the least by all columns counts."""
+    named = latest(rows, keys, _every(rows)).select(*keys, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_{v}") for v in values])
     joined = target.join(named, keys, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns])
 
@@ -41,6 +46,11 @@ def delete(target: DataFrame, keys_gone: DataFrame, keys: list[str]) -> DataFram
     return target.join(keys_gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_cascade(tables: dict[str, DataFrame], keys_gone: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Every table that has the keys, without the rows of those that are gone; other tables stay."""
+    return {name: delete(df, keys_gone, keys) if set(keys) <= set(df.columns) else df for name, df in tables.items()}
+
+
 def set_impressions(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Upsert where a blank body deletes the row."""
     merged = upsert(target, rows, keys, order)
@@ -55,7 +65,7 @@ def promote(leads: DataFrame, companies: DataFrame, crawls: DataFrame, lead_craw
     for c in companies.columns:
         if c not in fresh.columns:
             fresh = fresh.withColumn(c, F.lit(None).cast(companies.schema[c].dataType))
-    carried = matched.select(F.col("matched_cnpj").alias("cnpj"), "apex").join(lead_crawls, "apex").drop("apex")
+    carried = matched.select(F.col("matched_cnpj").alias("cnpj"), "apex").join(lead_crawls, "apex").drop("apex")  # of several sites the least row
     return companies.unionByName(fresh.select(*companies.columns)), insert_new(crawls, carried, ["cnpj"])
 
 
@@ -128,11 +138,15 @@ def plan_queries(terms: DataFrame, places: DataFrame, most: int) -> DataFrame:
 
     ``terms`` (term_idx, term) and ``places`` (place_idx, place) are short lists of a project; each term is spread over the places it needs.
     """
-    all_places = places.agg(F.sort_array(F.collect_list(F.struct("place_idx", "place"))).alias("_p"), F.lit(1).alias("_one"))
-    spread = terms.withColumn("_one", F.lit(1)).join(all_places, "_one", "left")
-    rows = spread.select("term_idx", "term", F.explode_outer("_p").alias("p"))
-    place = F.coalesce(F.col("p.place"), F.lit(""))
+    # of a term only the first places can be among the first ``most`` rows, and of the places only those
+    few = lambda df, by: df.orderBy(by).limit(most)
+    t = few(latest(terms, ["term"], [F.col("term_idx")]), "term_idx").withColumn("_t", F.row_number().over(Window.orderBy("term_idx")) - 1)
+    p = few(latest(places, ["place"], [F.col("place_idx")]), "place_idx").withColumn("_p", F.row_number().over(Window.orderBy("place_idx")) - 1)
+    # row n is term n mod terms in place n div terms: both sides are found by number
+    size = t.agg(F.count("*").alias("_terms"), F.lit(0).alias("_z"))
+    n = p.agg(F.greatest(F.count("*"), F.lit(1)).alias("_places"), F.lit(0).alias("_z"))
+    rows = size.join(n, "_z").filter("_terms > 0").select("_terms", F.explode(F.expr(f"sequence(0L, least({int(most)}L, _terms * _places) - 1L)")).alias("_n"))
+    rows = rows.withColumn("_t", F.expr("cast(_n % _terms as int)")).withColumn("_p", F.expr("cast(_n div _terms as int)"))
+    place = F.coalesce(F.col("place"), F.lit(""))
     query = F.concat(F.lit('"'), F.col("term"), F.lit('"'), F.when(place != "", F.concat(F.lit(" "), place)).otherwise(""))
-    made = rows.select(query.alias("query"), "term", place.alias("place"), F.coalesce(F.col("p.place_idx"), F.lit(0)).alias("place_idx"), "term_idx")
-    first = latest(made, ["query"], [F.col("place_idx"), F.col("term_idx")])
-    return first.orderBy("place_idx", "term_idx").limit(most).select("query", "term", "place")
+    return rows.join(t, "_t").join(p, "_p", "left").orderBy("_n").select(query.alias("query"), "term", place.alias("place"))

@@ -6,14 +6,16 @@ primary activity, its lines' parts the secondary ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import names, registry, text as tx, values as V, web
+from ..functions import names, pages, registry, values as V, web
 from ..operators import discovery, filters, store
 from ..operators.filters import CompanyFilters
-from . import etl, flows
+from ..streaming.continuous import process_unseen, shared, stream_parquet
+from . import enrichment, etl, flows
 from .catalogue import QUERIES, SQL
 
 AS_OF = "2001-08-01"
@@ -233,9 +235,10 @@ def filter_combined(spark, d):
     return filters.apply(est(spark, d), f).select("cnpj")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@query(EST + "SELECT cnpj, uf FROM est WHERE cnae_principal LIKE '0000%' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey::VARCHAR = cnpj AND l_quantity >= 49)")
 def exclude_anti_join(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    gone = t(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").cast("string").alias("cnpj"))
+    return filters.apply(est(spark, d), CompanyFilters(cnae=["0000"]), gone).select("cnpj", "uf")
 
 
 @query(EST + "SELECT cnpj, razao_social FROM est WHERE cnpj IN (SELECT l_orderkey::VARCHAR FROM lineitem WHERE l_quantity = 50)")
@@ -244,22 +247,23 @@ def semi_join_page(spark, d):
     return discovery.by_numbers(est(spark, d), keys).select("cnpj", "razao_social")
 
 
-def _lookup(spark, d, customers):
-    k = F.col("c_custkey")
-    probes = customers.select(
+def _lookup(spark, d, probes, key):
+    k = F.col(key)
+    probes = probes.select(
         k.cast("string").alias("ref"), F.concat(F.lit("RUA DAS "), F.col("c_mktsegment")).alias("logradouro"), F.when(k % 11 != 0, (k % 50).cast("string")).alias("numero"),
         F.when(k % 13 != 0, F.lower(F.substring(F.lit("OFP"), (k % 3 + 1).cast("int"), F.lit(1)))).alias("uf"),
     )
     return discovery.find_by_address(est(spark, d), probes).withColumn("cnpjs", F.array_join("cnpjs", ","))
 
 
-@query(EST + """, p AS (SELECT c_custkey::VARCHAR AS ref, 'RUA DAS ' || c_mktsegment AS street, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey % 50)::VARCHAR END AS no,
- CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE lower(substr('OFP', (c_custkey % 3 + 1)::INTEGER, 1)) END AS uf FROM customer WHERE c_custkey < 200),
+@query(EST + """, p AS (SELECT s_suppkey::VARCHAR AS ref, 'RUA DAS ' || c_mktsegment AS street, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE (s_suppkey % 50)::VARCHAR END AS no,
+ CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE lower(substr('OFP', (s_suppkey % 3 + 1)::INTEGER, 1)) END AS uf FROM supplier JOIN customer ON s_suppkey = c_custkey),
 h AS (SELECT ref, cnpj, row_number() OVER (PARTITION BY ref ORDER BY cnpj) AS rn FROM p JOIN est e ON e.numero = p.no AND e.uf = upper(p.uf) AND ends_with(e.logradouro, list_last(string_split(street, ' ')))),
 g AS (SELECT ref, count(*) > 12 AS ambiguous, string_agg(cnpj, ',' ORDER BY cnpj) FILTER (WHERE rn <= 12) AS cnpjs FROM h GROUP BY ref)
 SELECT p.ref, CASE WHEN no IS NULL THEN 'sem-numero' WHEN p.uf IS NULL THEN 'sem-uf' END AS skipped, coalesce(ambiguous, false) AS ambiguous, coalesce(cnpjs, '') AS cnpjs FROM p LEFT JOIN g USING (ref)""")
 def address_batch_lookup(spark, d):
-    return _lookup(spark, d, t(spark, d, "customer").filter("c_custkey < 200"))
+    s, c = t(spark, d, "supplier"), t(spark, d, "customer")
+    return _lookup(spark, d, s.join(c, s["s_suppkey"] == c["c_custkey"]), "s_suppkey")
 
 
 @query(EST + """, p AS (SELECT c_custkey::VARCHAR AS ref, 'RUA DAS ' || c_mktsegment AS street, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey % 50)::VARCHAR END AS no,
@@ -268,28 +272,51 @@ h AS (SELECT ref, cnpj, row_number() OVER (PARTITION BY ref ORDER BY cnpj) AS rn
 g AS (SELECT ref, count(*) > 12 AS ambiguous, string_agg(cnpj, ',' ORDER BY cnpj) FILTER (WHERE rn <= 12) AS cnpjs FROM h GROUP BY ref)
 SELECT p.ref, CASE WHEN no IS NULL THEN 'sem-numero' WHEN p.uf IS NULL THEN 'sem-uf' END AS skipped, coalesce(ambiguous, false) AS ambiguous, coalesce(cnpjs, '') AS cnpjs FROM p LEFT JOIN g USING (ref)""")
 def address_batch_lookup_all(spark, d):
-    return _lookup(spark, d, t(spark, d, "customer"))
+    return _lookup(spark, d, t(spark, d, "customer"), "c_custkey")
 
 
 # ---------------------------------------------------------------- joins and aggregates of the store
 
 
-@query("""WITH l AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty FROM lineitem GROUP BY 1), e AS (SELECT user_id, count(*) AS n_events FROM events GROUP BY 1)
-SELECT o_orderkey, c_name, n_name, r_name, n_lines, qty, n_events FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN l ON o_orderkey = l_orderkey LEFT JOIN e ON o_custkey = e.user_id""")
+_STORE = """
+WITH companies AS (SELECT o_orderkey::VARCHAR AS cnpj, 1 AS project_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS nome_fantasia, 'x@' || CASE WHEN o_orderkey % 4 = 1 THEN 'firma' || o_custkey || '.com.br' ELSE 'gmail.com' END AS email FROM orders),
+crawls AS (SELECT user_id::VARCHAR AS cnpj, 'https://s' || user_id || '.com' AS final_url FROM (SELECT DISTINCT user_id FROM events)),
+scores AS (SELECT l_orderkey::VARCHAR AS cnpj, 1 AS project_id, CAST(max(l_linenumber) % 6 AS INTEGER) AS best_fit, CASE max(l_linenumber) % 6 WHEN 5 THEN 'hot' WHEN 4 THEN 'warm' ELSE 'cold' END AS tier,
+ max(l_linenumber) = 2 AS wrong_type, CASE WHEN max(l_linenumber) = 1 THEN 'failed' END AS error FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1),
+leads AS (SELECT o_orderkey::VARCHAR AS cnpj, 1 AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'won' ELSE 'flagged' END AS status, o_orderdate AS flagged_at FROM orders WHERE o_orderkey % 7 = 0),
+places AS (SELECT o_orderkey::VARCHAR AS cnpj, CASE WHEN o_orderkey % 2 = 0 THEN 'https://p' || o_orderkey || '.com' END AS website_url FROM orders WHERE o_orderkey % 9 = 0),
+impressions AS (SELECT o_orderkey::VARCHAR AS cnpj, 1 AS project_id, o_orderpriority AS body FROM orders WHERE o_orderkey % 11 = 0)
+"""
+
+
+def store_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A project's tables, made from orders, their lines and events."""
+    o, k, one = t(spark, d, "orders"), F.col("o_orderkey"), F.lit(1).alias("project_id")
+    cnpj = k.cast("string").alias("cnpj")
+    lines = t(spark, d, "lineitem").filter("l_orderkey % 5 <> 0").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
+    fit = (F.col("n") % 6).cast("int")
+    return {
+        "companies": o.select(cnpj, one, F.when(k % 3 != 0, F.col("o_orderpriority")).alias("nome_fantasia"), F.when(k % 4 == 1, F.concat(F.lit("x@firma"), F.col("o_custkey"), F.lit(".com.br"))).otherwise("x@gmail.com").alias("email")),
+        "crawls": t(spark, d, "events").select(F.col("user_id").cast("string").alias("cnpj")).distinct().withColumn("final_url", F.concat(F.lit("https://s"), F.col("cnpj"), F.lit(".com"))),
+        "scores": lines.select(F.col("l_orderkey").cast("string").alias("cnpj"), one, fit.alias("best_fit"), F.when(fit == 5, "hot").when(fit == 4, "warm").otherwise("cold").alias("tier"), (F.col("n") == 2).alias("wrong_type"), F.when(F.col("n") == 1, "failed").alias("error")),
+        "leads": o.filter(k % 7 == 0).select(cnpj, one, F.when(k % 2 == 0, "won").otherwise("flagged").alias("status"), F.col("o_orderdate").alias("flagged_at")),
+        "places": o.filter(k % 9 == 0).select(cnpj, F.when(k % 2 == 0, F.concat(F.lit("https://p"), k, F.lit(".com"))).alias("website_url")),
+        "impressions": o.filter(k % 11 == 0).select(cnpj, one, F.col("o_orderpriority").alias("body")),
+    }
+
+
+@query(_STORE + """SELECT cnpj, nome_fantasia, final_url, website_url, best_fit, status, body FROM companies LEFT JOIN crawls USING (cnpj) LEFT JOIN places USING (cnpj) LEFT JOIN scores USING (cnpj, project_id)
+LEFT JOIN leads USING (cnpj, project_id) LEFT JOIN impressions USING (cnpj, project_id) ORDER BY best_fit DESC NULLS LAST, nome_fantasia ASC NULLS FIRST, cnpj LIMIT 1000""")
 def left_join_5way(spark, d):
-    o, c, n, r = (t(spark, d, x) for x in ("orders", "customer", "nation", "region"))
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("qty"))
-    ev = t(spark, d, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.count("*").alias("n_events"))
-    out = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, F.col("c_nationkey") == n["n_nationkey"], "left").join(r, F.col("n_regionkey") == r["r_regionkey"], "left")
-    return out.join(lines, "o_orderkey", "left").join(ev, "o_custkey", "left").select("o_orderkey", "c_name", "n_name", "r_name", "n_lines", "qty", "n_events")
+    s = store_tables(spark, d)
+    rows = flows.company_list(s["companies"], s["places"], s["crawls"], s["scores"], s["leads"], s["impressions"])
+    return rows.select("cnpj", "nome_fantasia", "final_url", "website_url", "best_fit", "status", "body")
 
 
-@query("SELECT count(*) AS total, count(e.user_id) AS crawled, count(*) FILTER (WHERE o_orderstatus = 'F') AS hot FROM orders LEFT JOIN (SELECT DISTINCT user_id FROM events) e ON o_custkey = e.user_id")
+@query(_STORE + "SELECT count(*) AS not_crawled, count(*) FILTER (WHERE email LIKE '%@firma%') AS with_guessable_site FROM companies WHERE cnpj NOT IN (SELECT cnpj FROM crawls)")
 def count_nullable(spark, d):
-    ev = t(spark, d, "events").select("user_id").distinct()
-    o = t(spark, d, "orders")
-    return o.join(ev, o["o_custkey"] == ev["user_id"], "left").agg(F.count("*").alias("total"), F.count("user_id").alias("crawled"), F.count_if(F.col("o_orderstatus") == "F").alias("hot"))
+    s = store_tables(spark, d)
+    return enrichment.crawl_pending(s["companies"], s["crawls"])
 
 
 @query("SELECT o_orderpriority AS cnae, o_orderstatus AS cnae_descricao, count(*) AS count FROM orders GROUP BY 1, 2")
@@ -313,22 +340,74 @@ def conditional_yield(spark, d):
     return flows.cnae_yield(companies, scores)
 
 
-@query("SELECT coalesce(sum(value) FILTER (WHERE event_type = 'none'), 0.0) AS nothing, coalesce(max(event_id), 0) AS last FROM events")
+@query("""SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS in_reach, count(*) FILTER (WHERE o_orderstatus = 'O') AS out_of_reach, CAST(0 AS BIGINT) AS unmatched,
+(SELECT count(*) FROM events WHERE value < 0) AS queries_spent, (SELECT coalesce(sum(event_id) FILTER (WHERE value < 0), 0)::BIGINT FROM events) AS businesses_seen FROM orders""")
 def sum_coalesce(spark, d):
-    return t(spark, d, "events").agg(F.coalesce(F.sum(F.when(F.col("event_type") == "none", F.col("value"))), F.lit(0.0)).alias("nothing"), F.coalesce(F.max("event_id"), F.lit(0)).alias("last"))
+    leads = t(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "in_reach").when(F.col("o_orderstatus") == "O", "out_of_reach").otherwise("other").alias("verdict"))
+    none = t(spark, d, "events").filter("value < 0").select(F.col("event_id").alias("considered"))  # no query was spent
+    return enrichment.sweep_yield(leads, none)
 
 
-@query("""SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 300""")
+@query("""WITH s AS (SELECT lpad(p_partkey::VARCHAR, 7, '0') AS code, p_partkey % 3 = 0 AS chosen, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS descricao, p_partkey % 5 AS total FROM part)
+SELECT code, st AS status, CAST(row_number() OVER (ORDER BY CASE st WHEN 'ok' THEN 0 WHEN 'empty' THEN 1 ELSE 2 END, chosen DESC, total DESC, code) AS BIGINT) AS place
+FROM (SELECT *, CASE WHEN descricao IS NULL THEN 'unknown' WHEN total = 0 THEN 'empty' ELSE 'ok' END AS st FROM s) ORDER BY place LIMIT 300""")
 def case_ranked_order(spark, d):
-    rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2)
-    order = [rank, F.col("o_totalprice").desc(), F.col("o_orderkey")]
-    top = t(spark, d, "orders").orderBy(*order).limit(300)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("o_orderkey", "place")
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    reach = p.select(zkey("p_partkey").alias("code"), F.when(k % 4 != 0, F.col("p_name")).alias("descricao"), (k % 5).alias("total"))
+    top = enrichment.check_suggestions(p.select(zkey("p_partkey").alias("code"), (k % 3 == 0).alias("chosen")), reach).limit(300)
+    return top.select("code", "status", F.monotonically_increasing_id().alias("n")).withColumn("place", F.row_number().over(Window.orderBy("n")).cast("long")).drop("n")
 
 
-@query("SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS founded FROM orders ORDER BY o_orderpriority DESC, o_orderdate DESC, o_orderkey LIMIT 250")
+@query(_STORE + """SELECT cnpj, status, best_fit, final_url FROM leads LEFT JOIN companies USING (cnpj, project_id) LEFT JOIN scores USING (cnpj, project_id) LEFT JOIN crawls USING (cnpj)
+WHERE status = 'won' ORDER BY best_fit DESC NULLS LAST, flagged_at DESC NULLS LAST, cnpj LIMIT 250""")
 def multi_key_order(spark, d):
-    return t(spark, d, "orders").orderBy(F.desc("o_orderpriority"), F.desc("o_orderdate"), "o_orderkey").limit(250).select("o_orderkey", "o_orderpriority", day("o_orderdate"))
+    s = store_tables(spark, d)
+    return enrichment.lead_list(s["leads"], s["companies"], s["scores"], s["crawls"], "won", 250).select("cnpj", "status", "best_fit", "final_url")
+
+
+@query(_STORE + """SELECT 'ranked' AS pile, * FROM (SELECT cnpj, best_fit, nome_fantasia, final_url FROM scores LEFT JOIN companies USING (cnpj, project_id) LEFT JOIN crawls USING (cnpj) WHERE error IS NULL AND NOT wrong_type ORDER BY best_fit DESC NULLS LAST, cnpj LIMIT 500)
+UNION ALL SELECT 'discarded', * FROM (SELECT cnpj, best_fit, nome_fantasia, final_url FROM scores LEFT JOIN companies USING (cnpj, project_id) LEFT JOIN crawls USING (cnpj) WHERE error IS NULL AND wrong_type ORDER BY best_fit DESC NULLS LAST, cnpj LIMIT 500)
+UNION ALL SELECT 'failed', * FROM (SELECT cnpj, best_fit, nome_fantasia, final_url FROM scores LEFT JOIN companies USING (cnpj, project_id) LEFT JOIN crawls USING (cnpj) WHERE error IS NOT NULL ORDER BY best_fit DESC NULLS LAST, cnpj LIMIT 500)""")
+def results_view(spark, d):
+    s = store_tables(spark, d)
+    pile = lambda which: enrichment.results(s["scores"], s["companies"], s["crawls"], which, 500).select(F.lit(which).alias("pile"), "cnpj", "best_fit", "nome_fantasia", "final_url")
+    return pile("ranked").union(pile("discarded")).union(pile("failed"))
+
+
+@query(_STORE + """SELECT 1 AS project_id, (SELECT count(*) FROM companies) AS companies, count(*) FILTER (WHERE error IS NULL) AS scored, count(error) AS failed, count(*) FILTER (WHERE wrong_type) AS wrong_type,
+count(*) FILTER (WHERE tier = 'hot') AS hot, count(*) FILTER (WHERE tier = 'warm') AS warm, count(*) FILTER (WHERE tier = 'cold') AS cold FROM scores""")
+def project_stats(spark, d):
+    s = store_tables(spark, d)
+    return enrichment.project_stats(s["companies"], s["scores"])
+
+
+@query(_STORE + """, t AS (SELECT c.cnpj, coalesce(p.website_url, CASE WHEN email LIKE '%@firma%' THEN 'https://' || split_part(email, '@', 2) END) AS url, CASE WHEN p.website_url IS NOT NULL THEN 'places' WHEN email LIKE '%@firma%' THEN 'email' END AS source
+FROM companies c LEFT JOIN places p USING (cnpj) WHERE c.cnpj NOT IN (SELECT cnpj FROM crawls))
+SELECT cnpj, url, source, (SELECT count(*) FROM t) AS considered, (SELECT count(*) - least(count(url), 400) FROM t) AS skipped FROM t WHERE url IS NOT NULL ORDER BY cnpj LIMIT 400""")
+def crawl_targets(spark, d):
+    s = store_tables(spark, d)
+    hits = spark.createDataFrame([], "cnpj string, kind string, url string, position int")
+    args = (s["companies"], s["crawls"], s["places"], hits)
+    counts = enrichment.crawl_counts(*args, limit=400).drop("queued")
+    return enrichment.crawl_targets(*args, limit=400).crossJoin(F.broadcast(counts))  # one row of counts
+
+
+@query("""SELECT event_id, event_type AS sku, rn <= least(greatest(free - used, 0), 40) AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn,
+CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 30 ELSE 0 END AS free, CASE event_type WHEN 'click' THEN 20 WHEN 'view' THEN 5 ELSE 0 END AS used FROM events)""")
+def budget_ceiling(spark, d):
+    free = spark.createDataFrame([("click", 100), ("view", 30)], "sku string, free long")
+    used = spark.createDataFrame([("click", 20), ("view", 5)], "sku string, used long")
+    return enrichment.within_budget(t(spark, d, "events").select("event_id", F.col("event_type").alias("sku")), "sku", ["event_id"], used, free, 40)
+
+
+@query(EST + "SELECT logradouro, numero, uf, count(*) AS count FROM est GROUP BY ALL ORDER BY count(*) DESC, logradouro, numero, uf LIMIT 25")
+def crowded_addresses(spark, d):
+    return enrichment.crowded_addresses(est(spark, d), ["logradouro", "numero", "uf"], 25)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 20")
+def recent_jobs(spark, d):
+    return enrichment.recent(t(spark, d, "events"), "ts", "event_id", 20).select("event_id", "event_type")
 
 
 # ---------------------------------------------------------------- windows and upserts
@@ -501,11 +580,20 @@ def html_text(spark, d):
     return t(spark, d, "pages").select("page_id", web.extract_text("html").alias("excerpt"))
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '(?i)<meta[^>]+name=["'']viewport["'']') AS has_viewport, regexp_matches(html, '(?i)<form[\s>]') AS has_form, regexp_matches(html, '(?i)(?:wa\.me/|api\.whatsapp\.com/send|whatsapp://send)') AS has_wa_link,
-starts_with(url, 'https://') AS is_https FROM pages""")
+@query("""SELECT c_custkey, c_custkey % 2 = 0 AS has_viewport, c_custkey % 3 = 0 AS has_form, c_custkey % 5 = 0 AS has_wa_link, c_custkey % 2 = 1 AS is_https, c_custkey % 5 = 0 OR c_custkey % 7 = 0 AS has_contact_path,
+CASE WHEN c_custkey % 4 = 0 THEN 'wordpress' WHEN c_custkey % 4 = 1 THEN 'wix' END AS platform, CASE WHEN c_custkey % 3 = 1 THEN 2019 END AS footer_year, CASE WHEN c_custkey % 6 = 0 THEN 'loja_' || c_custkey END AS ig_handle,
+CASE WHEN c_custkey % 2 = 0 THEN 'Pães & doces ' || c_custkey END AS meta_description, c_custkey % 4 = 3 AS is_js_shell, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE c_custkey % 2 = 0 END AS probe FROM customer""")
 def html_signals(spark, d):
-    signals = web.page_signals("html", "url")
-    return t(spark, d, "pages").select("page_id", *[signals[c].alias(c) for c in ("has_viewport", "has_form", "has_wa_link", "is_https")])
+    k = F.col("c_custkey")
+    put = lambda when, *parts: F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
+    html = F.concat(
+        put(k % 2 == 0, '<meta content="Pães &amp; doces ', k, '" name="description">'), put(k % 2 == 0, "<meta name='viewport' content='x'>"), put(k % 3 == 0, "<form action=x>"), put(k % 5 == 0, '<a href="https://wa.me/1">'),
+        put(k % 7 == 0, '<a href="tel:1">'), put(k % 4 == 0, "<link href='/wp-content/x.css'>"), put(k % 4 == 1, '<meta name="generator" content="Wix.com">'), put(k % 3 == 1, "<p>© 2018-2019 Copyright 2019</p>"),
+        put(k % 6 == 0, '<a href="https://instagram.com/loja_', k, '/">'), F.when(k % 4 == 3, '<div id="root"></div>').otherwise("<p>Loja</p>"),
+    )
+    pages = t(spark, d, "customer").select("c_custkey", F.when(k % 2 == 1, "https://a.com.br/").otherwise("http://a.com.br/").alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("http_status"), html.alias("html"), F.lit(None).cast("string").alias("error"))
+    made = flows.analyse_pages(pages, {"p": ["pães"]})
+    return made.select("c_custkey", "has_viewport", "has_form", "has_wa_link", "is_https", "has_contact_path", "platform", "footer_year", "ig_handle", "meta_description", "is_js_shell", F.col("probes")["p"].alias("probe"))
 
 
 @query(r"""SELECT page_id, nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,300}?)</title>', 1), '<[^>]+>', '', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g')), 1, 200), '') AS title FROM pages""")
@@ -513,9 +601,17 @@ def html_title_decode(spark, d):
     return t(spark, d, "pages").select("page_id", web.title_of("html").alias("title"))
 
 
-@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)', 1)) AS INTEGER) AS hrefs FROM pages""")
+@query("""SELECT c_custkey, 'https://empresa-lojas.com.br/a/contato.html,https://empresa-lojas.com.br/sobre' || CASE WHEN c_custkey % 2 = 0 THEN ',https://empresa-lojas.com.br/unidades/' || c_custkey ELSE '' END AS shallow,
+'https://empresa-lojas.com.br/a/contato.html,https://empresa-lojas.com.br/sobre' || CASE WHEN c_custkey % 2 = 0 THEN ',https://empresa-lojas.com.br/unidades/' || c_custkey ELSE '' END || ',https://empresa-lojas.com.br/a/,https://empresa-lojas.com.br/x' || c_custkey AS deep FROM customer""")
 def html_links(spark, d):
-    return t(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"""(?i)href=["']([^"'#]+)"""), F.lit(1))).alias("hrefs"))
+    k = F.col("c_custkey")
+    html = F.concat(
+        F.lit('<a href="/"><a href="?q=1"><a href="/x'), k, F.lit('?a=1"><a href="/x'), k, F.lit('?a=2"><a href=\'contato.html\'><a href="../sobre"><a href="mailto:a@b.c"><a href="https://other.com/contato"><a href="/guia-contato.pdf#p">'),
+        F.lit('<a href="/foto.png">'), F.when(k % 2 == 0, F.concat(F.lit('<a href="//www.empresa-lojas.com.br/unidades/./'), k, F.lit('">'))).otherwise(""),
+    )
+    base = F.lit("https://empresa-lojas.com.br/a/")
+    plain = lambda c: F.array_join(F.transform(c, lambda u: F.replace(u, F.lit("//www."), F.lit("//"))), ",")
+    return t(spark, d, "customer").select("c_custkey", plain(web.internal_links(html, base, 9)).alias("shallow"), plain(web.internal_links(html, base, 9, every=True)).alias("deep"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(lower(strip_accents(text)), '(?:^|[^a-z0-9])(?:the|les)(?:[^a-z0-9]|$)') AS a, regexp_matches(lower(strip_accents(text)), '(?:^|[^a-z0-9])(?:espanol|elle)(?:[^a-z0-9]|$)') AS b FROM documents""")
@@ -524,10 +620,22 @@ def probe_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", found["a"].alias("a"), found["b"].alias("b"))
 
 
-@query(rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{V.EMAIL}'), lambda x: lower(x)))), ',') AS emails FROM documents WHERE regexp_matches(text, '{V.EMAIL}')")
+@query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'sac@firma' || c_custkey || '.com.br' END, CASE WHEN c_custkey % 3 = 0 THEN 'a' || c_custkey || '@gmail.com' END, 'b' || c_custkey || '@outra.com'], lambda x: x IS NOT NULL), ',') AS emails FROM customer""")
 def emails_extract(spark, d):
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({V.EMAIL})"), F.lit(1)), F.lower)))
-    return t(spark, d, "documents").filter(F.col("text").rlike(V.EMAIL)).select("doc_id", F.array_join(found, ",").alias("emails"))
+    k = F.col("c_custkey")
+    html = F.concat(
+        F.lit('<script>x@script.com</script><p>Fale: b'), k, F.lit("@outra.com, logo@2x.png, x@example.com </p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>A"), k, F.lit("@Gmail.com.</p>"))).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit('<a href="mailto:SAC@firma'), k, F.lit('.com.br?subject=x">m</a>'))).otherwise(""),
+    )
+    host = F.concat(F.lit("firma"), k, F.lit(".com.br"))
+    return t(spark, d, "customer").select("c_custkey", F.array_join(web.emails_of(html, host), ",").alias("emails"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '+5511987654321,+551133334444' WHEN 1 THEN '+551133334444' WHEN 2 THEN '+5521912345678' ELSE '' END AS phones FROM customer""")
+def page_phones(spark, d):
+    k = F.col("c_custkey")
+    html = F.when(k % 4 == 0, '<p>(11) 3333-4444</p><a href="https://wa.me/5511987654321">w</a>').when(k % 4 == 1, "(11) 3333-4444 (11) 3333 4444 (11) 99999-9999").when(k % 4 == 2, '<a href="tel:+55 (21) 91234-5678">t</a>').otherwise("tel 12345")
+    return t(spark, d, "customer").select("c_custkey", F.array_join(web.phones_of(html), ",").alias("phones"))
 
 
 @query(r"""SELECT o_orderkey, '+55' || ddd || l AS e164, l LIKE '9%' AS is_mobile FROM (SELECT o_orderkey, (10 + o_orderkey % 90)::VARCHAR AS ddd, CASE WHEN regexp_matches(tel, '^[6-9]') THEN '9' || tel ELSE tel END AS l FROM
@@ -540,18 +648,22 @@ def phones_extract(spark, d):
 
 
 
-@query("""SELECT p_partkey, regexp_matches(' ' || upper(p_name) || ' LOJA ', ' ' || upper(p_name) || ' LOJA ') AS matched FROM part""")
+@query("""SELECT p_partkey, p_partkey % 4 = 0 AS matched, CASE p_partkey % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'description' WHEN 2 THEN 'url' END AS place FROM part""")
 def name_match_contiguous(spark, d):
-    p = t(spark, d, "part")
-    return p.select("p_partkey", names.is_name_match(F.concat(F.lit("A "), F.upper("p_name"), F.lit(" de Lója & cia")), F.concat("p_name", F.lit(" da LOJA"))).alias("matched"))
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    name = F.concat("p_name", F.lit(" da LOJA"))
+    whole, torn = F.concat(F.lit("A "), F.upper("p_name"), F.lit(" de Lója & cia")), F.concat(F.lit("Lója "), F.upper("p_name"))
+    title = F.when(k % 4 == 0, whole).otherwise(torn)
+    url = F.when(k % 4 == 2, F.concat(F.lit("https://x.com/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-loja/"))).otherwise("https://x.com/")
+    return p.select("p_partkey", names.is_name_match(title, name).alias("matched"), names.match_strength(url, title, F.when(k % 4 == 1, whole), name).alias("place"))
 
 
-@query("""SELECT p_partkey, true AS same, false AS other FROM part""")
+@query("""SELECT p_partkey, p_partkey % 3 <> 2 AS same FROM part""")
 def verify_mirror_link(spark, d):
-    p = t(spark, d, "part")
-    site = F.concat(F.lit("https://www."), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".com.br/"))
-    legal = F.concat("p_name", F.lit(" COMERCIO LTDA ME"))
-    return p.select("p_partkey", names.verify_mirror_link(site, F.lit(None).cast("string"), legal, F.lit(None).cast("string")).alias("same"), names.verify_mirror_link(F.lit("https://zzzz.com"), F.lit("Outra Coisa"), legal, F.lit(None).cast("string")).alias("other"))
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    site = F.when(k % 3 == 0, F.concat(F.lit("https://www."), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".com.br/"))).otherwise("https://zzzz.com")
+    title = F.when(k % 3 == 1, F.concat(F.upper("p_name"), F.lit(" Comércio"))).otherwise("Outra Coisa")
+    return p.select("p_partkey", names.verify_mirror_link(site, title, F.concat("p_name", F.lit(" COMERCIO LTDA ME")), F.lit(None).cast("string")).alias("same"))
 
 
 _DIGIT = lambda n: " + ".join(f"substr(b, {i + 1}, 1)::INTEGER * {(n - 1 - i) % 8 + 2}" for i in range(n))
@@ -590,9 +702,14 @@ def score_join_missing(spark, d):
     return flows.join_answers(c, a).select("cnpj", "fit", "wrong_type", "error")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 3 AS shape FROM events WHERE event_id % 5 <> 0")
 def json_extract(spark, d):
-    return t(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Answers in the three shapes that models give, fenced or with words around."""
+    k = F.col("event_id")
+    body = F.when(k % 3 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(k % 3 == 1, F.concat(F.lit('{"results": ['), F.col("props"), F.lit("]}"))).otherwise(F.concat(F.lit('Sure: {"leads": ['), F.col("props"), F.lit("]} ok?")))
+    text = F.when(k % 5 == 0, "sorry").when(k % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    found = t(spark, d, "events").withColumn("a", pages.answer_rows(text, "k int")).select("event_id", F.explode("a").alias("r"))
+    return found.select("event_id", F.col("r.k").alias("k"), (k % 3).alias("shape"))
 
 
 @query("""SELECT c_custkey, CASE WHEN regexp_matches(n, '[,"\n]') THEN '"' || replace(n, '"', '""') || '"' ELSE n END || ',' || CASE WHEN c_custkey % 2 = 0 THEN 'sim' ELSE 'nao' END || ',' || coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, '') AS line
@@ -621,18 +738,12 @@ def address_title_case(spark, d):
     return t(spark, d, "part").select("p_partkey", "p_name", registry.title_case(F.concat(F.upper("p_name"), F.lit("  DE  BR"))).alias("titled"))
 
 
-@query(None)
+@query("SELECT user_id, count(*) AS handled FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_dedup_foreach_batch(spark, d):
-    """Pull the events through a stream in small batches, each user once; batches write by key."""
-    import tempfile
-    import uuid
-
-    from ..streaming.continuous import process_unseen, stream_parquet
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    work = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Pull the events through a stream in small batches, each user handled once; batches write by key."""
+    work = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     source = t(spark, d, "events").select("event_id", "user_id", "event_type")
     source.repartition(4, "event_id").write.parquet(f"{work}/in")
     stream = stream_parquet(spark, f"{work}/in", source.schema, 2)
-    process_unseen(stream, f"{work}/out", "user_id", lambda df: df, f"{work}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work}/out").select("user_id").distinct()
+    process_unseen(stream, f"{work}/out", "user_id", lambda df: df, f"{work}/checkpoint", ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{work}/out").groupBy("user_id").agg(F.count("*").alias("handled"))

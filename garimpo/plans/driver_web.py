@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import names, pages as P, registry, web
+from ..functions import candidate, names, pages as P, registry, web
 from ..operators import discovery, store
-from . import flows
+from . import enrichment, flows
 from .driver import EST, _hits, est, query, t
 
 K = "c_custkey"
@@ -57,12 +57,15 @@ def search_pages(spark, d):
     return found.withColumn("position", F.col("position").cast("long"))
 
 
-@query("""SELECT p_partkey, p_name || ' Souza' AS leading, 'Podóloga - Clínica ' || p_type AS headline, true AS substance FROM part""")
+@query("""SELECT p_partkey, p_name || ' Souza' AS leading, CASE p_partkey % 3 WHEN 0 THEN 'Podóloga - Clínica ' || p_type WHEN 1 THEN 'Estudante' ELSE 'São Paulo, Brasil' END AS headline, p_partkey % 3 = 0 AS substance,
+p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS evidence, p_partkey % 5 <> 0 AS leads FROM part""")
 def profile_titles(spark, d):
-    p = t(spark, d, "part")
-    title = F.concat("p_name", F.lit(" Souza - Podóloga | Clínica "), "p_type", F.lit(" | LinkedIn"))
-    made = p.withColumn("x", names.parse_profile_title(title))
-    return made.select("p_partkey", "x.leading", "x.headline", names.headline_has_substance("x.headline").alias("substance"))
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    rest = F.when(k % 3 == 0, F.concat(F.lit("Podóloga | Clínica "), F.col("p_type"))).when(k % 3 == 1, "Estudante").otherwise("São Paulo, Brasil")
+    title = F.concat("p_name", F.lit(" Souza - "), rest, F.lit(" | LinkedIn"))
+    name = F.concat(F.when(k % 5 == 0, "Outra ").otherwise(""), F.col("p_name"), F.lit(" SOUZA"))
+    made = p.withColumn("x", names.parse_profile_title(title)).withColumn("amb", k % 2 == 1)
+    return made.select("p_partkey", "x.leading", "x.headline", names.headline_has_substance("x.headline").alias("substance"), names.profile_is_evidence("x.headline", "amb", name).alias("evidence"), names.title_leads_with_name(title, name).alias("leads"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'checkpoint' WHEN 1 THEN 'gone' WHEN 2 THEN 'auth' WHEN 3 THEN 'auth' END AS wall, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS least FROM customer""")
@@ -150,3 +153,120 @@ def redirects_and_answers(spark, d):
     wrapped = F.concat(F.lit("//duckduckgo.com/l/?uddg=https%3A%2F%2Fsite"), k, F.lit(".com%2Fa&rut=2"))
     answer = F.when(k % 4 == 0, F.concat(F.lit('```json\n{"n": '), k, F.lit("}\n```"))).when(k % 4 == 2, F.concat(F.lit('Here you are: {"n": '), k, F.lit("} ok?"))).otherwise("sorry")
     return customers(spark, d).select(K, web.unwrap_redirect(wrapped).alias("url"), F.to_json(P.salvage_json(answer, "n long")).alias("answer"))
+
+
+@query("""SELECT p_partkey AS cnpj, p_partkey % 8 AS shape, CASE p_partkey % 8 WHEN 0 THEN 'site' WHEN 2 THEN 'linkedin' WHEN 4 THEN 'linkedin_company' ELSE 'social' END AS kind, CASE WHEN p_partkey % 8 = 2 THEN 'Podóloga' END AS headline,
+CASE p_partkey % 8 WHEN 6 THEN 'url' ELSE 'title' END AS matched_on FROM part WHERE p_partkey % 8 IN (0, 2, 4, 6)""")
+def verify_hits(spark, d):
+    """Hits of each kind, half of them about somebody else, a mirror, or a kind that isn't kept."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    legal, dashed = F.concat(F.upper("p_name"), F.lit(" COMERCIO SILVA LTDA")), F.replace("p_name", F.lit(" "), F.lit("-"))
+    rows = [
+        ("https://www.x.com/", F.concat("p_name", F.lit(" Comércio da Silva Ltda"))), ("https://www.x.com/", F.lit("Outra Coisa")), ("https://br.linkedin.com/in/a", F.concat("p_name", F.lit(" Comercio Silva Ltda - Podóloga | LinkedIn"))),
+        ("https://br.linkedin.com/in/b", F.concat(F.lit("Outra "), F.col("p_name"), F.lit(" - Podóloga | LinkedIn"))), ("https://linkedin.com/company/c", F.concat("p_name", F.lit(" Comercio | LinkedIn"))), ("https://cnpj.biz/1", F.concat("p_name", F.lit(" Comercio Silva"))),
+    ]
+    url, title = F.concat(F.lit("https://instagram.com/"), dashed, F.lit("-comercio-silva-ltda")), F.lit("fotos")
+    for i, (u, x) in enumerate(rows):
+        url, title = F.when(k % 8 == i, u).otherwise(url), F.when(k % 8 == i, x).otherwise(title)
+    title = F.when(k % 8 == 7, F.concat("p_name", F.lit(" Comercio Silva Ltda"))).otherwise(title)
+    mirror = F.when(k % 8 == 7, "Situação Cadastral e capital social").otherwise("d")
+    hits = p.select(k.alias("search_id"), k.alias("cnpj"), url.alias("url"), title.alias("title"), mirror.alias("description"), (k % 8).alias("shape"))
+    companies = p.select(k.alias("cnpj"), legal.alias("razao_social"), F.lit(None).cast("string").alias("nome_fantasia"))
+    return enrichment.verify_hits(hits, companies).select("cnpj", "shape", "kind", "headline", "matched_on")
+
+
+@query("""SELECT 's' || c_custkey AS site, CASE WHEN c_custkey % 3 = 0 THEN 'sac@firma' || c_custkey || '.com.br,' ELSE '' END || 'x' || c_custkey || '@gmail.com' AS emails, CASE WHEN c_custkey % 2 = 0 THEN '+551133334444' END AS site_phone,
+CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS pages_fetched, c_custkey % 3 = 0 AS found FROM customer""")
+def site_of_pages(spark, d):
+    """A home page and, for some, a contact page and a services page: contacts merged and ranked, probes over all text."""
+    k = F.col(K)
+    rows = customers(spark, d).select(F.concat(F.lit("s"), k).alias("site"), k.alias("k"), F.concat(F.lit("https://firma"), k, F.lit(".com.br/")).alias("url"))
+    page = lambda at, when, html: rows.filter(when).select("site", F.lit(at).alias("position"), "url", F.col("url").alias("final_url"), F.lit(200).alias("http_status"), html.alias("html"), F.lit(None).cast("string").alias("error"))
+    k = F.col("k")
+    home = page(0, F.lit(True), F.concat(F.lit("<p>x"), k, F.lit("@gmail.com</p>")))
+    contact = page(1, k % 3 == 0, F.concat(F.lit("<p>Podologia sac@firma"), k, F.lit(".com.br</p>")))
+    services = page(2, k % 2 == 0, F.lit("<p>(11) 3333-4444</p>"))
+    found = enrichment.site_signals(home.union(contact).union(services), {"p": ["podologia"]})
+    return found.select("site", F.array_join("emails", ",").alias("emails"), "site_phone", "pages_fetched", F.col("probes")["p"].alias("found"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS cnpj, CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 3 = 0 THEN 'places' ELSE 'email' END AS url_source, CASE WHEN c_custkey % 3 = 0 THEN '+5511987654321' END AS phone, c_custkey % 3 <> 2 AND c_custkey % 4 <> 0 AS judged, CASE WHEN c_custkey % 3 = 2 OR c_custkey % 4 = 0 THEN 'cannot_determine' END AS confidence FROM customer""")
+def pipeline_flow(spark, d):
+    """Companies with a site from places, one guessed from the mail, or none; some sites are dead."""
+    k = F.col(K)
+    c = customers(spark, d).select(F.lit(1).alias("project_id"), k.cast("string").alias("cnpj"), k.alias("k"), F.when(k % 3 == 1, F.concat(F.lit("x@firma"), k, F.lit(".com.br"))).otherwise("x@gmail.com").alias("email"))
+    k = F.col("k")
+    places = c.filter(k % 3 == 0).select("cnpj", F.concat(F.lit("https://p"), k, F.lit(".com")).alias("website_url"))
+    site = F.when(k % 3 == 0, F.concat(F.lit("https://p"), k, F.lit(".com"))).otherwise(F.concat(F.lit("https://firma"), k, F.lit(".com.br")))
+    html = F.concat(F.lit("<p>Padaria "), k, F.when(k % 3 == 0, "</p><a href='https://wa.me/5511987654321'>").otherwise("</p>"))
+    dead = k % 4 == 0
+    pages = c.filter(k % 3 != 2).select(site.alias("site"), F.lit(0).alias("position"), site.alias("url"), site.alias("final_url"), F.when(dead & (k % 3 != 0), 404).otherwise(200).alias("http_status"), F.when(~dead, html).when(k % 3 == 0, "<a href='https://wa.me/5511987654321'></a>").alias("html"), F.lit(None).cast("string").alias("error"))
+    crawls = spark.createDataFrame([], "cnpj string, website_url string, url_source string, final_url string, http_status int, error string, text_excerpt string, structured_text string, is_js_shell boolean, site_phone string, pages_fetched int")
+    contacts = spark.createDataFrame([], "cnpj string, phone_e164 string, is_mobile boolean, source string, wa_me string")
+    out = enrichment.run_pipeline(c, places, pages, crawls, contacts)
+    told = c.select("cnpj").join(out["crawls"].select("cnpj", "url_source"), "cnpj", "left").join(out["contacts"].select("cnpj", F.col("phone_e164").alias("phone")), "cnpj", "left")
+    told = told.join(out["to_score"].select("cnpj", F.lit(True).alias("judged")), "cnpj", "left").join(out["unjudged"].select("cnpj", "confidence"), "cnpj", "left")
+    return told.withColumn("judged", F.coalesce("judged", F.lit(False)))
+
+
+@query("""SELECT 'a' || c_custkey AS apex, CASE c_custkey % 5 WHEN 0 THEN 'in_reach' WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'in_reach' ELSE 'out_of_reach' END WHEN 2 THEN 'in_reach' ELSE 'unmatched' END AS verdict,
+CASE WHEN c_custkey % 5 = 1 AND c_custkey % 2 = 1 THEN 'cnae' END AS out_of_reach_by, CASE c_custkey % 5 WHEN 0 THEN 'address' WHEN 1 THEN 'email_domain' WHEN 2 THEN 'mirror' END AS match_via, CASE WHEN c_custkey % 5 <= 2 THEN c_custkey::VARCHAR END AS matched_cnpj FROM customer""")
+def sweep_leads(spark, d):
+    """Each candidate's company can be found by its address, its mail or a mirror's number, by a number whose name differs, or not at all."""
+    k = F.col(K)
+    c = customers(spark, d)
+    name = F.concat(F.lit("PADARIA "), F.translate(k.cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit("X"))
+    est = c.select(
+        k.cast("string").alias("cnpj"), name.alias("razao_social"), F.lit(None).cast("string").alias("nome_fantasia"), F.when((k % 2 == 0) | (k % 5 != 1), "1091101").otherwise("4711301").alias("cnae_principal"), F.lit("SP").alias("uf"),
+        F.concat(F.lit("x@"), F.when(k % 5 == 1, F.concat(F.lit("a"), k)).otherwise("gmail.com")).alias("email"), F.when(k % 5 == 0, F.concat(F.lit("DAS FLORES"), k)).otherwise("OUTRA").alias("logradouro"), F.lit("7").alias("numero"),
+    )
+    asked = c.select(
+        F.concat(F.lit("a"), k).alias("apex"), F.concat(F.lit("https://a"), k).alias("website_url"), F.when(k % 5 == 3, "Outra Firma").otherwise(name).alias("name"),
+        F.when(k % 5 == 0, F.concat(F.lit("R. das Flores"), k, F.lit(", 7 - Centro, São Paulo - SP, 01000-000"))).alias("address"),
+    )
+    hints = c.filter(k % 5 == 2).select(k.cast("string").alias("cnpj"))
+    return enrichment.sweep(asked, est, hints, ["1091"], [], ["SP"]).select("apex", "verdict", "out_of_reach_by", "match_via", "matched_cnpj")
+
+
+@query("""SELECT o_orderkey AS apex, o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 AS crawl, o_orderkey % 3 = 1 AND o_orderkey % 5 <> 1 AS score FROM orders WHERE (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) OR (o_orderkey % 3 = 1 AND o_orderkey % 5 <> 1)""")
+def lead_selections(spark, d):
+    """Leads to read (out of reach, without a contact) and to score (unmatched, unscored or failed)."""
+    k = F.col("o_orderkey")
+    verdict = F.when(k % 3 == 0, "in_reach").when(k % 3 == 1, "unmatched").otherwise("out_of_reach")
+    contact = F.when(k % 2 == 1, F.array(F.lit("a@b.c"))).otherwise(F.array().cast("array<string>"))
+    leads = t(spark, d, "orders").select(F.lit(1).alias("project_id"), k.alias("apex"), verdict.alias("verdict"), F.lit(None).cast("string").alias("discarded_at"), F.when(k % 4 != 0, F.lit("2001")).alias("crawled_at"), contact.alias("emails"), F.array().cast("array<string>").alias("phones"))
+    scores = t(spark, d, "orders").filter(k % 5 < 2).select(F.lit(1).alias("project_id"), k.alias("apex"), F.when(k % 5 == 0, "failed").alias("error"))
+    crawl = enrichment.leads_to_crawl(leads, only_without_contact=True).select("apex", F.lit(True).alias("crawl"))
+    score = enrichment.leads_to_score(leads, scores).select("apex", F.lit(True).alias("score"))
+    return crawl.join(score, "apex", "full").select("apex", F.coalesce("crawl", F.lit(False)).alias("crawl"), F.coalesce("score", F.lit(False)).alias("score"))
+
+
+@query("""SELECT p_partkey AS cnpj, CASE WHEN p_partkey % 4 = 0 THEN 'entity' ELSE 'profile' END AS mode, CASE WHEN p_partkey % 4 = 0 THEN 'https://www.linkedin.com/company/c' || p_partkey || '/about/' ELSE 'https://br.linkedin.com/in/p' || p_partkey END AS url, p_partkey % 8 < 4 AS substance
+FROM part WHERE p_partkey % 4 IN (0, 1) AND p_partkey % 5 <> 0""")
+def profile_plans(spark, d):
+    """Pages worth a visit, and whether what was read says more than the name."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://br.linkedin.com/company/c"), k)).otherwise(F.concat(F.lit("https://br.linkedin.com/in/p"), k))
+    title = F.when(k % 4 < 2, F.concat("p_name", F.lit(" Souza Lima - x | LinkedIn"))).otherwise("Outra Pessoa Qualquer | LinkedIn")
+    hits = p.select(k.alias("cnpj"), url.alias("url"), title.alias("title"), F.when(k % 4 == 0, "linkedin_company").otherwise("linkedin").alias("kind"))
+    companies = p.select(k.alias("cnpj"), F.concat("p_name", F.lit(" SOUZA LIMA")).alias("razao_social"), F.lit(None).cast("string").alias("nome_fantasia"))
+    plans = enrichment.plan_fetches(hits, companies, p.filter(k % 5 == 0).select(k.alias("cnpj")), 1_000_000)
+    kind = F.when(F.col("mode") == "entity", '{"@type": "Organization", "name": "n"').otherwise('{"@type": "Person", "name": "n"')
+    more = F.when(F.col("cnpj") % 8 < 4, ', "description": "Faz pão"}').otherwise("}")
+    fetched = plans.withColumn("http_status", F.lit(200)).withColumn("html", F.concat(F.lit('<script type="application/ld+json">'), kind, more, F.lit("</script>")))
+    return enrichment.page_outcomes(fetched).select("cnpj", "mode", "url", F.col("has_substance").alias("substance"))
+
+
+@query("""SELECT c_custkey, '- cnpj: ' || c_custkey || ' | nome: ' || c_name || ' | ' || CASE WHEN c_custkey % 2 = 0 THEN 'cnae: 1091101 (' || c_mktsegment || ')' ELSE 'cnae: não encontrado na Receita (não sabemos)' END || ' | local: ?/SP | ' ||
+CASE c_custkey % 3 WHEN 0 THEN 'idade desconhecida' WHEN 1 THEN 'aberta há menos de 1 ano' ELSE 'aberta há 3 anos' END || CASE WHEN c_custkey % 5 = 0 THEN ' | MEI' ELSE '' END || CASE c_custkey % 4 WHEN 0 THEN ' | site: NÃO VERIFICADO' WHEN 1 THEN ' | site: fora do ar' ELSE ' | site: https://s.com' END
+|| CASE c_custkey % 4 WHEN 2 THEN chr(10) || '  encontrado na página: Pão' || chr(10) || '  texto da página: pão quente' WHEN 3 THEN chr(10) || '  procurado e NÃO encontrado (li 10 caracteres): Pão' || chr(10) || '  texto da página: bolo e chá' ELSE '' END AS said FROM customer""")
+def candidate_lines(spark, d):
+    """A candidate as the lines a model reads: what was looked for and found, looked for and absent, or never read."""
+    k = F.col(K)
+    text = F.when(k % 4 == 2, "pão quente").when(k % 4 == 3, "bolo e chá")
+    c = customers(spark, d).select(
+        K, k.cast("string").alias("cnpj"), F.lit(None).cast("string").alias("nome_fantasia"), F.col("c_name").alias("razao_social"), F.when(k % 2 == 0, "1091101").alias("cnae"), F.col("c_mktsegment").alias("cnae_descricao"), F.lit(None).cast("string").alias("municipio"),
+        F.lit("SP").alias("uf"), F.when(k % 3 == 1, "2001-06-01").when(k % 3 == 2, "1998-01-01").cast("date").alias("data_inicio_atividade"), F.lit(None).cast("string").alias("porte"), (k % 5 == 0).alias("mei"), (k % 4 != 0).alias("crawled"), F.lit(False).alias("is_link_hub"),
+        (k % 4 == 1).alias("is_dead"), F.lit("https://s.com").alias("final_url"), text.alias("text_excerpt"), F.lit(None).cast("string").alias("structured_text"), web.run_probes({"p": ["pão"]}, text).alias("probes"),
+    )
+    return c.select(K, candidate.render({"p": "Pão"}, "2001-08-01").alias("said"))

@@ -62,6 +62,12 @@ def clean_establishments(lines: DataFrame) -> DataFrame:
     )
 
 
+def _one(df: DataFrame, key: str) -> DataFrame:
+    """One row a key, the least by its other columns, so that every run picks the same."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_one")).select(key, "_one.*")
+
+
 def denormalise(establishments: DataFrame, companies: DataFrame | None, tax: DataFrame | None) -> DataFrame:
     """Fold companies and tax regimes into each row: two left joins on the company's root number.
 
@@ -69,7 +75,7 @@ def denormalise(establishments: DataFrame, companies: DataFrame | None, tax: Dat
     """
     if companies is None or tax is None:
         raise MissingJoinInput("convert companies and tax regimes first")
-    companies, tax = companies.dropDuplicates(["cnpj_basico"]), tax.dropDuplicates(["cnpj_basico"])
+    companies, tax = (_one(df, "cnpj_basico") for df in (companies, tax))
     joined = establishments.join(companies, "cnpj_basico", "left").join(tax, "cnpj_basico", "left")
     joined = joined.withColumn("simples", F.coalesce("simples", F.lit(False))).withColumn("mei", F.coalesce("mei", F.lit(False)))
     return joined.withColumn("cnae_div", F.substring("cnae_principal", 1, 2)).select(*schemas.ESTABLISHMENTS.fieldNames())
@@ -95,13 +101,25 @@ def coverage(establishments: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def write_establishments(df: DataFrame, path: str, fresh: bool = False) -> None:
-    """Partitioned by division. Rows are rebalanced by division first: few files in small ones, several in large ones."""
-    mode = "overwrite" if fresh else "append"
-    df.hint("rebalance", "cnae_div").sortWithinPartitions("cnae_div", "cnae_principal").write.partitionBy("cnae_div").option("compression", "zstd").mode(mode).parquet(path)
+    """Partitioned by division. Rows are rebalanced by division first: few files in small ones, several in large ones.
+    ``fresh`` replaces the divisions that this run writes and leaves all others as they are."""
+    out = df.hint("rebalance", "cnae_div").sortWithinPartitions("cnae_div", "cnae_principal").write.partitionBy("cnae_div").option("compression", "zstd")
+    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if fresh else out.mode("append")).parquet(path)
+
+
+def write_single(df: DataFrame, path: str) -> None:
+    """A small table, a dictionary or one part's companies, as one file."""
+    df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def migrate(df: DataFrame, schema) -> DataFrame:
+    """``df`` under another schema: columns that are there are cast, new ones are null, others go."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def fill_missing(target: DataFrame, source: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Fill null columns of ``target`` from ``source``; values that are there stay."""
-    found = source.dropDuplicates([key]).select(key, *[F.col(n).alias(f"_{n}") for n in names])
+    found = _one(source.select(key, *names), key).select(key, *[F.col(n).alias(f"_{n}") for n in names])
     joined = target.join(found, key, "left")
     return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in names else F.col(c) for c in target.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import web
+from ..functions.pages import json_ld, structured_text
 from ..functions.registry import cnpjs_in, format_address, format_cep, website_from_email
 from ..operators import store
 
@@ -41,8 +42,9 @@ def normalise_fit(value: Column) -> Column:
 
 def join_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """Model answers to their candidates by the digits of the key; a candidate without one is an error row, not a bad score."""
-    keyed = answers.dropDuplicates(["key"]).withColumn("_k", F.regexp_replace("key", "[^0-9]", "")).drop("key")
-    joined = candidates.join(keyed.dropDuplicates(["_k"]), candidates["cnpj"] == keyed["_k"], "left")
+    rest = [F.col(c) for c in sorted(answers.columns) if not answers.schema[c].dataType.typeName() == "map"]
+    keyed = store.latest(answers.withColumn("_k", F.regexp_replace("key", "[^0-9]", "")), ["_k"], rest).drop("key")
+    joined = candidates.join(keyed, candidates["cnpj"] == keyed["_k"], "left")
     wrong = F.coalesce(F.col("wrong_business_type"), F.lit(False)) | F.coalesce(F.col("justification").contains("[RAMO: errado]"), F.lit(False))
     return joined.withColumn("wrong_type", F.when(F.col("_k").isNotNull(), wrong)).withColumn("error", F.when(F.col("_k").isNull(), "missing answer")).drop("_k")
 
@@ -139,14 +141,24 @@ def resolve_url() -> tuple[Column, Column]:
     return F.coalesce(*[c for _, c in blank]), named
 
 
+def probed(text: str, declared: str, shell: str, probes: dict[str, list[str]] | None) -> Column:
+    """Probes over a page's text and what it declares; a shell that declares nothing wasn't read, so nothing is asked of it."""
+    hidden = F.coalesce(F.col(shell), F.lit(False)) & F.col(declared).isNull()
+    return web.run_probes(probes or {}, F.when(~hidden, F.concat_ws(" ", F.nullif(F.col(text), F.lit("")), F.col(declared))))
+
+
 def analyse_pages(pages: DataFrame, probes: dict[str, list[str]] | None = None) -> DataFrame:
-    """Signals of fetched pages (url, final_url, http_status, html, error). What wasn't read stays null; hubs aren't analysed."""
+    """Signals of fetched pages (url, final_url, http_status, html, error). What wasn't read stays null; hubs aren't analysed,
+    but their address may name the profile."""
     host = web.host_of(F.coalesce("final_url", "url"))
     out = pages.withColumn("is_link_hub", web.is_hub(host)).withColumn("is_free_builder", web.is_builder(host)).withColumn("is_dead", F.coalesce(F.col("http_status") >= 400, F.lit(False)) | F.col("error").isNotNull())
     read = F.when(F.col("html").isNotNull() & ~F.col("is_link_hub") & ~F.col("is_dead"), F.col("html"))
     out = out.withColumn("_html", read).withColumn("_final", F.coalesce("final_url", "url"))
-    out = out.withColumns(web.page_signals("_html", "_final"))
-    return out.withColumn("probes", web.run_probes(probes or {}, "text_excerpt")).drop("_html", "_final", "html")
+    out = out.withColumns(web.page_signals("_html", "_final")).withColumn("structured", json_ld("_html"))
+    out = out.withColumn("structured_text", structured_text("meta_description", "structured"))
+    profile = F.nullif(F.regexp_extract("_final", r"(?i)instagram\.com/([A-Za-z0-9_.]{2,30})", 1), F.lit(""))
+    out = out.withColumn("ig_handle", F.when(F.col("is_link_hub"), profile).otherwise(F.col("ig_handle")))
+    return out.withColumn("probes", probed("text_excerpt", "structured_text", "is_js_shell", probes)).drop("_html", "_final", "html")
 
 
 def is_readable(excerpt: Column, structured: Column | None = None, js_shell: Column | None = None) -> Column:
@@ -197,8 +209,10 @@ def gate_hits(hits: DataFrame) -> DataFrame:
         .when(web.is_non_business("url"), "non_business")
     )
     out = hits.withColumn("reason", reason).withColumn("apex", web.apex_of("url")).withColumn("cnpj_hints", cnpjs_in("title", "description"))
-    again = F.row_number().over(Window.partitionBy("apex", F.col("reason").isNull()).orderBy("position", "url")) > 1
-    return out.withColumn("reason", F.when(F.col("reason").isNull() & again, "duplicate").otherwise(F.col("reason")))
+    # only hits without a reason are ranked: the apexes of hubs and engines, which nearly all hits share, never meet in one task
+    kept = out.filter("reason is null").withColumn("_nth", F.row_number().over(Window.partitionBy("apex").orderBy("position", "url")))
+    kept = kept.withColumn("reason", F.when(F.col("_nth") > 1, "duplicate")).drop("_nth")
+    return out.filter("reason is not null").unionByName(kept.select(*out.columns))
 
 
 def gate_tally(gated: DataFrame) -> DataFrame:
@@ -220,5 +234,5 @@ def verdict(cnae: Column, uf: Column, matched: Column, prefixes: list[str], excl
 def profile_queue(hits: DataFrame, companies: DataFrame, pages: DataFrame, budget: int) -> DataFrame:
     """Company pages before profiles, then by number; companies that already have a page row are done; cut at the budget."""
     due = hits.filter(F.col("kind").isin("linkedin", "linkedin_company")).join(companies.select("cnpj").distinct(), "cnpj", "left_semi").join(pages.select("cnpj").distinct(), "cnpj", "left_anti")
-    due = due.dropDuplicates(["cnpj", "url"]).withColumn("mode", F.when(F.col("kind") == "linkedin_company", 0).otherwise(1))
+    due = store.latest(due, ["cnpj", "url"], [F.col("kind")]).withColumn("mode", F.when(F.col("kind") == "linkedin_company", 0).otherwise(1))
     return due.orderBy("mode", "cnpj", "url").limit(budget)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def stream_parquet(spark: SparkSession, folder: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -13,25 +15,45 @@ def stream_parquet(spark: SparkSession, folder: str, schema, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def process_unseen(stream: DataFrame, seen_path: str, key: str, handle: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Run ``handle`` over rows whose key was never handled; what it returns is appended to ``seen_path``.
+def shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
-    Each micro-batch is deduplicated and anti-joined with the keys written so far; a batch that is retried
-    replaces its own folder, so nothing is written twice. Ends when all that is there was read.
+
+def first_rows(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of each key the first row, by ``order`` among those that come together, and never another. The state holds the keys alone."""
+
+    def first(_, frames, state):
+        best = None
+        for rows in frames:
+            if not state.exists:
+                best = (rows if best is None else pd.concat([best, rows])).sort_values(order, kind="stable").head(1)
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "met boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
+    """(value): lines of the bulk files that appear in a folder, decoded from latin-1; empty lines are left out. A
+    :class:`StreamingQuery` tells its progress: ``lastProgress`` has the rows read by each batch."""
+    read = spark.readStream.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").option("maxFilesPerTrigger", files_per_batch)
+    return read.csv(folder).filter("value is not null")
+
+
+def process_unseen(stream: DataFrame, out_path: str, key: str, handle: Callable[[DataFrame], DataFrame], checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Run ``handle`` over the first row of each key; what it returns is written below ``out_path``.
+
+    A key counts as met even if ``handle`` drops its row, and no batch reads what earlier ones wrote. A retried batch replaces
+    its own folder, so nothing is written twice. Ends when all that is there was read.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.option("basePath", seen_path).parquet(seen_path).filter(f"batch < {number}").select(key)
-            fresh = fresh.join(done, key, "left_anti")
-        except Exception as e:  # the first batch has nothing to compare with
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        handle(fresh).write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        handle(batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return first_rows(stream, key, order).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def distinct_stream(stream: DataFrame, key: str) -> DataFrame:

@@ -131,3 +131,20 @@ def test_profiles(spark):
 def test_csv(spark):
     line = one(spark, lambda a, b, c: R.csv_line([(a, "string"), (b == "1", "boolean"), (c, "string")]), a='x, "y"', b="1", c=None)
     assert line == '"x, ""y""",sim,'
+
+
+def test_links_are_resolved(spark):
+    base = "https://www.a.com.br/pt/sobre.html?x#y"
+    links = {
+        "contato.html": "https://www.a.com.br/pt/contato.html", "../x": "https://www.a.com.br/x", "../../../x/./y/": "https://www.a.com.br/x/y/", "/": "https://www.a.com.br/", "?q": "https://www.a.com.br/pt/sobre.html",
+        "//B.com/A?b": "https://b.com/A", "HTTP://c.com": "http://c.com/", "mailto:a@b.c": None, "javascript:x()": None, "a/..": "https://www.a.com.br/pt/", ".": "https://www.a.com.br/pt/",
+    }
+    df = spark.createDataFrame([(h,) for h in links], "h string").select("h", W.resolve_href("h", F.lit(base)).alias("u"))
+    assert {r["h"]: r["u"] for r in df.collect()} == links
+
+
+def test_internal_links_are_judged_by_path(spark):
+    html = "".join(f'<a href="{h}">' for h in ["/", "/x?a=1", "/x?a=2", "contato", "https://empresa.com/a.pdf", "https://outra.com/contato", "/ajuda.pdf"])
+    one = lambda every: spark.range(1).select(W.internal_links(F.lit(html), F.lit("https://empresa.com/"), 5, every)).first()[0]
+    assert one(False) == ["https://empresa.com/contato", "https://empresa.com/ajuda.pdf"]
+    assert one(True) == ["https://empresa.com/contato", "https://empresa.com/x"]

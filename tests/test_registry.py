@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo.operators import discovery as D
-from garimpo.operators.filters import CompanyFilters, apply
+from garimpo.operators.filters import CompanyFilters, apply, predicate
 from garimpo.plans import etl
 from garimpo.sources import raw, schemas, synthetic
 
@@ -166,3 +166,40 @@ def test_fill_missing(spark):
     t = spark.createDataFrame([(1, None, "x"), (2, "here", "y")], "k int, street string, other string")
     s = spark.createDataFrame([(1, "new"), (2, "never")], "k int, street string")
     assert sorted(map(tuple, etl.fill_missing(t, s, "k", ["street"]).collect())) == [(1, "new", "x"), (2, "here", "y")]
+
+
+def test_quoted_lines_are_cut_as_tolerantly(spark):
+    import random
+
+    rng = random.Random(1)
+    lines = ["".join(rng.choice(['"', ";", "a", '";"', '""', "b", ""]) for _ in range(rng.randrange(14))) for _ in range(2000)] + ['"x";"y; z";""', '"a"";""b"', '"', '""', ""]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").select(raw.fields("value").alias("a"), raw._tolerant(F.col("value")).alias("b"))
+    assert df.filter("not (a <=> b)").count() == 0
+
+
+def test_a_line_is_parsed_once(spark):
+    plan = etl.clean_establishments(spark.createDataFrame([("x",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 3 and plan.count('";"') == 1
+
+
+def test_fresh_replaces_only_what_it_writes(spark, tmp_path):
+    path = str(tmp_path / "e")
+    made = synthetic.establishments(spark, 3000)
+    etl.write_establishments(made, path)
+    there = spark.read.parquet(path).groupBy("cnae_div").count().collect()
+    most = max(there, key=lambda r: r["count"])["cnae_div"]
+    etl.write_establishments(made.filter(F.col("cnae_div") == most).limit(5), path, fresh=True)
+    left = {str(r[0]): r[1] for r in spark.read.parquet(path).groupBy("cnae_div").count().collect()}
+    assert left.pop(str(most)) == 5 and left == {str(r[0]): r[1] for r in there if str(r[0]) != str(most)}
+
+
+def test_own_domain_is_what_follows_the_first_at(spark):
+    df = spark.createDataFrame([("a@firma.com.br@gmail.com",), ("a@gmail.com@firma.com.br",)], "email string")
+    assert [r[0] for r in df.filter(predicate(CompanyFilters(own_domain_email=True))).collect()] == ["a@firma.com.br@gmail.com"]
+
+
+def test_migrate_and_single_file(spark, tmp_path):
+    df = spark.createDataFrame([(1, "7")], "a int, b string")
+    assert etl.migrate(df, spark.createDataFrame([], "b long, c string").schema).collect() == [(7, None)]
+    etl.write_single(df.union(df).repartition(2), str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("*.parquet"))) == 1

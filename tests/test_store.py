@@ -1,6 +1,7 @@
 """Store operations, flows, streaming and the driver's contract."""
 
 import importlib
+import os
 import subprocess
 import sys
 
@@ -95,16 +96,49 @@ def test_queries_agree_with_sql(spark, small, duck):
         assert mine == theirs, name
 
 
-def test_entry_works_without_the_text_operators(tmp_path):
-    """The guard: with the folder gone the rest imports and lists its queries."""
+@pytest.mark.parametrize("missing", ["garimpo.llm", "corpus_pipeline", "sentencepiece"])
+def test_entry_works_without_the_text_operators(missing):
+    """The guard: with the folder gone, or with something it needs, the rest imports and lists its queries."""
     code = f"""
-import importlib.util, sys
-find = importlib.util.find_spec
-importlib.util.find_spec = lambda n, *a: None if n == "garimpo.llm" else find(n, *a)
+import sys
+class Gone:
+    def find_spec(self, name, *_):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
 sys.path.insert(0, {str(sys.path[0])!r})
 import __spark_entry__ as e
 assert e.queries() and not any(k.startswith("op") or k == "pipeline" for k in e.queries()) and "discover_list_topk" in e.oracle_sql()
-assert not any(m.startswith("garimpo.llm") for m in sys.modules)
 """
     root = importlib.util.find_spec("garimpo").submodule_search_locations[0].rsplit("/", 1)[0]
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_first_rows_of_a_stream(spark, tmp_path):
+    from garimpo.streaming import continuous
+
+    for i, rows in enumerate([[(2, "a"), (1, "a"), (9, None)], [(0, "a"), (5, "b")], [(4, "b"), (6, "c"), (7, None)]]):
+        spark.createDataFrame(rows, "n int, k string").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    for i in range(3):  # one part a batch, in order of their times
+        for f in (tmp_path / "in" / f"p{i}").glob("*.parquet"):
+            (tmp_path / "flat").mkdir(exist_ok=True)
+            f.rename(tmp_path / "flat" / f"{i}.parquet")
+            os.utime(tmp_path / "flat" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = continuous.stream_parquet(spark, str(tmp_path / "flat"), "n int, k string", 1)
+    drop = lambda df: df.filter("n <> 1")
+    continuous.process_unseen(stream, str(tmp_path / "out"), "k", drop, str(tmp_path / "check"), ["n"]).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("n", "k").collect())) == [(5, "b"), (6, "c"), (9, None)]
+
+
+def test_picks_are_the_same_on_every_run(spark):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, "c", 1)], "k int, v string, n int")
+    for parts in (1, 3):
+        some = rows.repartition(parts)
+        assert sorted(map(tuple, store.insert_new(rows.limit(0), some, ["k"]).collect())) == [(1, "b", 2), (2, "c", 1)]
+        assert sorted(map(tuple, store.update(spark.createDataFrame([(1, "z"), (3, "y")], "k int, v string"), some, ["k"], ["v"]).collect())) == [(1, "b"), (3, "y")]
+
+
+def test_delete_cascades(spark):
+    a, b = spark.createDataFrame([(1, 5), (2, 6)], "project_id int, x int"), spark.createDataFrame([(7,)], "y int")
+    left = store.delete_cascade({"a": a, "b": b}, spark.createDataFrame([(1,)], "project_id int"), ["project_id"])
+    assert left["a"].collect() == [(2, 6)] and left["b"].collect() == [(7,)]
