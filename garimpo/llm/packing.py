@@ -20,7 +20,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from .common import materialise, numbered
 
@@ -31,6 +31,8 @@ CAPACITY = 1_024
 LONGEST_RUN = 2_000
 #: From so many documents a sequence on, all documents that no gap holds open sequences at once.
 ALL_FROM = 4
+#: Documents shorter than this part of the capacity are one band.
+SHORT = 64
 
 
 # ---------------------------------------------------------------- tokens
@@ -194,32 +196,35 @@ def place(items: DataFrame, capacity: int) -> DataFrame:
 
     top = capacity // 2
     while top:
-        band = [n for n in counts if top // 2 < n <= top]
-        docs = items.filter((F.col("length") > top // 2) & (F.col("length") <= top)).select("row", "length")
-        top //= 2
-        while band:
-            least, most = min(band), max(band)
+        low = top // 2 if top > capacity // SHORT else 0  # what is very short is one band
+        band = [n for n in counts if low < n <= top]
+        docs = items.filter((F.col("length") > low) & (F.col("length") <= top)).select("row", "length")
+        least, most = min(band, default=0), max(band, default=0)
+        top = low
+        while least:
             rows = docs.select(F.col("length").alias("size"), F.lit(True).alias("is_doc"), F.col("row").alias("id"))
             rows = rows.union(gaps.filter(F.col("gap") >= least).select("gap", F.lit(False), "sequence"))
             order = [F.desc("size"), "is_doc", "id"]
             swept = materialise(_sweep(rows.repartitionByRange(*order).sortWithinPartitions(*order), most), "pack-swept")
-            left = {r["part"]: (r["docs"], r["slots"]) for r in swept.groupBy("part").agg(F.count_if(F.col("kind") == WAITING).alias("docs"), F.sum("slots").alias("slots")).collect()}
-            parts = max(left) + 1
-            waiting, slots = ([left.get(p, (0, 0))[k] for p in range(parts)] for k in (0, 1))
+            is_left = F.col("kind") == WAITING
+            left = swept.groupBy("part").agg(F.count_if(is_left).alias("docs"), F.sum("slots").alias("slots"), F.min(F.when(is_left, F.col("length"))).alias("least"), F.max(F.when(is_left, F.col("length"))).alias("most"))
+            left = {r["part"]: r for r in left.collect()}  # one row a partition
+            parts = range(max(left) + 1)
+            waiting, slots = ([left[p][k] if p in left else 0 for p in parts] for k in ("docs", "slots"))
             lines, found = across(waiting, slots)
+            open_ = [left[p] for p in parts if waiting[p] > found[p]]
+            # the last rank of a partition is its shortest document, so these are the shortest one left and a bound of the longest
+            least, most = min((r["least"] for r in open_), default=0), max((r["most"] for r in open_), default=0)
 
+            # read from the written sweep wherever they are used
             new = swept.filter(F.col("kind") == PLACED).select("row", "sequence", "length")
-            if lines:
-                new = new.union(_matched(swept, lines))
-            rest, any_left = _rest(swept, waiting, found), sum(waiting) > sum(found)
-            new = materialise(new, "pack-placed")
+            new = new.union(_matched(swept, lines)) if lines else new
             placed.append(new)
-            gaps = _updated(gaps, new, shortest)
-            if not any_left:
+            gaps, largest = _updated(gaps, new, shortest)
+            if not least:
                 break
-            docs = materialise(rest, "pack-rest")
-            band = [r[0] for r in docs.select("length").distinct().collect()]
-            if (gaps.agg(F.max("gap")).first()[0] or 0) >= min(band):
+            docs = _rest(swept, waiting, found)
+            if largest >= least:
                 continue
             # no gap holds any of them: the longest open sequences, those that go as many to one by rank
             per = F.expr(f"{capacity}L div length")
@@ -236,9 +241,10 @@ def place(items: DataFrame, capacity: int) -> DataFrame:
             new = docs.filter("sequence is not null").select("row", "sequence", "length")
             placed.append(new)
             fresh = new.groupBy("sequence").agg((capacity - F.sum("length")).alias("gap")).filter(F.col("gap") >= shortest)
-            gaps = materialise(gaps.union(fresh), "pack-gaps")
+            gaps = gaps.union(fresh)
             docs = docs.filter("sequence is null").select("row", "length")
-            band = [r[0] for r in docs.select("length").distinct().collect()]
+            r = docs.agg(F.coalesce(F.min("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+            least, most = r
 
     out = placed[0].select("row", "sequence")
     for x in placed[1:]:
@@ -273,10 +279,12 @@ def _rest(swept: DataFrame, waiting: list[int], found: list[int]) -> DataFrame:
     return docs.select("row", "length", (F.col("rank") + F.col("_shift")).alias("rank"))
 
 
-def _updated(gaps: DataFrame, new: DataFrame, shortest: int) -> DataFrame:
-    """``gaps`` less what was placed in them; gaps that hold nothing any more go."""
+def _updated(gaps: DataFrame, new: DataFrame, shortest: int) -> tuple[DataFrame, int]:
+    """``gaps`` less what was placed in them, without those that hold nothing any more, and the largest that is left."""
     both = gaps.union(new.select("sequence", -F.col("length")))
-    return materialise(both.groupBy("sequence").agg(F.sum("gap").alias("gap")).filter(F.col("gap") >= shortest), "pack-gaps")
+    seen = Observation()
+    left = both.groupBy("sequence").agg(F.sum("gap").alias("gap")).filter(F.col("gap") >= shortest)
+    return materialise(left.observe(seen, F.coalesce(F.max("gap"), F.lit(0)).alias("largest")), "pack-gaps"), seen.get["largest"]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
