@@ -101,7 +101,7 @@ def json_ld(html: Column | str) -> Column:
 def structured_text(meta: Column | str, facts: Column | str) -> Column:
     """Meta description, name and description, each once whatever its case, joined by a dash; 2000 characters at most."""
     f = col(facts)
-    parts = F.filter(F.transform(F.array(col(meta), f["name"], f["description"]), F.trim), lambda p: p.isNotNull() & (p != ""))
+    parts = F.filter(F.transform(F.array(col(meta), f["name"], f["description"]), lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != ""))
     once = F.filter(parts, lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1)
     return blank_to_null(F.left(F.array_join(once, " — "), F.lit(2000)))
 

@@ -84,7 +84,7 @@ def duck(small):
 
 
 def test_queries_agree_with_sql(spark, small, duck):
-    from garimpo.plans import catalogue, driver, driver_web  # noqa: F401
+    from garimpo.plans import catalogue, driver, driver_more, driver_web  # noqa: F401
 
     norm = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     for name, sql in catalogue.SQL.items():
