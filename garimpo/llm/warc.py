@@ -29,8 +29,9 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 512 << 20
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 100
-#: Records read by one task at most are these many bytes of packages.
 INDEX_LINES_AT_ONCE = 4_096
+#: Bytes of a package that are dealt to readers as one stretch, and those that one reader task gets.
+STRETCH_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -192,7 +193,8 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is null for responses.
 
     Only digests that occur more than once are joined back; short payloads carry a key of their own
-    each, so that they never meet in one task.
+    each, so that they never meet in one task. The digests are written first: the join is then a broadcast where they are
+    few, so that no payload moves, else a plain shuffle that Spark can split at the commonest payload.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     base = pages.select(
@@ -204,6 +206,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     )
     long = F.col("payload_bytes") >= LEAST_REVISIT
     first = base.filter(long).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("_d"), "first")
+    first = materialise(first, "warc-first")
     keyed = base.withColumn("_k", F.when(long, F.col("payload_digest")).otherwise(F.concat_ws("~", F.lit("short"), F.col("page_id").cast("string"))))
     return (
         keyed.join(first, keyed["_k"] == first["_d"], "left")
@@ -269,7 +272,16 @@ def read_index(packages: DataFrame) -> DataFrame:
                 if found:
                     yield _ranges(found)
 
-    return packages.select("path").mapInArrow(run, "path string, start long, length long")
+    # a number keeps Spark from merging these small rows into one task
+    return packages.select("path").repartition(max(1, packages.count()), "path").mapInArrow(run, "path string, start long, length long")
+
+
+def dealt(packages: DataFrame) -> DataFrame:
+    """The ranges of :func:`read_index`, dealt to readers by stretches of a package; a task has them in their order."""
+    size = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("bytes") / STRETCH_BYTES)), F.lit(0))).first()
+    tasks = max(1, -(-size[0] // TASK_BYTES), min(size[1], packages.sparkSession.sparkContext.defaultParallelism))
+    stretch = F.floor(F.col("start") / STRETCH_BYTES)
+    return read_index(packages).repartition(int(tasks), F.col("path"), stretch).sortWithinPartitions("path", "start")
 
 
 def _ranges(found: list) -> pa.RecordBatch:
@@ -317,8 +329,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
     Null payloads are empty ones. Of records with equal payloads of at least 100 bytes the one with the
     smallest page_id is a response and the others are revisits that refer to it; shorter payloads are
-    all responses. Rows that share the smallest page_id (repeated rows) and rows without a page_id are responses. An
-    empty table gives no rows. Other columns are not archived.
+    all responses. Rows that share the smallest page_id (repeated rows) and rows without a page_id are responses. A record
+    is held whole in memory once, as long as its page. An empty table gives no rows. Other columns, whatever their names, are not archived.
     """
     packages = write_packages(roles(pages, id_col, payload_col, url_col), new_path(pages.sparkSession, "warc"), package_bytes)
-    return read_records(read_index(packages.repartition("path")), with_payload)
+    return read_records(dealt(packages), with_payload)
