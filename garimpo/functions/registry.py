@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import values as V
-from .text import any_of, blank_to_null, col, collapse, digits, strip
+from .text import any_of, blank_to_null, col, collapse, digits, let, strip
 
 # ---------------------------------------------------------------- phones
 
@@ -115,20 +115,20 @@ def website_from_email(email: Column | str) -> Column:
 def title_case(raw: Column | str) -> Column:
     """Title case by word: highways before a number, Roman numerals and words that aren't plain letters stay;
     particles after the first word are lower case."""
-    words = F.filter(F.split(col(raw), SPLIT), lambda w: w != "")
-    before, core, after = (lambda w, n=n: F.regexp_extract(w, r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", n) for n in (1, 2, 3))
 
-    def cased(w: Column, i: Column) -> Column:
-        c = core(w)
+    def cased(words: Column, w: Column, i: Column, c: Column) -> Column:
         upper, lower = F.upper(c), F.lower(c)
         following = F.coalesce(F.get(words, i + 1), F.lit(""))
         stays = (upper.isin(V.HIGHWAY) & following.rlike("^[0-9]")) | upper.rlike(V.ROMAN) | ~lower.rlike("^[a-zà-ÿ]+$")
         word = F.when((i > 0) & lower.isin(V.PARTICLES), lower).otherwise(F.concat(F.upper(F.substring(lower, 1, 1)), F.substring(lower, F.lit(2), F.length(lower))))
-        return F.when(stays, w).otherwise(F.concat(before(w), word, after(w)))
+        around = lambda n: F.regexp_extract(w, AROUND, n)
+        return F.when(stays, w).otherwise(F.concat(around(1), word, around(3)))
 
-    return F.array_join(F.transform(words, cased), " ")
+    one = lambda words: lambda w, i: let(F.regexp_extract(w, AROUND, 2), lambda c: cased(words, w, i, c))
+    return let(F.filter(F.split(col(raw), SPLIT), lambda w: w != ""), lambda words: F.array_join(F.transform(words, one(words)), " "))
 
 
+AROUND = r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$"
 SPLIT = r"(?U)\s+"
 
 
@@ -145,21 +145,36 @@ def _clean(c: Column | str) -> Column:
     return blank_to_null(collapse(c))
 
 
+def _cleaned(**named: Column | str) -> Column:
+    """The fields without needless white space, null where blank, as one value to bind."""
+    return F.struct(*[_clean(c).alias(n) for n, c in named.items()])
+
+
 def format_street(kind, street, number, complement) -> Column:
     """Type (unless repeated) and street, number or s/n, complement; null without a street."""
-    kind, street, number, complement = map(_clean, (kind, street, number, complement))
-    repeated = F.upper(street).startswith(F.concat(F.upper(kind), F.lit(" ")))
-    line = title_case(F.when(kind.isNotNull() & ~repeated, F.concat_ws(" ", kind, street)).otherwise(street))
-    no = F.when(number.isNull(), F.lit("")).when(is_without_number(number), F.lit(", s/n")).otherwise(F.concat(F.lit(", "), F.upper(number)))
-    extra = F.when(complement.isNull(), F.lit("")).otherwise(F.concat(F.lit(" — "), title_case(complement)))
-    return F.when(street.isNotNull(), F.concat(line, no, extra))
+
+    def line(a: Column) -> Column:
+        repeated = F.upper(a["street"]).startswith(F.concat(F.upper(a["kind"]), F.lit(" ")))
+        whole = title_case(F.when(a["kind"].isNotNull() & ~repeated, F.concat_ws(" ", a["kind"], a["street"])).otherwise(a["street"]))
+        no = F.when(a["number"].isNull(), F.lit("")).when(is_without_number(a["number"]), F.lit(", s/n")).otherwise(F.concat(F.lit(", "), F.upper(a["number"])))
+        extra = F.when(a["complement"].isNull(), F.lit("")).otherwise(F.concat(F.lit(" — "), title_case(a["complement"])))
+        return F.when(a["street"].isNotNull(), F.concat(whole, no, extra))
+
+    return let(_cleaned(kind=kind, street=street, number=number, complement=complement), line)
+
+
+def _address(line: Column, district, city, state, cep) -> Column:
+    def whole(a: Column) -> Column:
+        head = F.concat_ws(" - ", line, F.when(a["district"].isNotNull(), title_case(a["district"])))
+        place = F.concat_ws(" - ", F.when(a["city"].isNotNull(), title_case(a["city"])), F.upper(a["state"]))
+        return blank_to_null(F.concat_ws(", ", blank_to_null(head), blank_to_null(place), format_cep(cep)))
+
+    return let(_cleaned(district=district, city=city, state=state), whole)
 
 
 def format_address(kind, street, number, complement, district, city, state, cep) -> Column:
     """``street - district, city - UF, cep`` without what is missing; null if nothing is there."""
-    head = F.concat_ws(" - ", format_street(kind, street, number, complement), F.when(_clean(district).isNotNull(), title_case(_clean(district))))
-    place = F.concat_ws(" - ", F.when(_clean(city).isNotNull(), title_case(_clean(city))), F.upper(_clean(state)))
-    return blank_to_null(F.concat_ws(", ", blank_to_null(head), blank_to_null(place), format_cep(cep)))
+    return _address(format_street(kind, street, number, complement), district, city, state, cep)
 
 
 def percent_encoded(c: Column) -> Column:
@@ -172,9 +187,9 @@ def percent_encoded(c: Column) -> Column:
 
 def derive_address(kind, street, number, complement, district, city, state, cep) -> Column:
     """struct(linha, completo, maps), or null if nothing is known."""
-    full = format_address(kind, street, number, complement, district, city, state, cep)
-    maps = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), percent_encoded(full))
-    return F.when(full.isNotNull(), F.struct(format_street(kind, street, number, complement).alias("linha"), full.alias("completo"), maps.alias("maps")))
+    start = F.lit("https://www.google.com/maps/search/?api=1&query=")
+    shown = lambda line, full: F.when(full.isNotNull(), F.struct(line.alias("linha"), full.alias("completo"), F.concat(start, percent_encoded(full)).alias("maps")))
+    return let(format_street(kind, street, number, complement), lambda line: let(_address(line, district, city, state, cep), lambda full: shown(line, full)))
 
 
 # ---------------------------------------------------------------- CSV fields
