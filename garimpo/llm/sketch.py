@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions
 
@@ -24,8 +25,10 @@ PARAGRAPH = re.compile(r"(?<=[.!?])\s+|\n")
 LONGEST_PARAGRAPH = 8
 CELLS = 15
 HASHES = 3
-#: Documents that are sketched side by side.
-AT_ONCE = 512
+#: Documents, and characters of them, that are sketched side by side; a longer document is sketched alone.
+AT_ONCE, CHARS_AT_ONCE = 512, 1_000_000
+#: Sampled ids a bucket from which the cuts between buckets are chosen.
+SAMPLED = 100
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,14 +156,16 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and a single document is its own next. Null text is empty; two empty texts are alike (1). Repeated rows
     follow each other. An empty table gives no rows; other columns are ignored.
 
-    Documents go, by quantiles of their ids, to buckets that are sorted and streamed; each bucket also
-    gets the first document of the following bucket, so texts are shuffled once and none is held longer than its turn.
+    Documents go, by quantiles of a sample of their ids, which may be of any type with an order, to buckets that are sorted and streamed;
+    each bucket also gets the first document of the following bucket, so texts are shuffled once. Whole texts are
+    sketched; a task holds texts of ``CHARS_AT_ONCE`` characters, with their neighbours, or one longer text. Rows of one id meet in one bucket.
     """
     spark = docs.sparkSession
     buckets = buckets or partitions(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = base.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    known = base.select("id").filter("id is not null")
+    sample = [r[0] for r in known.sample(min(1.0, SAMPLED * buckets / max(1, known.count())), 7).orderBy("id").collect()]  # about SAMPLED a bucket
+    cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
     # the bucket of an id: a coarse search over every k-th cut, then a fine one between two of them
     k = max(1, int(len(cuts) ** 0.5))
     coarse = cuts[::k]
@@ -182,6 +187,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     halo = halo.groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("bucket"), F.lit(True).alias("halo"), F.lit(None).cast(kind).alias("id"), "text")
     rows = base.select("bucket", F.lit(False).alias("halo"), "id", "text").unionByName(halo)
 
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
@@ -190,23 +196,25 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edited = [edit(x, y) for x, y in zip(texts, following, strict=True)]
         edited_keys = [digests(x) for x in edited]
         hashed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]
-        columns = [pa.array(ids, pa.int64() if kind == "bigint" else None), pa.array(list(map(len, texts)), pa.int64()), pa.array(hashed), pa.array(fingerprints(keys)), pa.array(fingerprints(edited_keys))]
+        columns = [pa.array(ids, id_type), pa.array(list(map(len, texts)), pa.int64()), pa.array(hashed), pa.array(fingerprints(keys)), pa.array(fingerprints(edited_keys))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(likenesses(keys, edited_keys)), pa.array(likenesses(keys, next_keys))], names=names)
 
     def run(batches):
         last = None  # (bucket, id, text, digests) that waits for the next row of its bucket
         out: list[tuple] = []
+        chars = 0
         for batch in batches:
             for b, is_halo, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys = digests(text)
                 if last is not None and last[0] == b:
                     out.append((*last[1:], text, keys))
+                    chars += len(last[2])
                 last = None if is_halo else (b, i, text, keys)
-                if len(out) >= AT_ONCE:
+                if len(out) >= AT_ONCE or chars >= CHARS_AT_ONCE:
                     yield finish(out)
-                    out = []
+                    out, chars = [], 0
         if out:
             yield finish(out)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.col("id").asc_nulls_first(), "text")
+    dealt = rows.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "halo", F.col("id").asc_nulls_first(), "text")
     return dealt.select("bucket", "halo", "id", "text").mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
