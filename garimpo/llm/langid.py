@@ -22,13 +22,12 @@ from .common import crc32_of_id
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Runs of letters, lower-cased, are the words; other characters, fractions and numerals such as Ⅷ among them, say nothing about a language.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+LETTERS, ASCII_LETTERS = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 SPACE = "▁"
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 #: Characters of texts scored at once, words of one length scored side by side, and the length from which a word is scored alone.
-CHARS_AT_ONCE, WORDS_AT_ONCE, LONG_WORD = 4_000_000, 8_192, 64
+CHARS_AT_ONCE, WORDS_AT_ONCE, LONG_WORD = 4_000_000, 4_096, 64
 UNKNOWN = "und"
 
 
@@ -38,7 +37,16 @@ def _model(path: str) -> sentencepiece.SentencePieceProcessor:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii():
+        return ASCII_LETTERS.findall(text)
+    words = LETTERS.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    # some hold numerals, which end a word
+    return [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def piece_counts(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
