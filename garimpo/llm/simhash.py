@@ -246,7 +246,8 @@ def near_duplicates(
     nodes = nodes.withColumn("node", F.col("fp")) if views == 1 else numbered(nodes, "node")
     star = materialise(components(links(nodes.select("node", *fps) if views > 1 else nodes.select("fp"), radius, groups, cell_chunk, grid_radius)), "simhash-stars")
     firsts = nodes.select(F.col("node").alias("_node"), "first")
-    least = star.join(firsts, star["node"] == firsts["_node"]).groupBy("root").agg(F.min("first").alias("component_id"))
+    # one row a component, written, so that the join with the nodes of a very large one can be split or needs no shuffle
+    least = materialise(star.join(firsts, star["node"] == firsts["_node"]).groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     moved = star.join(least, "root").select(F.col("node").alias("_moved"), "component_id")
     named = nodes.join(moved, nodes["node"] == moved["_moved"], "left").select(*[F.col(c).alias(f"_{c}") for c in fps], F.coalesce("component_id", "first").alias("component_id"))
     # written first, the last join is between plain shuffles, which Spark can split at a fingerprint of many copies
