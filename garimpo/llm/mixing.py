@@ -41,6 +41,7 @@ def targets(sizes: DataFrame, source: str, weights: list[float], max_epochs: int
     times its source stops there and the excess goes to the others by weight until none is above:
     filling by water, closed in one sort. A source is full if its level ``max_epochs * size / weight``
     is at most the level at which everything before it in that order is full and the rest share.
+    One row a source, some hundred bytes, is sorted in one task: meant for up to some ten million sources.
     """
     one = Window.partitionBy(F.lit(0))
     order = one.orderBy(F.col(source).isNull(), F.col(source))
@@ -85,7 +86,7 @@ def mix(
 
     Null text has size 0 and is taken 0 times a word. Null sources form one source, ordered last.
     An empty table gives no rows. Repeated rows are documents of their own. Other columns, whatever
-    their names, are not read. Rows of equal key (repeated ids) are ordered by size. Columns named in ``carried``
+    their names, are not read. Rows of equal key (repeated ids) are ordered by size; those of one id in one source lie in one range. Texts of any length are counted whole. Columns named in ``carried``
     come along as they are and order what else is equal.
     """
     base = materialise(
