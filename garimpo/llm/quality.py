@@ -90,13 +90,14 @@ class Voters:
         return x / np.where(n == 0, 1, n)
 
     def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest voters; the mean label where nothing is similar."""
+        """Similarity-weighted share of label 1 among the nearest voters, all that are as similar as the last of them
+        included; the mean label where nothing is similar."""
         cosine = self._unit(self._weighted(x) @ self.basis) @ self.vectors.T
         k = min(neighbours, cosine.shape[1])
-        near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
+        edge = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        weight = np.square(np.square(np.where(cosine >= np.maximum(edge, 0)[:, None], cosine, 0)))
         total = weight.sum(axis=1)
-        share = (weight * self.labels[near]).sum(axis=1) / np.where(total == 0, 1, total)
+        share = weight @ self.labels / np.where(total == 0, 1, total)
         return np.where(total == 0, self.labels.mean(), share).clip(0, 1).astype(np.float64)
 
 
@@ -141,7 +142,7 @@ def classify(
     """(id_col, held_out, score, predicted) for every document.
 
     Learns only from labels of ids whose CRC-32 isn't ``held_out`` modulo ``folds``; a score comes from the whole
-    text alone. Null and empty texts are similar to nothing and get the mean label; without any usable label
+    text alone, whatever its length. All voters that tie for the last place vote, so no order decides. Null and empty texts are similar to nothing and get the mean label; without any usable label
     every score is 0.5. A null id is in neither fold (held_out false). Repeated rows are scored each, other
     columns are ignored, an empty table gives no rows.
     """
