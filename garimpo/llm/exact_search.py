@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-QUERY_BLOCK = 2_048
+#: Queries of a task: every candidate is shuffled once for each block of them, so few large blocks.
+QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 32_768
 #: Queries whose score arrays are held at once: 64 x 32768 x 8 bytes are 16 MB.
 QUERIES_AT_ONCE = 64
