@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, suffixes, warc
+from . import anchors, exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # lies at the top of the repository
 
@@ -60,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing, op11_anchors)}
 
 
 OP7 = """
@@ -119,6 +124,25 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), w AS (
+  SELECT n, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS total,
+         CASE WHEN generate_subscripts(words, 1) + 34 <= len(words)
+              THEN sha256(array_to_string(list_slice(words, generate_subscripts(words, 1), generate_subscripts(words, 1) + 34), ' ')) END AS passage
+  FROM d
+), r AS (
+  SELECT *, passage IS NOT NULL AND count(*) OVER (PARTITION BY passage) > 1 AS again FROM w
+), c AS (
+  SELECT *, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r
+), g AS (
+  SELECT n, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY n
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (n)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_search": OP7, "op9_warc": OP9, "op10_mixing": OP10}
+    return {"op7_exact_search": OP7, "op9_warc": OP9, "op10_mixing": OP10, "op11_anchors": OP11}
