@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, exact_search, langid, mixing, packing, quality, secrets, simhash, sketch, suffixes, warc
+from . import anchors, exact_search, kdmeans, langid, mixing, packing, phrases, quality, secrets, simhash, sketch, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op11_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # lies at the top of the repository
 
@@ -65,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing, op11_anchors)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_suffixes, op2_packing, op3_secrets, op4_langid, op5_quality, op6_sketch, op7_exact_search, op8_simhash, op9_warc, op10_mixing, op11_anchors, op12_kdtree, op13_phrases)}
 
 
 OP7 = """
@@ -144,5 +152,75 @@ FROM d LEFT JOIN g USING (n)
 """
 
 
+def _op12() -> str:
+    """Ten rounds, one after the other; sums and products of integers below 2 ** 53 are exact in doubles."""
+    own = "list_inner_product(v.w, v.w) - 2 * list_inner_product(v.w, c.w) + list_inner_product(c.w, c.w)"
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "h AS (SELECT w, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), w) - 1 AS cluster FROM v)",
+        "c0 AS MATERIALIZED (SELECT cluster, w FROM h WHERE cluster < 8)",
+    ]
+    for i in range(11):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT n, vec_id, w, cluster, distance FROM (SELECT v.n, v.vec_id, v.w, c.cluster, {own} AS distance,"
+            f" row_number() OVER (PARTITION BY v.n ORDER BY {own}, c.cluster) AS place FROM v CROSS JOIN c{i} c) WHERE place = 1)"
+        )
+        if i < 10:
+            steps.append(
+                f"m{i} AS (SELECT cluster, list(x ORDER BY dim) AS w FROM (SELECT cluster, dim, floor(sum(x) / count(*)) AS x"
+                f" FROM (SELECT cluster, unnest(w) AS x, generate_subscripts(w, 1) AS dim FROM a{i}) GROUP BY cluster, dim) GROUP BY cluster)"
+            )
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.w, c.w) AS w FROM c{i} c LEFT JOIN m{i} m USING (cluster))")
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.w, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c USING (cluster)
+"""
+    )
+
+
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), o AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(list_slice(words, i, i + size - 1), ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS size)
+), f AS MATERIALIZED (
+  SELECT lang, phrase, size, count(*) AS f FROM o GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 10
+), k AS (
+  SELECT *, unnest(range(1, size)) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * k.a * k.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(k.words, 1, k.k), ' ')
+         JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(k.words, k.k + 1, k.size), ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, array_to_string(list_slice(words, 1, 2), ' ') AS phrase, a FROM c WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(list_slice(words, 2, 3), ' '), a FROM c WHERE size = 3
+  ) GROUP BY ALL
+), r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 50 * b.a
+)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, r.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_search": OP7, "op9_warc": OP9, "op10_mixing": OP10, "op11_anchors": OP11}
+    return {"op7_exact_search": OP7, "op9_warc": OP9, "op10_mixing": OP10, "op11_anchors": OP11, "op12_kdtree": _op12(), "op13_phrases": OP13}

@@ -68,9 +68,17 @@ def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
     return values if size == n else np.minimum(values[: len(values) - n + size], values[n - size :])
 
 
+def pack_bytes(data: bytes) -> bytes:
+    return ZSTD.compress(data, asbytes=True)
+
+
+def unpack_bytes(data: bytes, n: int) -> bytes:
+    return ZSTD.decompress(data, n, asbytes=True)
+
+
 def pack(array: np.ndarray) -> bytes:
-    return ZSTD.compress(array.tobytes(), asbytes=True)
+    return pack_bytes(array.tobytes())
 
 
 def unpack(data: bytes, n: int, kind) -> np.ndarray:
-    return np.frombuffer(ZSTD.decompress(data, n * np.dtype(kind).itemsize), kind, n)
+    return np.frombuffer(unpack_bytes(data, n * np.dtype(kind).itemsize), kind, n)
