@@ -11,8 +11,8 @@ from . import flows
 
 #: Pages of one site that are read at most.
 SITE_PAGES = 40
-#: Characters by which names are brought together before they are compared; shorter names meet by the shorter key.
-NAME_KEY, SHORT_KEY = 8, 4
+#: Characters by which the lengths of the other side's names are looked up; names of two tokens have so many at least.
+NAME_HEAD = 4
 
 
 # ---------------------------------------------------------------- hits
@@ -141,21 +141,39 @@ def _variants(df: DataFrame, key: str, named: list[Column]) -> DataFrame:
     return listed.filter(F.size("tokens") > 0).withColumn("squeezed", F.array_join("tokens", ""))
 
 
-def pair_by_name(candidates: DataFrame, companies: DataFrame) -> DataFrame:
-    """(apex, cnpj): candidates (apex, website_url, name) and companies (cnpj, razao_social, nome_fantasia) whose names agree.
+def _beginning(shorter: DataFrame, longer: DataFrame) -> DataFrame:
+    """The rows of both sides where a text of ``shorter`` (_short, ...) is a prefix of one of ``longer`` (_long, ...).
+
+    Every longer text emits its prefixes, but only of lengths that a shorter text with the same first ``NAME_HEAD`` characters has, and meets the shorter ones by equality.
+    """
+    head = lambda c: F.left(c, F.lit(NAME_HEAD))
+    lengths = shorter.groupBy(head("_short").alias("_head")).agg(F.collect_set(F.length("_short")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_long"))
+    cut = longer.withColumn("_head", head("_long")).join(lengths, "_head").withColumn("_n", F.explode(fitting)).withColumn("_prefix", F.left("_long", F.col("_n")))
+    return shorter.join(cut.drop("_head", "_lengths", "_n"), F.col("_short") == F.col("_prefix")).drop("_prefix")
+
 
-    Two names agree only if one begins with the other, spaces aside, so both share their first characters: names of ``NAME_KEY``
-    characters or more meet by that many, shorter ones by ``SHORT_KEY``. No candidate meets all companies.
+def name_pairs(candidates: DataFrame, companies: DataFrame) -> DataFrame:
+    """(apex, cnpj) for every pair of names that agree, as often as their variants do.
+
+    Two names agree if one begins with the other, spaces aside: the shorter one equals a prefix of the longer one, so the sides meet by equality of
+    prefixes, and no pair is compared that doesn't agree. A candidate's name of one word agrees with the companies' first words that equal it.
     """
-    a = _variants(candidates, "apex", [F.col("name"), web.apex_label("website_url")]).select("apex", F.col("tokens").alias("a"), F.col("squeezed").alias("ax"))
-    b = _variants(companies, "cnpj", [F.col("razao_social"), F.col("nome_fantasia")]).filter(F.size("tokens") >= names.MIN_COMPANY_TOKENS).select("cnpj", F.col("tokens").alias("b"), F.col("squeezed").alias("bx"))
-    long = lambda c: F.length(c) >= NAME_KEY
-    cut = lambda df, c, n: df.withColumn("_key", F.left(c, F.lit(n)))
-    pairs = cut(a.filter(long("ax")), "ax", NAME_KEY).join(cut(b.filter(long("bx")), "bx", NAME_KEY), "_key")
-    short = cut(a.filter(~long("ax")), "ax", SHORT_KEY).join(cut(b, "bx", SHORT_KEY), "_key")
-    other = cut(a.filter(long("ax")), "ax", SHORT_KEY).join(cut(b.filter(~long("bx")), "bx", SHORT_KEY), "_key")
-    agree = names.names_agree(F.col("a"), F.col("b"))
-    return pairs.unionByName(short).unionByName(other).filter(agree).select("apex", "cnpj").distinct()
+    a = _variants(candidates, "apex", [F.col("name"), web.apex_label("website_url")])
+    b = _variants(companies, "cnpj", [F.col("razao_social"), F.col("nome_fantasia")]).filter(F.size("tokens") >= names.MIN_COMPANY_TOKENS)
+    word = F.get("tokens", 0)
+    single = a.filter((F.size("tokens") == 1) & (F.length(word) >= names.MIN_SINGLE_CHARS)).select("apex", word.alias("_word")).distinct()
+    first = b.select("cnpj", word.alias("_word")).distinct()
+    several, named = a.filter(F.size("tokens") > 1).select("apex", "squeezed").distinct(), b.select("cnpj", "squeezed").distinct()
+    forth = _beginning(several.withColumnRenamed("squeezed", "_short"), named.withColumnRenamed("squeezed", "_long"))
+    # the other way round without equal names, which met already
+    back = _beginning(named.withColumnRenamed("squeezed", "_short"), several.withColumnRenamed("squeezed", "_long")).filter("_short <> _long")
+    return single.join(first, "_word").select("apex", "cnpj").unionByName(forth.select("apex", "cnpj")).unionByName(back.select("apex", "cnpj"))
+
+
+def pair_by_name(candidates: DataFrame, companies: DataFrame) -> DataFrame:
+    """(apex, cnpj): candidates (apex, website_url, name) and companies (cnpj, razao_social, nome_fantasia) whose names agree."""
+    return name_pairs(candidates, companies).distinct()
 
 
 def sweep(candidates: DataFrame, est: DataFrame, hints: DataFrame, prefixes: list[str], excluded: list[str], ufs: list[str]) -> DataFrame:

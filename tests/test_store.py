@@ -84,7 +84,7 @@ def duck(small):
 
 
 def test_queries_agree_with_sql(spark, small, duck):
-    from garimpo.plans import catalogue, driver, driver_more, driver_web  # noqa: F401
+    from garimpo.plans import catalogue, driver, driver_jobs, driver_more, driver_web  # noqa: F401
 
     norm = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     for name, sql in catalogue.SQL.items():
@@ -142,3 +142,23 @@ def test_delete_cascades(spark):
     a, b = spark.createDataFrame([(1, 5), (2, 6)], "project_id int, x int"), spark.createDataFrame([(7,)], "y int")
     left = store.delete_cascade({"a": a, "b": b}, spark.createDataFrame([(1,)], "project_id int"), ["project_id"])
     assert left["a"].collect() == [(2, 6)] and left["b"].collect() == [(7,)]
+
+
+def test_names_that_begin_alike_meet_by_prefix(spark):
+    """2000 candidates and 2000 companies with one common first word: no more pairs meet than agree, and the same ones as by comparing all."""
+    from garimpo.functions import names
+    from garimpo.plans import enrichment
+
+    letters = str.maketrans("0123456789", "BCDFGHJKLM")
+    word = lambda i: str(i).zfill(4).translate(letters)
+    a = [(f"a{i}", f"Supermercado {word(i)}{' Filial' if i % 3 else ''}", f"https://{word(i).lower()}abc.com.br") for i in range(2000)]
+    b = [(f"c{i}", f"SUPERMERCADO {word(i)} LTDA", f"{word(i)}ABC {word(i + 1)}" if i % 5 == 0 else None) for i in range(2000)]
+    candidates = spark.createDataFrame(a, "apex string, name string, website_url string")
+    companies = spark.createDataFrame(b, "cnpj string, razao_social string, nome_fantasia string")
+    met, found = enrichment.name_pairs(candidates, companies).count(), {tuple(r) for r in enrichment.pair_by_name(candidates, companies).collect()}
+    assert len(found) <= met <= 2 * len(found)
+    assert found == {(f"a{i}", f"c{i}") for i in range(2000)}
+    few = candidates.limit(60).crossJoin(companies.orderBy("cnpj").limit(200))
+    told = few.filter(names.verify_mirror_link("website_url", "name", "razao_social", "nome_fantasia")).select("apex", "cnpj")
+    some = candidates.limit(60), companies.orderBy("cnpj").limit(200)
+    assert {tuple(r) for r in told.collect()} == {tuple(r) for r in enrichment.pair_by_name(*some).collect()}
