@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, partitions
-from .words import WORDS_KEPT, Vocabulary, gram_hashes, mixed, pack, sliding_least, unpack
+from .words import WORDS_KEPT, Vocabulary, gram_hashes, mixed, pack, pack_bytes, sliding_least, unpack, unpack_bytes
 
-LEAST_WORDS, BLOCK, GRAM = 35, 18, 6
+LEAST_WORDS, BLOCK, GRAM = 35, 18, 4
 #: Words that a worker cuts into fragments at once.
 WORDS_AT_ONCE = 3_000_000
 #: Buckets a shuffle partition.
@@ -85,7 +86,7 @@ def _hashes(text_col: str) -> list:
     return [F.xxhash64(text_col).alias("text_a"), F.xxhash64(F.lit("anchors"), text_col).alias("text_b")]
 
 
-_PAYLOAD = "bucket int, texts binary, spans binary, words binary, codes binary"
+_PAYLOAD = "bucket int, texts binary, spans binary, bytes int, words binary, codes binary"
 
 
 def _payloads(texts: DataFrame, least: int, gram: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -112,8 +113,10 @@ def _payloads(texts: DataFrame, least: int, gram: int, buckets: int, hot: np.nda
                 local[used] = np.arange(len(used))
                 doc = of[first[a:b]]
                 spans = np.stack([first[a:b] - offsets[doc], end[a:b] - first[a:b]]).astype(np.int32)
-                row = (int(bucket[a]), names[doc].tobytes(), pack(spans), hashes[used].tobytes(), pack(local[own].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "texts", "spans", "words", "codes"])
+                words = b"\n".join(map(vocabulary.words.__getitem__, used.tolist()))  # smaller, compressed, than their hashes
+                row = (int(bucket[a]), names[doc].tobytes(), pack(spans), len(words), pack_bytes(words), pack(local[own].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)))
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["bucket", "texts", "spans", "bytes", "words", "codes"])
 
     return texts.mapInArrow(run, _PAYLOAD)
 
@@ -182,10 +185,11 @@ def repeated_passages(words: np.ndarray, offsets: np.ndarray, windows: np.ndarra
 def _resolve(least: int, block: int):
     def run(table: pa.Table) -> pa.Table:
         texts, words, spans = [], [], []
-        for t, s, w, c in zip(*(table[k].to_pylist() for k in ("texts", "spans", "words", "codes")), strict=True):
+        for t, s, n, w, c in zip(*(table[k].to_pylist() for k in ("texts", "spans", "bytes", "words", "codes")), strict=True):
             names = np.frombuffer(t, np.int64).reshape(-1, 2)
             span = unpack(s, 2 * len(names), np.int32).reshape(2, -1).astype(np.int64)
-            hashes = np.frombuffer(w, np.uint64)
+            known = unpack_bytes(w, n).split(b"\n")
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
             texts.append(names)
             spans.append(span)
             words.append(hashes[unpack(c, int((span[1] + least - 1).sum()), np.uint16 if len(hashes) <= 1 << 16 else np.uint32)])
@@ -227,12 +231,20 @@ def _hot_runs(texts: DataFrame, least: int, gram: int, hot: np.ndarray) -> DataF
     return rows.join(again, rows["passage"] == again["_passage"]).select("text_a", "text_b", "start", (F.col("start") + least).alias("end"))
 
 
+def _squeezed(batches):
+    """Texts compressed, as a shuffle of plain ones writes the input once more."""
+    for batch in batches:
+        texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+        packed = [pa.array([None if x is None else f(x) for x in texts], t) for f, t in ((len, pa.int64()), (pack_bytes, pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *packed, batch.column(2), batch.column(3)], names=["id", "bytes", "packed", "text_a", "text_b"])
+
+
 def _cut(batches, of_copies: int):
     """Texts without their repeated words. A text of which there are copies repeats from end to end."""
     for batch in batches:
         kept, n_words, n_removed, removed = [], [], [], []
-        for text, copies, runs in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            tokens = text.as_py().encode("utf-8", "surrogatepass").split() if text.is_valid else []
+        for size, packed, copies, runs in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            tokens = [] if packed is None else unpack_bytes(packed, size).split()
             n = len(tokens)
             spans: list[list[int]] = []
             if (copies or 0) > 1 and n >= of_copies:
@@ -279,8 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = docs.select(*_hashes(text_col), F.lit(1).alias("n"), F.lit(None).cast("struct<start:int,end:int>").alias("span")).union(runs.select("text_a", "text_b", F.lit(0), span))
     known = known.groupBy(F.col("text_a").alias("_a"), F.col("text_b").alias("_b")).agg(F.sum("n").alias("copies"), F.collect_set("span").alias("runs"))
     known = materialise(known.filter("copies > 1 or size(runs) > 0"), "anchor-runs")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_hashes(text_col))
-    joined = rows.join(known, (rows["text_a"] == known["_a"]) & (rows["text_b"] == known["_b"]), "left").select("id", "text", "copies", "runs")
     kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_hashes(text_col)).mapInArrow(_squeezed, f"id {kind}, bytes long, packed binary, text_a long, text_b long")
+    joined = rows.join(known, (rows["text_a"] == known["_a"]) & (rows["text_b"] == known["_b"]), "left").select("id", "bytes", "packed", "copies", "runs")
     out = joined.mapInArrow(lambda b: _cut(b, least), f"id {kind}, text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>")
     return out.withColumnRenamed("id", id_col)
