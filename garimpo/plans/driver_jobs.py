@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
-from . import enrichment
-from .driver import query, t
+from pyspark.sql import DataFrame, functions as F
+
+from ..streaming import continuous, loop, progress
+from . import enrichment, etl
+from .driver import _CLEAN, query, raw_lines, t
 
 DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
@@ -28,3 +31,64 @@ def name_prefix_pairs(spark, d):
     alone = F.when(k % 7 == 0, F.concat(lettered(3 * k), F.lit("X COMERCIO LTDA")))
     companies = p.select(k.alias("cnpj"), F.concat(name, F.lit(" "), lettered(F.floor(k / 10)), F.lit(" LTDA")).alias("razao_social"), alone.alias("nome_fantasia"))
     return enrichment.pair_by_name(candidates, companies)
+
+
+# ---------------------------------------------------------------- streams
+
+
+def sliced(df: DataFrame, path: str, at: str, key: str, slices: int) -> None:
+    """Rows in the order of ``at`` as slices that come one after the other; all of a key's rows of a slice lie in one file."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // slices + 1
+    for i in range(slices):
+        part = df.filter(F.col(at).between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1))
+        part.repartition(2, key).write.mode("append").parquet(path)
+
+
+_LOOP = """WITH e AS (SELECT user_id AS project_id, event_id AS position, CASE WHEN event_type = 'view' THEN 'no_site' WHEN event_type <> 'error' THEN 'scored' WHEN event_id % 211 = 0 THEN 'daily' WHEN event_id % 7 = 0 THEN 'transient' ELSE 'error' END AS outcome FROM events),
+s AS (SELECT *, count(*) FILTER (WHERE outcome <> 'no_site') OVER w AS spent, count(*) FILTER (WHERE outcome = 'scored') OVER w AS scored, count(*) FILTER (WHERE outcome = 'no_site') OVER w AS no_site, row_number() OVER w AS done FROM e WINDOW w AS (PARTITION BY project_id ORDER BY position)),
+f AS (SELECT *, count(*) FILTER (WHERE outcome = 'error') OVER w AS failures, count(*) FILTER (WHERE outcome = 'transient') OVER w AS waits, spent - (outcome <> 'no_site')::INT AS before FROM s WINDOW w AS (PARTITION BY project_id, scored ORDER BY position)),
+r AS (SELECT *, CASE WHEN before >= 30 THEN 'budget' WHEN outcome = 'daily' THEN 'daily limit' WHEN outcome = 'transient' AND waits > 8 THEN 'waits' WHEN outcome = 'error' AND failures >= 3 THEN 'failures' END AS stopped FROM f),
+x AS (SELECT project_id, min(position) FILTER (WHERE stopped IS NOT NULL) AS stop FROM r GROUP BY project_id)
+"""
+
+
+@query(_LOOP + """SELECT r.project_id::VARCHAR AS project_id, CASE WHEN stopped = 'budget' THEN before ELSE spent END AS spent, scored - (coalesce(stopped, '') = 'budget' AND outcome = 'scored')::INT AS scored,
+no_site - (coalesce(stopped, '') = 'budget' AND outcome = 'no_site')::INT AS no_site, done - (stopped IS NOT NULL)::INT AS done, coalesce(stopped, 'no more rows') AS stopped
+FROM r JOIN x USING (project_id) WHERE position = coalesce(stop, (SELECT max(position) FROM e WHERE e.project_id = r.project_id))""")
+def continuous_stops(spark, d):
+    """Each user's events as matches of a project, pulled in five slices: what stopped the loop, and what it had spent and scored by then."""
+    work = f"{continuous.shared(spark)}/loop-{uuid.uuid4().hex}"
+    k, kind = F.col("event_id"), F.col("event_type")
+    error = F.when(kind == "error", F.when(k % 211 == 0, "daily quota reached").when(k % 7 == 0, "429 Too Many Requests").otherwise("invalid key"))
+    matches = t(spark, d, "events").select(F.col("user_id").alias("project_id"), k.alias("position"), k.cast("string").alias("cnpj"), (kind != "view").alias("evidence"), error.alias("error"))
+    sliced(matches, f"{work}/in", "position", "project_id", 5)
+    stream = continuous.stream_parquet(spark, f"{work}/in", matches.schema, 2)
+    loop.start(spark, loop.pull(stream, budget=30), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return loop.stops(spark.read.parquet(f"{work}/out"))
+
+
+@query("""SELECT count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason = 'refused') AS refused, count(*) FILTER (WHERE reason = 'no value') AS no_value, count(*) FILTER (WHERE reason IS NULL) AS written
+FROM (SELECT CASE WHEN event_type = 'error' THEN 'refused' WHEN value < 20 THEN 'no value' END AS reason FROM events)""")
+def job_progress(spark, d):
+    """A row a batch of what was read, kept and dropped by reason, counted as the batch is written; added up over all batches."""
+    work = f"{continuous.shared(spark)}/progress-{uuid.uuid4().hex}"
+    source = t(spark, d, "events").select("event_id", "event_type", "value")
+    source.repartition(6, "event_id").write.parquet(f"{work}/in")
+    stream = continuous.stream_parquet(spark, f"{work}/in", source.schema, 2)
+    reason = F.when(F.col("event_type") == "error", "refused").when(F.col("value") < 20, "no value")
+    progress.finish(*progress.run_counted(progress.counted(stream, reason, ["refused", "no value"]), f"{work}/out", f"{work}/progress", f"{work}/checkpoint"))
+    total = progress.read_progress(spark, f"{work}/progress").agg(F.sum("read").alias("read"), F.sum("kept").alias("kept"), F.sum(F.col("dropped")["refused"]).alias("refused"), F.sum(F.col("dropped")["no value"]).alias("no_value"), F.lit(1).alias("_one"))
+    return total.join(spark.read.parquet(f"{work}/out").agg(F.count("*").alias("written"), F.lit(1).alias("_one")), "_one").drop("_one")
+
+
+@query(_CLEAN + """SELECT (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS read, count(*) AS kept, CAST(0 AS BIGINT) AS with_phone, count(*) AS with_email, count(codes) AS with_secondary,
+CAST(coalesce(sum(len(string_split(codes, ','))), 0) AS BIGINT) AS codes, count(*) AS written FROM c""")
+def etl_convert_counted(spark, d):
+    """The conversion's numbers, counted by the pass that writes the registry, beside the rows that were written."""
+    path = f"{continuous.shared(spark)}/convert-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], "value string")
+    found = etl.convert(raw_lines(spark, d), etl.companies(none), etl.tax_regimes(none), path)
+    names = ["read", "kept", "with_phone", "with_email", "with_secondary", "codes"]
+    counted = spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names)).withColumn("_one", F.lit(1))
+    return counted.join(spark.read.parquet(path).agg(F.count("*").alias("written"), F.lit(1).alias("_one")), "_one").drop("_one")

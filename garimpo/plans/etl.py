@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.registry import full_cnpj, rf_date, rf_decimal
 from ..functions.text import blank_to_null, collapse, strip
@@ -41,9 +41,10 @@ def secondary_codes(c: Column | str) -> Column:
     return F.array_distinct(F.split(blank_to_null(F.col(c) if isinstance(c, str) else c), ","))
 
 
-def clean_establishments(lines: DataFrame) -> DataFrame:
-    """Active establishments with an activity and an e-mail, cleaned; one row a kept line."""
+def clean_establishments(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Active establishments with an activity and an e-mail, cleaned; one row a kept line. ``seen`` counts the lines as they pass."""
     raw = columns(lines, schemas.RAW_ESTABLISHMENT)
+    raw = raw if seen is None else raw.observe(seen, F.count(F.lit(1)).alias("read"))
     kept = raw.filter((F.col("situacao") == schemas.ACTIVE) & (strip("cnae_principal") != "") & (strip("email") != ""))
     text = lambda c: blank_to_null(collapse(c))
     return kept.select(
@@ -84,14 +85,29 @@ def denormalise(establishments: DataFrame, companies: DataFrame | None, tax: Dat
 def stats(lines: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: lines read and rows kept, with phone, with e-mail, with secondary codes."""
     read = lines.agg(F.lit(1).alias("_one"), F.count("*").alias("read"))
-    return kept.agg(
-        F.lit(1).alias("_one"),
-        F.count("*").alias("kept"),
+    return kept.agg(F.lit(1).alias("_one"), *_counts()).join(read, "_one").drop("_one")
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("kept"),
         F.count_if(F.col("ddd").isNotNull() & F.col("telefone").isNotNull()).alias("with_phone"),
         F.count("email").alias("with_email"),
         F.count("cnae_secundaria").alias("with_secondary"),
         F.coalesce(F.sum(F.size("cnae_secundaria")), F.lit(0)).alias("codes"),
-    ).join(read, "_one").drop("_one")
+    ]
+
+
+def convert(lines: DataFrame, companies: DataFrame, tax: DataFrame, path: str, fresh: bool = False) -> dict[str, int]:
+    """Clean, denormalise and write the establishments, and count in the same pass: the numbers of :func:`stats`, without a second look at the lines.
+
+    The counts are those of the tasks that read the lines. A task that is lost after it was counted and runs again counts its lines
+    once more; where that matters, hold ``kept`` against the rows that were written.
+    """
+    read, kept = Observation(), Observation()
+    rows = clean_establishments(lines, read).observe(kept, *_counts())
+    write_establishments(denormalise(rows, companies, tax), path, fresh)
+    return {k: int(v or 0) for k, v in (kept.get | read.get).items()}
 
 
 def coverage(establishments: DataFrame, least: float = 0.95) -> DataFrame:
