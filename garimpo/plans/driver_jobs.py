@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import keyed
 from ..streaming import continuous, loop, progress
-from . import enrichment, etl
-from .driver import _CLEAN, query, raw_lines, t
+from . import enrichment, etl, flows
+from .driver import _CLEAN, _STORE, query, raw_lines, store_tables, t
 
 DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
@@ -92,3 +93,43 @@ def etl_convert_counted(spark, d):
     names = ["read", "kept", "with_phone", "with_email", "with_secondary", "codes"]
     counted = spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names)).withColumn("_one", F.lit(1))
     return counted.join(spark.read.parquet(path).agg(F.count("*").alias("written"), F.lit(1).alias("_one")), "_one").drop("_one")
+
+
+# ---------------------------------------------------------------- stored tables
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 = 5 THEN 'new' ELSE o_orderpriority END AS status, CASE WHEN o_orderkey % 97 = 5 THEN -o_orderkey ELSE o_custkey END AS amount FROM orders
+UNION ALL SELECT -o_orderkey, 'new', o_orderkey FROM orders WHERE o_orderkey % 97 = 6""")
+def upsert_by_bucket(spark, d):
+    """A stored table after an upsert of one key in fifty, some of them new: only the buckets that these fall into are written anew."""
+    path, o, k = f"{continuous.shared(spark)}/keyed-{uuid.uuid4().hex}", t(spark, d, "orders"), F.col("o_orderkey")
+    keyed.write(o.select(k.alias("id"), F.col("o_orderpriority").alias("status"), F.col("o_custkey").alias("amount")), path, ["id"], 32)
+    changed = o.filter(k % 97 == 5).select(k.alias("id"), F.lit("new").alias("status"), (-k).alias("amount"))
+    added = o.filter(k % 97 == 6).select((-k).alias("id"), F.lit("new").alias("status"), k.alias("amount"))
+    earlier = changed.withColumn("status", F.lit("old"))
+    keyed.upsert(spark, path, changed.unionByName(added).unionByName(earlier), ["id"], [F.col("status")])
+    return keyed.read(spark, path)
+
+
+_LISTED = _STORE + """, c AS (SELECT companies.*, lpad(o_custkey::VARCHAR, 7, '0') AS cnae, o_orderstatus AS uf, o_orderdate AS founded FROM companies JOIN orders ON cnpj = o_orderkey::VARCHAR),
+contacts AS (SELECT l_orderkey::VARCHAR AS cnpj, list('+55' || l_partkey ORDER BY l_linenumber % 2 = 0, '+55' || l_partkey) AS contacts FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+j AS (SELECT c.*, final_url, website_url, best_fit, status, body, crawls.cnpj IS NOT NULL AS crawled, scores.cnpj IS NOT NULL AS scored FROM c LEFT JOIN crawls USING (cnpj) LEFT JOIN places USING (cnpj)
+ LEFT JOIN scores USING (cnpj, project_id) LEFT JOIN leads USING (cnpj, project_id) LEFT JOIN impressions USING (cnpj, project_id)),
+p AS (SELECT 'by score' AS list, * FROM (SELECT * FROM j WHERE coalesce(status, 'none') IN ('none', 'won') AND cnae LIKE '0000%' ORDER BY best_fit DESC NULLS LAST, cnpj LIMIT 150)
+UNION ALL SELECT 'by founding', * FROM (SELECT * FROM j WHERE uf = 'F' AND NOT scored ORDER BY founded DESC NULLS LAST, cnpj LIMIT 150)
+UNION ALL SELECT 'by name', * FROM (SELECT * FROM j WHERE contains(lower(coalesce(nome_fantasia, '') || '  ' || cnpj), '5-low') AND NOT crawled AND scored ORDER BY nome_fantasia ASC NULLS FIRST, cnpj LIMIT 150))
+"""
+
+
+@query(_LISTED + """SELECT list, cnpj, nome_fantasia, final_url, website_url, best_fit, status, body, array_to_string(coalesce(contacts, []), ' ') AS phones, CASE WHEN email LIKE '%@firma%' THEN 'https://' || split_part(email, '@', 2) END AS guessed_site FROM p LEFT JOIN contacts USING (cnpj)""")
+def company_pages(spark, d):
+    """Three lists over tables bucketed by number, by each order, with named filters; the joins need no shuffle."""
+    work, mark = f"{continuous.shared(spark)}/lists-{uuid.uuid4().hex}", uuid.uuid4().hex
+    tables, o, k = store_tables(spark, d), t(spark, d, "orders"), F.col("o_orderkey")
+    more = o.select(k.cast("string").alias("cnpj"), F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("cnae"), F.col("o_orderstatus").alias("uf"), F.lit(None).cast("string").alias("razao_social"), F.col("o_orderdate").alias("data_inicio_atividade"))
+    tables["companies"] = tables["companies"].join(more, "cnpj")
+    tables["contacts"] = t(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").cast("string").alias("cnpj"), F.concat(F.lit("+55"), "l_partkey").alias("phone_e164"), F.when(F.col("l_linenumber") % 2 == 1, "site").otherwise("registry").alias("source"))
+    laid = {n: keyed.save_bucketed(df, f"list_{n}_{mark}", "cnpj", 8, f"{work}/{n}") for n, df in tables.items()}
+    page = lambda name, f, order: flows.company_page(laid, 1, f, order, 150).select(F.lit(name).alias("list"), "cnpj", "nome_fantasia", "final_url", "website_url", "best_fit", "status", "body", F.array_join("contacts", " ").alias("phones"), "guessed_site")
+    lists = [page("by score", flows.ListFilters(flags=("none", "won"), cnae="0000"), "score"), page("by founding", flows.ListFilters(uf="f", processed=False), "founded"), page("by name", flows.ListFilters(q="5-LOW", crawled=False, scored=True), "name")]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])

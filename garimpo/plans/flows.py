@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import web
@@ -52,6 +54,77 @@ def join_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lists
 
 
+@dataclass(frozen=True)
+class ListFilters:
+    """What a company list keeps; unknown names are refused by the constructor.
+
+    ``flags`` are states of the lead, ``none`` for companies that were never flagged. Processed means scored: a score is the last
+    stage, and one without a site has been processed too.
+    """
+
+    q: str | None = None
+    cnae: str | None = None
+    uf: str | None = None
+    flags: tuple[str, ...] = ()
+    crawled: bool | None = None
+    scored: bool | None = None
+    processed: bool | None = None
+
+    def __post_init__(self):
+        if odd := set(self.flags) - {*LEAD_STATES, "none"}:
+            raise ValueError(f"no such lead state: {', '.join(sorted(odd))}")
+
+    def of_company(self) -> Column:
+        """The part that looks at the company alone."""
+        keep = F.lit(True)
+        if self.cnae:
+            keep &= F.coalesce(F.col("cnae").startswith(self.cnae), F.lit(False))
+        if self.uf:
+            keep &= F.coalesce(F.col("uf") == self.uf.upper(), F.lit(False))
+        if self.q:
+            keep &= F.lower(F.concat_ws(" ", F.coalesce("nome_fantasia", F.lit("")), F.coalesce("razao_social", F.lit("")), "cnpj")).contains(self.q.lower())
+        return keep
+
+    def of_joined(self) -> Column:
+        keep = F.coalesce("status", F.lit("none")).isin(*self.flags) if self.flags else F.lit(True)
+        for want, there in ((self.crawled, "_crawled"), (self.scored, "_scored"), (self.processed, "_scored")):
+            if want is not None:
+                keep &= F.col(there).isNotNull() if want else F.col(there).isNull()
+        return keep
+
+
+LIST_ORDERS = {
+    "score": lambda: F.col("best_fit").desc_nulls_last(),
+    "founded": lambda: F.col("data_inicio_atividade").desc_nulls_last(),
+    "name": lambda: F.col("nome_fantasia").asc_nulls_first(),
+}
+
+
+def _listed(tables: dict[str, DataFrame], project_id, f: ListFilters) -> DataFrame:
+    """A project's companies with what is known of each. All joins are by number alone, one project having been picked before, so tables
+    that are bucketed by it share their layout."""
+    own = lambda name: tables[name].filter(F.col("project_id") == project_id).drop("project_id")
+    out = own("companies").filter(f.of_company())
+    for side in (tables["crawls"].withColumn("_crawled", F.lit(True)), tables["places"], own("scores").withColumn("_scored", F.lit(True)), own("leads"), own("impressions")):
+        out = out.join(side, "cnpj", "left")
+    return out.filter(f.of_joined())
+
+
+def company_page(tables: dict[str, DataFrame], project_id, f: ListFilters = ListFilters(), order: str = "score", limit: int = 200) -> DataFrame:
+    """The first ``limit`` (at most 1000) companies of a project by score, founding or name, each with its crawl, place, score, lead and impression, its
+    ``contacts`` (those of the site first) and the site that its mail suggests. Filtered first, cut after; contacts meet only the page."""
+    by = [LIST_ORDERS[order](), F.col("cnpj")]
+    page = _listed(tables, project_id, f).orderBy(*by).limit(max(1, min(1000, limit))).drop("_crawled", "_scored")
+    phones = page.select("cnpj").join(tables["contacts"], "cnpj").groupBy("cnpj").agg(F.array_sort(F.collect_list(F.struct((F.col("source") != "site").alias("other"), "phone_e164", "source"))).alias("contacts"))
+    rows = page.join(phones, "cnpj", "left").withColumn("contacts", F.transform(F.coalesce("contacts", F.array().cast(phones.schema["contacts"].dataType)), lambda c: c["phone_e164"]))
+    return rows.withColumn("guessed_site", website_from_email("email")).orderBy(*by)
+
+
+def company_total(tables: dict[str, DataFrame], project_id, f: ListFilters = ListFilters()) -> DataFrame:
+    """One row: how many companies the filters leave."""
+    return _listed(tables, project_id, f).agg(F.count("*").alias("total"))
+
+
 def company_list(companies: DataFrame, places: DataFrame, crawls: DataFrame, scores: DataFrame, leads: DataFrame, impressions: DataFrame, keep: Column | None = None, limit: int = 1000) -> DataFrame:
     """Companies with whatever is known of each: five left joins by key; filtered first, cut after."""
     two = ["project_id", "cnpj"]

@@ -101,3 +101,67 @@ def test_stream_lines(spark, tmp_path, files):
     (tmp_path / "in" / "b").write_bytes(b"3;\x01\n")
     continuous.stream_lines(spark, str(tmp_path / "in"), files).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect())[:2] == ['1;São;"x"', "2;é"]
+
+
+def files_of(path):
+    return {f.relative_to(path): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
+    from garimpo.operators import keyed, store
+
+    path = tmp_path / "t"
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) as v")
+    keyed.write(rows, str(path), ["id"], 32)
+    before = files_of(path)
+    changed = spark.createDataFrame([(7, "new"), (7, "newest"), (6000, "added"), (4000, "new")], "id long, v string")
+    n = keyed.upsert(spark, str(path), changed, ["id"], [F.col("v").desc()])
+    after = files_of(path)
+    assert 1 <= n <= 3 and len({f.parent for f in before.keys() ^ after.keys()}) == n
+    assert all(before[f] == after[f] for f in before.keys() & after.keys()) and len(before.keys() & after.keys()) >= 29
+    want = store.upsert(rows, changed, ["id"], [F.col("v").desc()])
+    assert sorted(map(tuple, keyed.read(spark, str(path)).collect())) == sorted(map(tuple, want.collect()))
+    assert keyed.upsert(spark, str(path), changed.limit(0), ["id"], [F.col("v")]) == 0
+    keyed.insert_new(spark, str(path), spark.createDataFrame([(7, "late"), (9000, "first")], "id long, v string"), ["id"])
+    assert keyed.read(spark, str(path)).filter("id in (7, 9000)").orderBy("id").collect() == [(7, "newest"), (9000, "first")]
+
+
+def test_a_failed_upsert_leaves_the_old_rows(spark, tmp_path):
+    from garimpo.operators import keyed
+
+    path = tmp_path / "t"
+    keyed.write(spark.range(100).selectExpr("id", "id as n"), str(path), ["id"], 4)
+    before = files_of(path)
+    bad = spark.range(50).select("id", F.when(F.col("id") == 49, F.raise_error(F.lit("lost"))).otherwise(F.col("id") * 2).cast("long").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        keyed.upsert(spark, str(path), bad, ["id"], [F.col("n")])
+    assert files_of(path) == before and keyed.read(spark, str(path)).filter("id <> n").count() == 0
+    counts = tmp_path / "c"
+    keyed.write(spark.range(10).selectExpr("id", "1L as n"), str(counts), ["id"], 4)
+    keyed.add_counts(spark, str(counts), spark.createDataFrame([(3, 4), (3, 1), (99, 7)], "id long, n long"), ["id"], "n")
+    assert keyed.read(spark, str(counts)).filter("n > 1").orderBy("id").collect() == [(3, 6), (99, 7)]
+
+
+def test_lists_of_bucketed_tables_need_no_shuffle(spark, small, tmp_path):
+    import uuid
+
+    from garimpo.operators import keyed
+    from garimpo.plans import driver, flows
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = driver.store_tables(spark, small)
+        extra = ["cnae", "uf", "razao_social", "data_inicio_atividade"]
+        tables["companies"] = tables["companies"].select("*", *[F.lit(None).cast("string").alias(c) for c in extra])
+        tables["contacts"] = spark.createDataFrame([], "cnpj string, phone_e164 string, source string")
+        laid = {n: keyed.save_bucketed(df, f"t_{n}_{uuid.uuid4().hex}", "cnpj", 4, str(tmp_path / n)) for n, df in tables.items()}
+        plan = flows._listed(laid, 1, flows.ListFilters(flags=("none",), scored=True)).orderBy("cnpj").limit(10)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 5 and "Exchange" not in plan and "TakeOrderedAndProject" in plan
+        plain = flows._listed(tables, 1, flows.ListFilters(flags=("none",), scored=True))
+        assert flows.company_total(laid, 1, flows.ListFilters(flags=("none",), scored=True)).first()[0] == plain.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(TypeError):
+        flows.ListFilters(colour="red")
+    with pytest.raises(ValueError):
+        flows.ListFilters(flags=("lost", "burnt"))
