@@ -25,13 +25,35 @@ def clamp(n: int | None, least: int, most: int, default: int) -> int:
     return default if n is None else max(least, min(most, int(n)))
 
 
+def _ordered_by(order: str) -> tuple[Column, str]:
+    name, way = ORDERS[order]
+    return F.coalesce("nome_fantasia", "razao_social") if name == "_name" else F.col(name), way
+
+
 def ordering(order: str) -> list[Column]:
     """Nulls last always; the number breaks ties, so that pages are stable."""
-    name, way = ORDERS[order]
-    c = F.coalesce("nome_fantasia", "razao_social") if name == "_name" else F.col(name)
+    c, way = _ordered_by(order)
     return [c.desc_nulls_last() if way == "desc" else c.asc_nulls_last(), F.col("cnpj").asc()]
 
 
+def beyond(order: str, token: tuple) -> Column:
+    """Rows that come after ``token`` = (order value, number) of the last row seen. The comparisons reach the Parquet scan, so row groups that lie before it are skipped."""
+    c, way = _ordered_by(order)
+    value, number = token
+    later = F.col("cnpj") > F.lit(number)
+    if value is None:  # among the last rows, which have no value
+        return c.isNull() & later
+    v = F.lit(value)
+    return (c < v if way == "desc" else c > v) | ((c == v) & later) | c.isNull()
+
+
+def page_token(page: DataFrame, order: str) -> tuple | None:
+    """Where the next page begins: (order value, number) of the page's last row; none if the page is empty. A page is at most ``LIMIT_MOST`` rows."""
+    c, _ = _ordered_by(order)
+    last = page.select(c.alias("value"), "cnpj").tail(1)
+    return tuple(last[0]) if last else None
+
+
 def with_labels(companies: DataFrame, activities: DataFrame, cities: DataFrame) -> DataFrame:
     """Descriptions of the activity and the city. Both are left joins on code; Spark broadcasts a dictionary if its size allows."""
     a = activities.select(F.col("codigo").alias("cnae_principal"), F.col("descricao").alias("cnae_descricao"))
@@ -54,8 +76,10 @@ def present(companies: DataFrame) -> DataFrame:
     return companies.withColumn("phone", phone).withColumn("wa_me", F.when(F.col("phone.is_mobile"), wa_me_link("phone.e164"))).withColumn("endereco", address)
 
 
-def list_companies(companies: DataFrame, activities: DataFrame, cities: DataFrame, f: CompanyFilters = CompanyFilters(), order: str = "founded-desc", limit: int | None = None, offset: int = 0, exclude: DataFrame | None = None) -> DataFrame:
-    """A ranked page. Only the page's rows meet the dictionaries and the derived columns."""
+def list_companies(companies: DataFrame, activities: DataFrame, cities: DataFrame, f: CompanyFilters = CompanyFilters(), order: str = "founded-desc", limit: int | None = None, offset: int = 0, exclude: DataFrame | None = None, after: tuple | None = None) -> DataFrame:
+    """A ranked page. Only the page's rows meet the dictionaries and the derived columns. ``after`` is the :func:`page_token` of the page before: unlike an
+    offset, whose rows are all sorted and carried, it is a filter."""
+    companies = companies if after is None else companies.filter(beyond(order, after))
     page = apply(companies, f, exclude).orderBy(*ordering(order)).offset(max(0, offset)).limit(clamp(limit, 1, LIMIT_MOST, LIMIT_DEFAULT))
     return present(with_labels(with_match(page, f), activities, cities)).orderBy(*ordering(order))
 
@@ -175,3 +199,39 @@ def find_by_email_domain(companies: DataFrame, domains: DataFrame, limit: int =
 def by_numbers(companies: DataFrame, numbers: DataFrame) -> DataFrame:
     """The companies with the given numbers (cnpj)."""
     return companies.join(numbers.select("cnpj").distinct(), "cnpj", "left_semi")
+
+
+#: Values of one IN that Spark still passes to Parquet one by one, so that Bloom filters can tell; and keys of a point lookup at most.
+IN_PUSHED, KEYS_AT_ONCE = 10, 1000
+
+
+def by_numbers_pushed(companies: DataFrame, numbers: list[str]) -> DataFrame:
+    """The companies with the given numbers, at most ``KEYS_AT_ONCE``, looked up by filters that reach the scan: row groups whose statistics and Bloom filters
+    have none of them are never read. For longer lists :func:`by_numbers` joins."""
+    asked = sorted(set(numbers))
+    if len(asked) > KEYS_AT_ONCE:
+        raise ValueError(f"more than {KEYS_AT_ONCE} numbers: use by_numbers")
+    keep = F.lit(False)
+    for i in range(0, len(asked), IN_PUSHED):
+        keep |= F.col("cnpj").isin(asked[i : i + IN_PUSHED])
+    return companies.filter(keep)
+
+
+def address_index(companies: DataFrame) -> DataFrame:
+    """(cnpj, uf, numero, logradouro): what :func:`find_by_address` asks of the registry, the number as digits. Written sorted by (uf, numero), it answers few probes from few row groups."""
+    return companies.select("cnpj", "uf", digits("numero").alias("numero"), "logradouro").filter("numero <> '' and uf is not null and logradouro is not null")
+
+
+def find_by_address_pushed(index: DataFrame, probes: list[tuple]) -> DataFrame:
+    """:func:`find_by_address` of a few probes (ref, logradouro, numero, uf), at most ``KEYS_AT_ONCE``, on an :func:`address_index`: the probes' numbers and states reach the scan as filters."""
+    if len(probes) > KEYS_AT_ONCE:
+        raise ValueError(f"more than {KEYS_AT_ONCE} probes: use find_by_address")
+    asked = sorted({("".join(ch for ch in p[2] or "" if ch in "0123456789"), (p[3] or "").upper()) for p in probes})
+    by_state: dict[str, list[str]] = {}
+    for number, state in asked:
+        by_state.setdefault(state, []).append(number)
+    keep = F.lit(False)
+    for state, known in by_state.items():
+        for i in range(0, len(known), IN_PUSHED):
+            keep |= (F.col("uf") == state) & F.col("numero").isin(known[i : i + IN_PUSHED])
+    return find_by_address(index.filter(keep), index.sparkSession.createDataFrame(probes, "ref string, logradouro string, numero string, uf string"))

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import keyed
+from ..operators import discovery, keyed
+from ..operators.filters import CompanyFilters
 from ..streaming import continuous, loop, progress
 from . import enrichment, etl, flows
-from .driver import _CLEAN, _STORE, query, raw_lines, store_tables, t
+from .driver import _CLEAN, _STORE, EST, activities, cities, est, query, raw_lines, store_tables, t
 
 DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
@@ -133,3 +134,44 @@ def company_pages(spark, d):
     page = lambda name, f, order: flows.company_page(laid, 1, f, order, 150).select(F.lit(name).alias("list"), "cnpj", "nome_fantasia", "final_url", "website_url", "best_fit", "status", "body", F.array_join("contacts", " ").alias("phones"), "guessed_site")
     lists = [page("by score", flows.ListFilters(flags=("none", "won"), cnae="0000"), "score"), page("by founding", flows.ListFilters(uf="f", processed=False), "founded"), page("by name", flows.ListFilters(q="5-LOW", crawled=False, scored=True), "name")]
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
+# ---------------------------------------------------------------- seeks and lookups
+
+
+@query(EST + """, r AS (SELECT 'capital-desc' AS list, cnpj, row_number() OVER (ORDER BY capital_social DESC NULLS LAST, cnpj) AS n FROM est WHERE uf IN ('O', 'P')
+UNION ALL SELECT 'name', cnpj, row_number() OVER (ORDER BY coalesce(nome_fantasia, CASE WHEN o2.o_orderkey % 2 = 0 THEN razao_social END) NULLS LAST, cnpj) FROM est JOIN orders o2 ON cnpj = o2.o_orderkey::VARCHAR)
+SELECT list, cnpj, CAST((n - 1) // 200 AS INTEGER) AS page FROM r WHERE n <= 1000""")
+def pages_by_token(spark, d):
+    """Five pages of two hundred, each from where the one before ended: by capital, and by name with many ties."""
+    companies = est(spark, d)
+    named = companies.withColumn("razao_social", F.when(F.col("cnpj").cast("long") % 2 == 0, F.col("razao_social")))
+    work, out = f"{continuous.shared(spark)}/ordered-{uuid.uuid4().hex}", None
+    for order, df, f in (("capital-desc", companies, CompanyFilters(uf=["O", "P"])), ("name", named, CompanyFilters())):
+        etl.write_sorted(df, f"{work}/{order}", discovery.ordering(order))
+        rows, after = spark.read.parquet(f"{work}/{order}"), None
+        for n in range(5):
+            page = discovery.list_companies(rows, activities(spark, d), cities(spark, d), f, order, 200, after=after)
+            told = page.select(F.lit(order).alias("list"), "cnpj", F.lit(n).alias("page"))
+            out = told if out is None else out.unionByName(told)
+            after = discovery.page_token(page, order)
+            if after is None:
+                break
+    return out
+
+
+@query(EST + """, x AS (SELECT cnpj, row_number() OVER (ORDER BY cnpj) AS n FROM est), p AS (SELECT cnpj AS ref, logradouro, numero, uf FROM est WHERE cnpj IN (SELECT cnpj FROM x WHERE n <= 40)),
+h AS (SELECT ref, e.cnpj, row_number() OVER (PARTITION BY ref ORDER BY e.cnpj) AS k FROM p JOIN est e ON e.numero = p.numero AND e.uf = p.uf AND ends_with(e.logradouro, split_part(p.logradouro, ' ', 3)))
+SELECT ref, count(*) > 12 AS ambiguous, array_to_string(list(cnpj ORDER BY cnpj) FILTER (WHERE k <= 12), ' ') AS cnpjs, any_value(e.email) AS email FROM h JOIN (SELECT cnpj AS ref, email FROM est) e USING (ref) GROUP BY ref""")
+def point_lookups(spark, d):
+    """The first forty establishments by number, and who shares their address, by filters that reach the sorted files."""
+    work = f"{continuous.shared(spark)}/lookups-{uuid.uuid4().hex}"
+    registry = est(spark, d)
+    etl.write_establishments(registry, f"{work}/est")
+    etl.write_sorted(discovery.address_index(registry), f"{work}/addresses", ["uf", "numero", "cnpj"])
+    stored = spark.read.parquet(f"{work}/est")
+    known = [r[0] for r in stored.select("cnpj").orderBy("cnpj").limit(40).collect()]
+    found = discovery.by_numbers_pushed(stored, known)
+    probes = [tuple(r) for r in found.select("cnpj", "logradouro", "numero", "uf").collect()]
+    at = discovery.find_by_address_pushed(spark.read.parquet(f"{work}/addresses"), probes)
+    return at.join(found.select(F.col("cnpj").alias("ref"), "email"), "ref").select("ref", "ambiguous", F.array_join("cnpjs", " ").alias("cnpjs"), "email")

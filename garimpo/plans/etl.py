@@ -118,11 +118,18 @@ def coverage(establishments: DataFrame, least: float = 0.95) -> DataFrame:
 
 def write_establishments(df: DataFrame, path: str, fresh: bool = False) -> None:
     """Partitioned by division. Rows are rebalanced by division first: few files in small ones, several in large ones.
+    Row groups carry a Bloom filter of the numbers, for lookups by number over all divisions.
     ``fresh`` replaces the divisions that this run writes and leaves all others as they are."""
     out = df.hint("rebalance", "cnae_div").sortWithinPartitions("cnae_div", "cnae_principal").write.partitionBy("cnae_div").option("compression", "zstd")
+    out = out.option("parquet.bloom.filter.enabled#cnpj", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if fresh else out.mode("append")).parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, by: list[Column | str], row_group_bytes: int = 16 << 20) -> None:
+    """One global order over all files, in small row groups, so that statistics tell which few of them a seek or a lookup needs. Ranges are cut by a sample, and equal keys of very many rows go on by all columns of ``by``."""
+    (df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path))
+
+
 def write_single(df: DataFrame, path: str) -> None:
     """A small table, a dictionary or one part's companies, as one file."""
     df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)

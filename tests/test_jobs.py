@@ -165,3 +165,68 @@ def test_lists_of_bucketed_tables_need_no_shuffle(spark, small, tmp_path):
         flows.ListFilters(colour="red")
     with pytest.raises(ValueError):
         flows.ListFilters(flags=("lost", "burnt"))
+
+
+def rows_read(df) -> int:
+    """Rows that the Parquet scans of ``df`` gave: those of the row groups that were read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    from garimpo.operators import discovery
+
+    est = synthetic.establishments(spark, 60_000).cache()
+    n = est.count()
+    spark.conf.set("parquet.block.size", str(1 << 16))
+    try:
+        spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(1 << 16))
+        etl.write_establishments(est, str(tmp_path / "est"))
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        spark.conf.unset("parquet.block.size")
+    stored = spark.read.parquet(str(tmp_path / "est"))
+    some = [r[0] for r in est.select("cnpj").orderBy(F.xxhash64("cnpj")).limit(3).collect()]
+    found = discovery.by_numbers_pushed(stored, [*some, "no such number"])
+    assert sorted(r["cnpj"] for r in found.collect()) == sorted(r["cnpj"] for r in discovery.by_numbers(est, spark.createDataFrame([(x,) for x in some], "cnpj string")).collect())
+    assert rows_read(found.select("cnpj", "email")) * 10 <= n
+    etl.write_sorted(discovery.address_index(est), str(tmp_path / "at"), ["uf", "numero", "cnpj"], 1 << 16)
+    index = spark.read.parquet(str(tmp_path / "at"))
+    probes = [tuple(r) for r in est.filter("numero <> 'S/N' and uf <> ''").select("cnpj", "logradouro", "numero", "uf").orderBy("cnpj").limit(40).collect()] + [("none", "Rua X", None, None)]
+    asked = spark.createDataFrame(probes, "ref string, logradouro string, numero string, uf string")
+    assert sorted(map(str, discovery.find_by_address_pushed(index, probes).collect())) == sorted(map(str, discovery.find_by_address(est, asked).collect()))
+    assert rows_read(index.filter("uf = 'SP' and numero in ('7', '8')")) * 10 <= index.count()
+    with pytest.raises(ValueError):
+        discovery.by_numbers_pushed(stored, [str(i) for i in range(1001)])
+
+
+@pytest.mark.parametrize("order", ["founded-desc", "founded-asc", "name", "capital-desc"])
+def test_pages_by_token_are_pages_by_offset(spark, tmp_path, order):
+    from garimpo.operators import discovery
+    from garimpo.operators.filters import CompanyFilters
+
+    est = synthetic.establishments(spark, 600)
+    gone = F.xxhash64("cnpj") % 7 == 0
+    est = est.withColumns({"data_inicio_atividade": F.when(~gone, F.trunc("data_inicio_atividade", "year")), "capital_social": F.when(~gone, F.round(F.col("capital_social") % 5)), "nome_fantasia": F.when(~gone, F.left("nome_fantasia", F.lit(7))), "razao_social": F.lit(None).cast("string")})
+    etl.write_sorted(est, str(tmp_path / "o"), discovery.ordering(order))
+    rows = spark.read.parquet(str(tmp_path / "o")).cache()
+    activities = cities = spark.createDataFrame([], "codigo string, descricao string")
+    every = [r["cnpj"] for r in rows.orderBy(*discovery.ordering(order)).select("cnpj").collect()]
+    after, seen = None, []
+    for _ in range(20):
+        page = discovery.list_companies(rows, activities, cities, CompanyFilters(), order, 97, after=after)
+        seen += [r["cnpj"] for r in page.select("cnpj").collect()]
+        if (after := discovery.page_token(page, order)) is None:
+            break
+    assert seen == every and len(every) > 194 and len(set(every)) == len(every)
+
+
+def test_a_late_page_reads_no_more_than_the_first(spark, tmp_path):
+    from garimpo.operators import discovery
+
+    rows = spark.range(200_000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("cnpj"), (F.col("id") % 1000).cast("double").alias("capital_social"))
+    etl.write_sorted(rows, str(tmp_path / "o"), discovery.ordering("capital-desc"), 1 << 16)
+    stored = spark.read.parquet(str(tmp_path / "o"))
+    assert rows_read(stored.filter(discovery.beyond("capital-desc", (10.0, "000000000")))) * 10 <= rows_read(stored)
