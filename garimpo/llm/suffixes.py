@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise, partitions
+from .common import materialise, numbered, partitions
 
 LEAST_WORDS, GRAM, WINDOW = 50, 8, 20
 BASE = 0x9E3779B97F4A7C15
@@ -78,22 +78,23 @@ def minimisers(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, n
 
 
 def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int, hot: np.ndarray) -> DataFrame:
-    """(core, right, left, doc, pos, low, high, deal): one row a kept suffix; right and left hold 16 bits a word, left backwards.
-    The passages of ``least`` words that begin ``low`` to ``high`` words before it have it as their minimiser; each has one.
+    """(core, passages, doc, pos, low, high, deal): one row a kept suffix. The passages of ``least`` words that begin ``low`` to ``high`` words
+    before it have it as their minimiser; each has one. ``passages`` are the 64-bit hashes of all of their words, the one that begins ``low`` before it first.
     Rows go by ``deal``: the core, or, for one of ``hot``, a hash of the place."""
-    core, side = least - window + 1, window - 1
+    core = least - window + 1
 
     def rows(parts: list, docs_of: pa.Array) -> pa.RecordBatch:
-        n = sum(len(p[4]) for p in parts)
-        fixed = lambda k: pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * side), n, [None, pa.py_buffer(np.concatenate([p[k] for p in parts]))]).cast(pa.binary())
-        of = np.repeat([p[0] for p in parts], [len(p[4]) for p in parts])
+        held = np.concatenate([p[2] for p in parts])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([p[5] - p[4] + 1 for p in parts]))]).astype(np.int32)
+        passages = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(8 * ends), pa.py_buffer(held)])
+        of = np.repeat([p[0] for p in parts], [len(p[3]) for p in parts])
         cores, doc = np.concatenate([p[1] for p in parts]), docs_of.take(pa.array(of))
         deal, spread = cores.copy(), np.isin(cores, hot)
         if spread.any():
-            at = np.concatenate([p[4] for p in parts])[spread]
+            at = np.concatenate([p[3] for p in parts])[spread]
             deal[spread] = (doc.to_numpy()[spread] << 20) ^ at
         return pa.RecordBatch.from_arrays(
-            [pa.array(cores), fixed(2), fixed(3), doc, *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5, 6)), pa.array(deal)],
+            [pa.array(cores), passages, doc, *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (3, 4, 5)), pa.array(deal)],
             names=[*_ROW, "deal"],
         )
 
@@ -108,13 +109,10 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int
                 pos, first, last = minimisers(words, gram, window)
                 inside = first <= len(words) - least
                 pos, first, last = pos[inside], first[inside], np.minimum(last[inside], len(words) - least)
-                small = ((words >> np.uint64(20)) & np.uint64(0xFFFF)).astype(">u2")
-                # words beyond the text: a value that differs by position and document never matters, as lengths end it
-                padded = np.concatenate([np.zeros(side, ">u2"), small, np.zeros(side, ">u2")])
-                views = np.lib.stride_tricks.sliding_window_view(padded, side)
-                right = np.ascontiguousarray(views[pos + core + side])
-                left = np.ascontiguousarray(views[pos][:, ::-1])
-                parts.append((i, window_hashes(words, core)[pos].view(np.int64), right, left, pos, pos - last, pos - first))
+                low, high = pos - last, pos - first
+                # passage by passage, backwards from the one that begins ``low`` words before
+                at = np.repeat(last, high - low + 1) - (np.arange(int((high - low + 1).sum())) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1))
+                parts.append((i, window_hashes(words, core)[pos].view(np.int64), window_hashes(words, least)[at], pos, low, high))
                 held += len(pos)
                 if held >= ROWS_AT_ONCE:
                     yield rows(parts, batch.column(0))
@@ -122,7 +120,7 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int
             if parts:
                 yield rows(parts, batch.column(0))
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, right binary, left binary, doc long, pos int, low int, high int, deal long")
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "core long, passages binary, doc long, pos int, low int, high int, deal long")
 
 
 def _hot_cores(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, window: int, group_rows: int) -> np.ndarray:
@@ -138,28 +136,24 @@ def _hot_cores(docs: DataFrame, id_col: str, text_col: str, least: int, gram: in
     return np.sort(np.array([r[0] for r in held.filter(F.col("count") > bound).select("core").collect()], np.int64))
 
 
-_ROW = ["core", "right", "left", "doc", "pos", "low", "high"]
-_OUT = "open boolean, core long, right binary, left binary, doc long, pos int, low int, high int, start_word int, end_word int, keep_start int, keep_end int, first_doc long"
+_ROW = ["core", "passages", "doc", "pos", "low", "high"]
+_OUT = "open boolean, core long, passages binary, doc long, pos int, low int, high int, start_word int, end_word int, keep_start int, keep_end int, first_doc long"
 #: Rows of one core that a task holds at once; larger groups meet by their keys instead.
 GROUP_ROWS = 100_000
 
 
-def _keys(core: np.ndarray, right: np.ndarray, left: np.ndarray, i: int) -> np.ndarray:
-    """Hash of the passages of ``least`` words that begin ``i`` words before the core."""
-    side = right.shape[1]
-    odd = np.random.default_rng(11).integers(0, 1 << 63, 2 * side + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        h = core.view(np.uint64) * odd[-1] + np.uint64(i) * odd[-2]
-        h = h + left[:, :i].astype(np.uint64) @ odd[:i] + right[:, : side - i].astype(np.uint64) @ odd[side : 2 * side - i]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h ^ (h >> np.uint64(29))).view(np.int64)
+def _columns(table: pa.Table) -> dict:
+    """Columns as arrays, with ``passages`` end to end and where each row's begin in ``at``."""
+    t = {c: table[c].to_numpy() for c in table.column_names if c != "passages"}
+    t["passages"] = np.frombuffer(b"".join(table["passages"].to_pylist()), np.int64)
+    n = t["high"] - t["low"] + 1
+    t["at"] = np.cumsum(n) - n
+    return t
 
 
-def _columns(table: pa.Table, side: int) -> dict:
-    t = {c: table[c].to_numpy() for c in table.column_names if c not in ("right", "left")}
-    for c in ("right", "left"):
-        t[c] = np.frombuffer(b"".join(table[c].to_pylist()), ">u2").reshape(-1, side).astype(np.uint16)
-    return t
+def _keys(t: dict, rows: np.ndarray, i: int) -> np.ndarray:
+    """Hash of the passages that begin ``i`` words before the suffixes of ``rows``."""
+    return t["passages"][t["at"][rows] + i - t["low"][rows]]
 
 
 def _resolve(table: pa.Table, least: int, core: int):
@@ -171,7 +165,7 @@ def _resolve(table: pa.Table, least: int, core: int):
     n = len(table)
     if not n:
         return
-    t = _columns(table, side)
+    t = _columns(table)
     by_place = np.lexsort((t["pos"], t["doc"]))
     new = np.ones(n, bool)
     new[1:] = (np.diff(t["doc"][by_place]) != 0) | (np.diff(t["pos"][by_place]) != 0)
@@ -185,7 +179,7 @@ def _resolve(table: pa.Table, least: int, core: int):
         rows = np.flatnonzero((t["low"] <= i) & (i <= t["high"]))
         if not len(rows):
             continue
-        key = _keys(t["core"][rows], t["right"][rows], t["left"][rows], i)
+        key = _keys(t, rows, i)
         order = np.argsort(key)
         rows, key = rows[order], key[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -203,7 +197,7 @@ def _resolve(table: pa.Table, least: int, core: int):
     blank = pa.array([b""] * len(found), pa.binary())
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.zeros(len(found), bool)), pa.array(t["core"][found]), blank, blank, pa.array(t["doc"][found]), pa.array(pos), pa.array(t["low"][found]), pa.array(t["high"][found]),
+            pa.array(np.zeros(len(found), bool)), pa.array(t["core"][found]), blank, pa.array(t["doc"][found]), pa.array(pos), pa.array(t["low"][found]), pa.array(t["high"][found]),
             pa.array(pos - most[0, found]), pa.array(pos - fewest[0, found] + least), pa.array(pos - most[1, found], mask=kept), pa.array(pos - fewest[1, found] + least, mask=kept),
             pa.array(docs[first_place[found]]),
         ],
@@ -258,19 +252,19 @@ def _match(rows: DataFrame, least: int, window: int, group_rows: int, hot: np.nd
 def _across(found: DataFrame, least: int, window: int) -> DataFrame:
     """The open rows by the keys of their passages; rows of equal surroundings go as one."""
     side = window - 1
-    rows = found.filter("open").select(*_ROW).withColumn("context", F.xxhash64("core", "right", "left", "low", "high"))
+    rows = found.filter("open").select(*_ROW).withColumn("context", F.xxhash64("core", "passages", "low", "high"))
     place = F.struct("doc", "pos")
-    contexts = rows.groupBy("core", "context", "right", "left", "low", "high").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    contexts = rows.groupBy("core", "context", "passages", "low", "high").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = _columns(pa.Table.from_batches([batch]).select(["core", "right", "left", "low", "high"]), side)
+            t = _columns(pa.Table.from_batches([batch]).select(["core", "passages", "low", "high"]))
             for i in range(side + 1):
                 rows = np.flatnonzero((t["low"] <= i) & (i <= t["high"]))
                 at = pa.array(rows)
-                key = pa.array(_keys(t["core"][rows], t["right"][rows], t["left"][rows], i))
+                key = pa.array(_keys(t, rows, i))
                 kept = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("core", "context", "first", "last")]
                 yield pa.RecordBatch.from_arrays([*kept, key, pa.array(np.full(len(rows), i, np.int32))], names=["core", "context", "first", "last", "key", "i"])
 
@@ -279,8 +273,8 @@ def _across(found: DataFrame, least: int, window: int) -> DataFrame:
     # written first, the two sides of a join are plain shuffles, which Spark can split
     firsts = materialise(keys.groupBy(F.col("core").alias("_core"), F.col("key").alias("_key")).agg(F.min("first").alias("place"), F.max("last").alias("_last")).filter("place < _last").drop("_last"), "suffix-firsts")
     again = keys.join(firsts, (keys["core"] == firsts["_core"]) & (keys["key"] == firsts["_key"])).groupBy(F.col("core").alias("_core"), F.col("context").alias("_context"))
-    again = materialise(again.agg(F.max("i").alias("most"), F.min("i").alias("fewest"), F.min("place.doc").alias("first_doc"), F.collect_list(F.struct("i", "place")).alias("passages")), "suffix-contexts")
-    own = F.transform(F.filter("passages", lambda p: (p["place"]["doc"] == F.col("doc")) & (p["place"]["pos"] == F.col("pos"))), lambda p: p["i"])
+    again = materialise(again.agg(F.max("i").alias("most"), F.min("i").alias("fewest"), F.min("place.doc").alias("first_doc"), F.collect_list(F.struct("i", "place")).alias("places")), "suffix-contexts")
+    own = F.transform(F.filter("places", lambda p: (p["place"]["doc"] == F.col("doc")) & (p["place"]["pos"] == F.col("pos"))), lambda p: p["i"])
     joined = rows.join(again, (rows["core"] == again["_core"]) & (rows["context"] == again["_context"])).withColumn("own", own)
     return joined.select(
         "doc", (F.col("pos") - F.col("most")).alias("start_word"), (F.col("pos") - F.col("fewest") + least).alias("end_word"),
@@ -299,13 +293,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     Null and short texts have no span, nor do rows without an id. Copies of a document are spans from end to end. A
     repeated id counts as one more place only where its text has the passage elsewhere. Whole texts of any length are
-    read; an empty table gives no rows; other columns are ignored. Words around a core are compared by 16 bits each, the core by 64.
+    read; an empty table gives no rows; other columns are ignored. Passages are compared by 64 bits.
     """
     if window + gram - 1 > least:
         raise ValueError("a passage must hold a whole window of k-grams")
     hot = _hot_cores(docs, id_col, text_col, least, gram, window, group_rows)
     rows = _suffixes(docs, id_col, text_col, least, gram, window, hot)
-    dealt = rows.repartition(partitions(docs.sparkSession), "deal").sortWithinPartitions("core", "right", "left", "doc", "pos")
+    dealt = rows.repartition(partitions(docs.sparkSession), "deal").sortWithinPartitions("core", "doc", "pos")
     found = materialise(_match(dealt, least, window, group_rows, hot), "suffixes")
     columns = ["doc", "start_word", "end_word", "keep_start", "keep_end", "first_doc"]
     placed = found.filter("not open").select(*columns).union(_across(found, least, window).select(*columns)).distinct()
@@ -323,13 +317,45 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return spans.select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", (F.size("kept") == 0).alias("duplicate"), runs.alias("duplicate_runs"))
 
 
+def _without(text: str, runs: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``runs``; white space between kept words stays as it is."""
+    data = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    out, at = [], 0
+    for a, b in sorted(runs):
+        if b < len(spans):
+            out.append(data[at : spans[a][0]])
+            at = spans[b][0]
+        else:  # up to the end, with the white space before it
+            out.append(data[at : spans[a - 1][1] if a else 0])
+            at = len(data)
+    out.append(data[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
 def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the words of duplicate runs taken out; the first place of a passage keeps it.
-    Texts without such a run stay as they are. Columns are those of ``docs``."""
-    spans = repeats(docs, least=least).filter(F.size("duplicate_runs") > 0).groupBy(F.col("doc_id").alias("_repeat_doc")).agg(F.flatten(F.collect_list("duplicate_runs")).alias("_repeat_spans"))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    kept = F.filter(words, lambda _, i: ~F.exists("_repeat_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
-    out = docs.join(spans, docs["doc_id"] == spans["_repeat_doc"], "left").withColumn("text", F.when(F.col("_repeat_spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text")))
+    """``docs`` with the words of duplicate runs taken out; of the places of a passage the first one keeps it, by the order of the rows as they were
+    read and by position. Columns are those of ``docs``.
+
+    It goes by row: rows that share an id, or have none, are documents of their own, and of equal rows the first stays whole. White space
+    between kept words stays as it is; that of a run goes with it. Texts without a duplicate run, null and short ones stay as they are; an empty table stays empty.
+    """
+    rows = numbered(docs, "_repeat_row")
+    found = repeats(rows, id_col="_repeat_row", least=least).filter(F.size("duplicate_runs") > 0)
+    # written first, the two sides of the join are plain shuffles, which Spark can split
+    found = materialise(found.groupBy(F.col("_repeat_row").alias("_of")).agg(F.flatten(F.collect_list("duplicate_runs")).alias("_runs")), "suffix-drops")
+    joined = rows.join(found, rows["_repeat_row"] == found["_of"], "left")
+
+    def run(batches):
+        for batch in batches:
+            texts = [_without(t, [(r["start_word"], r["end_word"]) for r in runs]) if runs and t else t for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_text"])
+
+    cut = joined.filter("_runs is not null").select("_repeat_row", "text", "_runs").mapInArrow(run, "_row long, _text string")
+    cut = materialise(cut, "suffix-texts")
+    out = rows.join(cut, rows["_repeat_row"] == cut["_row"], "left")
+    changed = F.col("_row").isNotNull()
+    out = out.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_repeat_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

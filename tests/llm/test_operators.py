@@ -85,11 +85,38 @@ def test_first_places_of_passages_stay(spark):
     x, y, p = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyp")
     docs = spark.createDataFrame([(1, x), (2, f"{x} {y}"), (3, y), (4, f"{p} {p}"), (5, "w " * 200)], "doc_id long, text string")
     left = dict(rows(suffixes.drop_repeats(docs)))
-    assert left == {1: x, 2: y, 3: "", 4: p, 5: " ".join(["w"] * 50)}
+    assert left == {1: x, 2: y, 3: "", 4: p, 5: " ".join(["w"] * 50)}  # rows in the order of their ids
     runs = {r["doc_id"]: (r["duplicate"], r["first_doc"], [tuple(x) for x in r["duplicate_runs"]]) for r in suffixes.repeats(docs).collect()}
     assert runs == {1: (False, 1, []), 2: (False, 1, [(0, 60)]), 3: (True, 2, [(0, 60)]), 4: (False, 4, [(60, 120)]), 5: (False, 5, [(50, 200)])}
 
 
+@pytest.mark.parametrize("group_rows,batch", [(suffixes.GROUP_ROWS, 10_000), (0, 100)])
+def test_templates_with_a_word_of_their_own_are_no_repeats(spark, group_rows, batch):
+    """3000 texts that share 49 of 50 words; and unlike surroundings of one core of which a few recur."""
+    rng = np.random.default_rng(13)
+    same = " ".join(f"s{i}" for i in range(49))
+    docs = spark.createDataFrame([(i, f"{same} own{i}") for i in range(3000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert suffixes.repeats(docs, group_rows=group_rows).count() == 0
+    side = lambda: " ".join(f"a{x}" for x in rng.integers(0, 2, 12))
+    near = [f"{side()} {same} {side()}" for _ in range(500)]
+    found = defaultdict(set)
+    for r in suffixes.repeats(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"), group_rows=group_rows).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == covered(list(enumerate(near)), 50) and found
+
+
+def test_drop_repeats_goes_by_row_and_keeps_white_space(spark, odd, empty):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, f"x\n\n  y\t{a}\n z"), (3, f"{a}  "), (None, None), (4, f"  q\n{a}")], "doc_id long, text string").coalesce(1)
+    want = [(1, a), (2, ""), (2, b), (None, "x\n\n  y\tz"), (3, ""), (None, None), (4, "  q")]
+    assert sorted(map(repr, rows(suffixes.drop_repeats(docs)))) == sorted(map(repr, want))
+    left = suffixes.drop_repeats(odd)
+    assert left.columns == odd.columns and left.count() == odd.count() and suffixes.repeats(left).count() == 0
+    assert suffixes.drop_repeats(empty).count() == 0
+
+
 def test_suffixes_empty(empty):
     assert rows(suffixes.repeats(empty)) == []
 
