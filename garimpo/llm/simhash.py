@@ -149,11 +149,14 @@ def forest(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 def links(prints: DataFrame, radius: int = 4, groups: int | None = None, cell_chunk: int = CELL_CHUNK, grid_radius: int | None = None) -> DataFrame:
     """(a, b): links that connect distinct fingerprints (columns ``fp``, ``fp1``, ...) within ``radius`` bits over all of them,
     by ``node``, or by ``fp`` if there is no such column. Each view has grids of ``grid_radius``, by default ``radius``."""
-    n, grid_radius = prints.count(), radius if grid_radius is None else grid_radius
-    if groups is None:  # more groups: more grids of finer cells
-        groups = grid_radius + 2 + (n > 2_000_000) + (n > 100_000_000)
-    masks = grid_masks(groups, grid_radius)
+    grid_radius = radius if grid_radius is None else grid_radius
     views = [c for c in prints.columns if c.startswith("fp")]
+    if groups is None:
+        groups = grid_radius + 2
+        if len(views) == 1:  # more groups: more grids of finer cells. Over several views finer cells would find fewer candidates, and so depend on the size
+            n = prints.count()
+            groups += (n > 2_000_000) + (n > 100_000_000)
+    masks = grid_masks(groups, grid_radius)
     key = "node" if "node" in prints.columns else "fp"
     kept = list(dict.fromkeys([key, *views]))
     counts = prints.select(*kept, *[unary_counts(F.col(v)).alias(f"counts_{v}") for v in views])
