@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import spec
 from ..operators import discovery, keyed
 from ..operators.filters import CompanyFilters
 from ..streaming import continuous, loop, progress
@@ -175,3 +176,24 @@ def point_lookups(spark, d):
     probes = [tuple(r) for r in found.select("cnpj", "logradouro", "numero", "uf").collect()]
     at = discovery.find_by_address_pushed(spark.read.parquet(f"{work}/addresses"), probes)
     return at.join(found.select(F.col("cnpj").alias("ref"), "email"), "ref").select("ref", "ambiguous", F.array_join("cnpjs", " ").alias("cnpjs"), "email")
+
+
+# ---------------------------------------------------------------- profiles
+
+
+@query("""WITH k AS (SELECT c_custkey AS n, c_custkey % 7 AS m FROM customer)
+SELECT n AS c_custkey, CASE m WHEN 0 THEN '' WHEN 1 THEN 'spec: esperava um objeto' WHEN 2 THEN 'buyer: texto obrigatório; rubric.axes: nenhum eixo válido' WHEN 3 THEN 'targeting.ufs: esperava uma lista' WHEN 4 THEN 'rubric.axes: esperava uma lista' WHEN 5 THEN 'rubric.axes.fit.question: texto obrigatório' ELSE 'probe.terms: esperava uma lista' END AS faults,
+CASE WHEN m = 0 THEN lpad(n::VARCHAR, 7, '0') || ' 85' END AS codes, CASE WHEN m = 0 THEN least(12, n % 20)::INTEGER END AS probes, CASE WHEN m = 0 THEN n::DOUBLE END AS min_capital FROM k""")
+def project_specs(spark, d):
+    """A profile of each customer, some sound and some with a fault of their own: the faults by path, and what a sound one holds."""
+    n, m = F.col("c_custkey"), F.col("c_custkey") % 7
+    levels = ", ".join(f'"{i}": "nível {i}"' for i in range(1, 6))
+    axis = F.concat(F.lit('{"key": "Fit", "anchors": {'), F.lit(levels), F.lit("}"), F.when(m == 5, "").otherwise(', "question": "Precisa?"'), F.lit("}"))
+    axes = F.when(m == 2, "[]").when(m == 4, '"none"').otherwise(F.concat(F.lit("["), axis, F.lit("]")))
+    probe = lambda i: F.concat(F.lit('{"key": "p'), i.cast("string"), F.lit('", "terms": '), F.when(m == 6, '"portal"').otherwise('["portal"]'), F.lit("}"))
+    probes = F.concat(F.lit("["), F.array_join(F.when((m == 6) | (n % 20 > 0), F.transform(F.sequence(F.lit(1), F.greatest(n % 20, F.lit(1)).cast("int")), probe)).otherwise(F.array().cast("array<string>")), ", "), F.lit("]"))
+    targeting = F.concat(F.lit('{"cnaePrefixes": ["'), F.lpad(n.cast("string"), 7, "0"), F.lit('", "8-5", "x"], "ufs": '), F.when(m == 3, '"SP"').otherwise('["sp"]'), F.lit(', "minCapitalSocial": '), n.cast("string"), F.lit("}"))
+    whole = F.concat(F.lit('{"summary": "s", "problem": "p", "buyer": '), F.when(m == 2, '" "').otherwise('"b"'), F.lit(', "targeting": '), targeting, F.lit(', "probes": '), probes, F.lit(', "rubric": {"axes": '), axes, F.lit("}}"))
+    out = spec.parse_specs(t(spark, d, "customer").select("c_custkey", F.when(m == 1, "[1]").otherwise(whole).alias("spec")))
+    told = F.array_join(F.transform("faults", lambda f: F.concat(f["path"], F.lit(": "), f["message"])), "; ")
+    return out.select("c_custkey", told.alias("faults"), F.array_join("parsed.targeting.cnae_prefixes", " ").alias("codes"), F.when(F.col("parsed").isNotNull(), F.size("parsed.probes")).alias("probes"), F.col("parsed.targeting.min_capital").alias("min_capital"))
