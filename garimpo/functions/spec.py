@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import SPACES, let
+from .text import SPACES, bound, let
 
 # fixed values: limits of a profile
 MOST_AXES, MOST_PROBES, MOST_TERMS, MOST_CODES, MOST_STATES, MOST_ACTIONS, MOST_NOTES, MOST_HOOKS, MOST_CRITERIA = 3, 12, 8, 40, 27, 6, 8, 4, 20
@@ -152,9 +152,7 @@ def parse_specs(specs: DataFrame, text: str = "spec") -> DataFrame:
     parts = specs.withColumn("_v", F.try_parse_json(text)).withColumn("_object", _is(v, "OBJECT"))
     parts = parts.withColumns({"_t": _at(v, "targeting"), "_r": _at(v, "rubric"), "_p": _at(v, "probes")})
     parts = parts.withColumns({**{f"_{c}": _plain(_at(v, c)) for c in ("summary", "buyer", "problem")}, "_axes": _axes(_at(F.col("_r"), "axes"))})
-    # one row out of one: the filter of a generator keeps Spark from folding the parts into every use
-    row = F.struct(*[c for c in parts.columns])
-    parts = parts.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+    parts = bound(parts)
     t, r = F.col("_t"), F.col("_r")
     fault = lambda bad, path, message: F.when(bad, F.array(F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))).otherwise(F.array().cast(_FAULT))
     lists = [("targeting.cnaePrefixes", _at(t, "cnaePrefixes")), ("targeting.cnaeExclude", _at(t, "cnaeExclude")), ("targeting.ufs", _at(t, "ufs")), ("targeting.naturezaPrefixes", _at(t, "naturezaPrefixes"))]

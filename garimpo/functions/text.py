@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Every Unicode space, as JavaScript and Python see it (Java's \s is ASCII only without the flag).
 SPACES = r"(?U)[\s\x{FEFF}]+"
@@ -66,6 +66,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def bound(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once, here: they leave a generator as one row, so that what follows reads them instead of repeating their expressions."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_bound")).select("_bound.*")
+
+
 def any_of(tests: list[Column]) -> Column:
     """OR over tests; false for none."""
     out = F.lit(False)

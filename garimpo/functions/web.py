@@ -289,8 +289,8 @@ def internal_links(html: Column | str, base: Column | str, limit: int = 5, every
 
 def page_signals(html: Column | str, final_url: Column | str) -> dict[str, Column]:
     """The columns of a page's signals, by name."""
+    text = extract_text(html)
     c, head = col(html), F.left(col(html), F.lit(200_000))
-    text = extract_text(c)
     contact = c.rlike(r"""(?i)href=["']tel:""") | c.rlike(r"(?i)(?:wa\.me/|api\.whatsapp\.com/send)") | c.rlike(r"""(?i)href=["']mailto:""")
     return {
         "has_viewport": head.rlike(r"""(?i)<meta[^>]+name=["']viewport["']"""),
@@ -302,16 +302,21 @@ def page_signals(html: Column | str, final_url: Column | str) -> dict[str, Colum
         "footer_year": footer_year(c),
         "title": title_of(head),
         "ig_handle": ig_handle(c),
-        "site_phone": F.get(phones_of(c), 0),
         "emails": emails_of(c, host_of(final_url)),
         "phones": phones_of(c),
         "is_https": col(final_url).startswith("https://"),
         "text_excerpt": text,
         "meta_description": meta_description(c),
+        "site_phone": F.get(phones_of(c), 0),
         "is_js_shell": (F.length(text) < V.SHELL_TEXT_CHARS) & c.rlike(V.MOUNT_POINTS),
     }
 
 
+def signals_of_signals(html: Column | str) -> dict[str, Column]:
+    """Those of :func:`page_signals` that follow from others, once these are columns."""
+    return {"site_phone": F.get("phones", 0), "is_js_shell": (F.length("text_excerpt") < V.SHELL_TEXT_CHARS) & col(html).rlike(V.MOUNT_POINTS)}
+
+
 def run_probes(probes: dict[str, list[str]], text: Column | str) -> Column:
     """Map probe -> whether one of its terms stands as a whole word in the folded text; empty where nothing was read."""
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import spec
-from ..operators import discovery, keyed
+from ..operators import discovery, filters, keyed, textindex
 from ..operators.filters import CompanyFilters
 from ..streaming import continuous, loop, progress
 from . import enrichment, etl, flows
@@ -197,3 +197,20 @@ def project_specs(spark, d):
     out = spec.parse_specs(t(spark, d, "customer").select("c_custkey", F.when(m == 1, "[1]").otherwise(whole).alias("spec")))
     told = F.array_join(F.transform("faults", lambda f: F.concat(f["path"], F.lit(": "), f["message"])), "; ")
     return out.select("c_custkey", told.alias("faults"), F.array_join("parsed.targeting.cnae_prefixes", " ").alias("codes"), F.when(F.col("parsed").isNotNull(), F.size("parsed.probes")).alias("probes"), F.col("parsed.targeting.min_capital").alias("min_capital"))
+
+
+# ---------------------------------------------------------------- text index
+
+
+@query(EST + """SELECT '#0000001' AS q, cnpj FROM est WHERE contains(lower(coalesce(nome_fantasia, '') || chr(10) || razao_social), '#0000001') UNION ALL SELECT 'ER#000000012', cnpj FROM est WHERE contains(lower(coalesce(nome_fantasia, '') || chr(10) || razao_social), 'er#000000012')
+UNION ALL SELECT '33', cnpj FROM est WHERE contains(lower(coalesce(nome_fantasia, '') || chr(10) || razao_social), '33')""")
+def substring_index(spark, d):
+    """Companies whose names hold a text: one with many hits, one with few, and one too short for the index."""
+    path, registry = f"{continuous.shared(spark)}/grams-{uuid.uuid4().hex}", est(spark, d)
+    textindex.write(registry, path, ["nome_fantasia", "razao_social"])
+    out = None
+    for q in ("#0000001", "ER#000000012", "33"):
+        f = CompanyFilters(q=q)
+        found = filters.apply(textindex.narrowed(registry, path, f.q), f).select(F.lit(q).alias("q"), "cnpj")
+        out = found if out is None else out.unionByName(found)
+    return out

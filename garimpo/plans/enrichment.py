@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names, pages as P, registry, web
 from ..functions import values as V
 from ..operators import discovery, store
+from ..streaming.continuous import shared
 from . import flows
 
 #: Pages of one site that are read at most.
@@ -102,12 +105,13 @@ def run_pipeline(companies: DataFrame, places: DataFrame, pages: DataFrame, craw
     """Crawl, then score: the address of each company (places before mail), the signals of its site, upserted crawls and contacts,
     and two outcomes that together are all companies: those a model can judge and rows that say why one can't.
 
-    ``pages`` are fetched pages by ``site``, the address asked for. ``crawls`` and ``contacts`` are what is stored.
+    ``pages`` are fetched pages by ``site``, the address asked for. ``crawls`` and ``contacts`` are what is stored. The signals are written to the shared folder first,
+    so that every page is read once, whatever of the four frames is asked for.
     """
     guessed = companies.join(places.select("cnpj", "website_url"), "cnpj", "left")
     there = F.nullif(F.trim("website_url"), F.lit(""))
     asked = guessed.select("cnpj", F.coalesce(there, registry.website_from_email("email")).alias("website"), F.when(there.isNotNull(), "places").otherwise("email").alias("url_source")).filter("website is not null")
-    signals = site_signals(pages, probes)
+    signals = _written(site_signals(pages, probes), "signals")
     read = asked.join(signals, asked["website"] == signals["site"]).drop("site")
     fresh = read.select("cnpj", F.col("website").alias("website_url"), "url_source", "final_url", "http_status", "error", "text_excerpt", "structured_text", "is_js_shell", "site_phone", "pages_fetched")
     kept = store.upsert(crawls, fresh, ["cnpj"], [F.col("website_url")])
@@ -125,6 +129,13 @@ def run_pipeline(companies: DataFrame, places: DataFrame, pages: DataFrame, craw
     }
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a file of its own: computed once, and safe from lost executors."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reprocess(pending: DataFrame, outcomes: DataFrame, recheck: bool, most: int) -> tuple[DataFrame, DataFrame]:
     """Sole traders without a conclusion: those searched now (once each unless ``recheck``, at most ``most``), and of them those
     whose search found something, which are the ones to score again."""

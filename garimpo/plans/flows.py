@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import web
 from ..functions.pages import json_ld, structured_text
 from ..functions.registry import cnpjs_in, format_address, format_cep, website_from_email
+from ..functions.text import bound
 from ..operators import store
 
 # fixed values: states of a lead, verdicts of a web lead and their labels
@@ -223,12 +224,14 @@ def probed(text: str, declared: str, shell: str, probes: dict[str, list[str]] |
 def analyse_pages(pages: DataFrame, probes: dict[str, list[str]] | None = None) -> DataFrame:
     """Signals of fetched pages (url, final_url, http_status, html, error). What wasn't read stays null; hubs aren't analysed,
     but their address may name the profile."""
-    host = web.host_of(F.coalesce("final_url", "url"))
-    out = pages.withColumn("is_link_hub", web.is_hub(host)).withColumn("is_free_builder", web.is_builder(host)).withColumn("is_dead", F.coalesce(F.col("http_status") >= 400, F.lit(False)) | F.col("error").isNotNull())
+    out = bound(pages.withColumn("_host", web.host_of(F.coalesce("final_url", "url"))))
+    out = out.withColumn("is_link_hub", web.is_hub(F.col("_host"))).withColumn("is_free_builder", web.is_builder(F.col("_host"))).drop("_host").withColumn("is_dead", F.coalesce(F.col("http_status") >= 400, F.lit(False)) | F.col("error").isNotNull())
     read = F.when(F.col("html").isNotNull() & ~F.col("is_link_hub") & ~F.col("is_dead"), F.col("html"))
-    out = out.withColumn("_html", read).withColumn("_final", F.coalesce("final_url", "url"))
-    out = out.withColumns(web.page_signals("_html", "_final")).withColumn("structured", json_ld("_html"))
-    out = out.withColumn("structured_text", structured_text("meta_description", "structured"))
+    # each step reads the columns of the one before it, so that no expression stands in another one's place
+    out = bound(out.withColumn("_html", read).withColumn("_final", F.coalesce("final_url", "url")))
+    later = web.signals_of_signals("_html")
+    out = bound(out.withColumns({k: c for k, c in web.page_signals("_html", "_final").items() if k not in later}).withColumn("structured", json_ld("_html")))
+    out = bound(out.withColumns(later).withColumn("structured_text", structured_text("meta_description", "structured")))
     profile = F.nullif(F.regexp_extract("_final", r"(?i)instagram\.com/([A-Za-z0-9_.]{2,30})", 1), F.lit(""))
     out = out.withColumn("ig_handle", F.when(F.col("is_link_hub"), profile).otherwise(F.col("ig_handle")))
     return out.withColumn("probes", probed("text_excerpt", "structured_text", "is_js_shell", probes)).drop("_html", "_final", "html")

@@ -230,3 +230,18 @@ def test_a_late_page_reads_no_more_than_the_first(spark, tmp_path):
     etl.write_sorted(rows, str(tmp_path / "o"), discovery.ordering("capital-desc"), 1 << 16)
     stored = spark.read.parquet(str(tmp_path / "o"))
     assert rows_read(stored.filter(discovery.beyond("capital-desc", (10.0, "000000000")))) * 10 <= rows_read(stored)
+
+
+def test_the_text_index_gives_the_rows_of_the_scan(spark, tmp_path):
+    from garimpo.operators import textindex
+    from garimpo.operators.filters import CompanyFilters, apply
+
+    names = ["Padaria São João", "PADARIA SAO JOAO LTDA", "Pão & Cia", "pao", "a", "", None, "Ação", "AÇÃO   total", "100% natural", "x_y", "padaria", "São  João", "ÇÇÇ", "J̃oao"] * 3
+    rows = spark.createDataFrame([(f"c{i}", n, names[i - 1] if i % 4 == 0 else None, n) for i, n in enumerate(names)], "cnpj string, nome_fantasia string, razao_social string, bairro string").repartition(3)
+    textindex.write(rows, str(tmp_path / "q"), ["nome_fantasia", "razao_social"])
+    textindex.write(rows, str(tmp_path / "b"), ["bairro"])
+    for q in ["padaria", "são", "SAO", "ao j", "oão", "ção", "% n", "_y", "  ", "pa", "a", "zzz", "ççç", "João", "padaria são joão", "Ação   total"]:
+        for where, f in (("q", CompanyFilters(q=q)), ("b", CompanyFilters(bairro=q))):
+            got, want = (sorted(r["cnpj"] for r in apply(x, f).collect()) for x in (textindex.narrowed(rows, str(tmp_path / where), q), rows))
+            assert got == want, (where, q)
+    assert textindex.candidates(spark, str(tmp_path / "q"), "padaria").count() < rows.count() and textindex.candidates(spark, str(tmp_path / "q"), "pa") is None
