@@ -118,6 +118,8 @@ def search(
     spark = vectors.sparkSession
     held = quantised(vectors, id_col, vec_col)
     asked = quantised(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    # of equal rows, which would all meet in one block, no more than k can be among a query's best
+    held = held.groupBy("vec_id", "weights").count().select("vec_id", "weights", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)))).alias("_copy")).drop("_copy")
     n, m = held.count(), asked.count()
     cores = spark.sparkContext.defaultParallelism
     n_c = max(1, math.ceil(n / candidate_block), min(2 * cores, math.ceil(n / 1_024)))

@@ -435,6 +435,20 @@ def test_search_ties_and_empty(spark):
     assert rows(exact_search.search(df.limit(0), df.limit(0))) == []
 
 
+def test_many_equal_rows_leave_few_candidates(spark):
+    """A third of the rows are one: the best are still the same rows, as often as they may be among the first k."""
+    rng = np.random.default_rng(17)
+    rows_in = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)] + [(999, [3.0, 3.0, 3.0, 3.0])] * 100
+    vectors = spark.createDataFrame(rows_in, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(map(tuple, exact_search.search(vectors, vectors.filter("vec_id % 50 = 0"), candidate_block=16).collect()))
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows_in]
+    want = []
+    for q, w in [x for x in ints if x[0] % 50 == 0]:
+        best = sorted(((-sum(a * b for a, b in zip(w, v, strict=True)), i) for i, v in ints if i != q))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_search_ignores_clashing_columns(spark):
     df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
     odd = df.selectExpr("*", "1 as query_id", "'x' as rank", "2 as score", "3 as c", "4 as q", "array(1) as weights")
