@@ -144,10 +144,15 @@ def describe(codes: DataFrame, activities: DataFrame) -> DataFrame:
     """(code, descricao): the exact description, else a roll-up of the first six children, else null."""
     # every code of the dictionary under each of its prefixes: an equality, not a prefix test of all against all
     spread = activities.withColumn("_pfx", F.explode(F.transform(F.sequence(F.lit(1), F.length("codigo")), lambda n: F.left("codigo", n))))
-    pairs = codes.join(spread, spread["_pfx"] == codes["code"], "left").groupBy("code").agg(
-        F.max(F.when(F.col("codigo") == F.col("code"), F.col("descricao"))).alias("exact"),
-        F.slice(F.sort_array(F.collect_list(F.when(F.col("codigo") != F.col("code"), F.struct("codigo", "descricao")))), 1, 6).alias("children"),
-    )
+    exact = F.col("codigo") == F.col("_pfx")
+    # a prefix keeps its exact row and its first six children, however many it has
+    first = Window.partitionBy("_pfx", exact).orderBy(F.when(exact, F.col("descricao")).desc_nulls_last(), "codigo", "descricao")
+    few = spread.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 6)
+    rolled = few.groupBy("_pfx").agg(
+        F.max(F.when(exact, F.col("descricao"))).alias("exact"), F.sort_array(F.collect_list(F.when(~exact, F.struct("codigo", "descricao")))).alias("children"),
+    )
+    # the prefixes are several times the dictionary, which its size doesn't tell: never broadcast
+    pairs = codes.distinct().join(rolled.hint("merge"), codes["code"] == rolled["_pfx"], "left").withColumn("children", F.coalesce("children", F.array().cast(rolled.schema["children"].dataType)))
     n, texts = F.size("children"), F.transform("children", lambda c: c["descricao"])
     many = F.concat(n.cast("string"), F.when(n >= 6, "+").otherwise(""), F.lit(" subclasses — "), F.array_join(F.slice(texts, 1, 3), "; "), F.when(n > 3, "; …").otherwise(""))
     return pairs.select("code", F.coalesce("exact", F.when(n == 1, F.get(texts, 0)).when(n > 1, many)).alias("descricao"))

@@ -203,3 +203,11 @@ def test_migrate_and_single_file(spark, tmp_path):
     assert etl.migrate(df, spark.createDataFrame([], "b long, c string").schema).collect() == [(7, None)]
     etl.write_single(df.union(df).repartition(2), str(tmp_path / "s"))
     assert len(list((tmp_path / "s").glob("*.parquet"))) == 1
+
+
+def test_the_dictionary_s_prefixes_are_not_broadcast(spark, small):
+    """They are several times the dictionary, so that at a gigabyte they filled the driver; each keeps its first six children."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["describe_rollup"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "row_number" in plan
