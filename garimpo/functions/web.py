@@ -159,7 +159,19 @@ def extract_text(html: Column | str, limit: int = V.EXCERPT_CHARS) -> Column:
 
 
 def title_of(html: Column | str) -> Column:
-    return blank_to_null(F.left(decode_html(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.{0,300}?)</title>", 1)), F.lit(200)))
+    return blank_to_null(F.left(decode_html(_raw_title(html)), F.lit(200)))
+
+
+def plain_title_of(html: Column | str) -> Column:
+    """The title by the plainer rule of the texts: ``&amp;`` is read, any other named entity is a space, numeric ones stay, and only ASCII white space is collapsed."""
+    c = F.regexp_replace(_raw_title(html), "<[^>]+>", "")
+    for pattern, text in (("(?i)&amp;", "&"), ("(?i)&[a-z]+;", " "), (r"[\t\n\f\r ]+", " "), (r"^\p{Zs}+|\p{Zs}+$", "")):
+        c = F.regexp_replace(c, pattern, text)
+    return blank_to_null(F.left(c, F.lit(200)))
+def _raw_title(html: Column | str) -> Column:
+    return F.regexp_extract(col(html), r"(?is)<title[^>]*>(.{0,300}?)</title>", 1)
+
+
 
 
 def generator_of(html: Column | str) -> Column:
