@@ -35,11 +35,13 @@ def is_builder(host: Column) -> Column:
 
 def apex_of(url: Column | str) -> Column:
     """The registrable name: two labels, three under a two-label ending; IPv4 and free builders whole."""
-    host = host_of(url)
-    labels = F.split(host, r"\.")
-    tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    whole = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | is_builder(host) | (F.size(labels) <= 2)
-    return F.when(whole, host).when(tail(2).isin(V.TWO_LABEL_ENDINGS), tail(3)).otherwise(tail(2))
+
+    def of(host: Column) -> Column:
+        tail = lambda n: F.substring_index(host, ".", -n)
+        whole = (tail(2) == host) | host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | is_builder(host)
+        return F.when(whole, host).when(tail(2).isin(V.TWO_LABEL_ENDINGS), tail(3)).otherwise(tail(2))
+
+    return let(host_of(url), of)  # the host is bound: the tests would each repeat its expressions
 
 
 def apex_label(url: Column | str) -> Column:
@@ -249,11 +251,19 @@ def emails_of(html: Column | str, site_host: Column | str | None = None) -> Colu
 
 def rank_emails(emails: Column | str, site_host: Column | str | None = None) -> Column:
     """The site's own addresses, then those of free mailboxes, then others, each in the order found."""
-    domain = lambda x: F.split_part(x, F.lit("@"), F.lit(2))
-    own = apex_of(F.concat(F.lit("https://"), col(site_host))) if site_host is not None else F.lit("")
-    mine = lambda x: (own == "") | (domain(x) == own) | domain(x).endswith(F.concat(F.lit("."), own))
-    free = lambda x: domain(x).isin(V.FREE_MAIL) | domain(x).rlike(V.FREE_ANY_ENDING)
-    return let(col(emails), lambda kept: F.concat(F.filter(kept, mine), F.filter(kept, lambda x: ~mine(x) & free(x)), F.filter(kept, lambda x: ~mine(x) & ~free(x))))
+
+    def ranked(own: Column) -> Column:
+        def rank(x: Column) -> Column:
+            mine = lambda d: (own == "") | (d == own) | d.endswith(F.concat(F.lit("."), own))
+            free = lambda d: d.isin(V.FREE_MAIL) | d.rlike(V.FREE_ANY_ENDING)
+            return let(F.split_part(x, F.lit("@"), F.lit(2)), lambda d: F.when(mine(d), 0).when(free(d), 1).when(d.isNotNull(), 2))
+
+        told = F.transform(col(emails), lambda x: F.struct(x.alias("x"), rank(x).alias("rank")))
+        of = lambda all_, n: F.transform(F.filter(all_, lambda e: e["rank"] == n), lambda e: e["x"])
+        return let(told, lambda all_: F.concat(of(all_, 0), of(all_, 1), of(all_, 2)))
+
+    # the site's own domain is computed once a row, an address's rank once an address
+    return let(apex_of(F.concat(F.lit("https://"), col(site_host))) if site_host is not None else F.lit(""), ranked)
 
 
 def merge_contacts(current: Column | str, found: Column | str) -> Column:
