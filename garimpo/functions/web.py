@@ -286,12 +286,16 @@ def resolve_href(href: Column | str, base: Column | str) -> Column:
     )
 
     def tidy(u: Column) -> Column:
+        return let(path_of(u), lambda p: joined(u, p))
+
+    def joined(u: Column, plain: Column) -> Column:
         empty = F.array().cast("array<string>")
-        parts = F.split(path_of(u), "/")
+        dots = plain.contains("/.")  # nothing to resolve in nearly all
+        parts = F.split(plain, "/")
         step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
-        path = F.array_join(F.aggregate(parts, empty, step), "/")
-        path = F.when(path_of(u).rlike(r"/\.{1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
-        return F.concat(F.lower(F.regexp_extract(u, "(?i)^([a-z]+://[^/?#]+)", 1)), F.when(path == "", "/").otherwise(path))
+        kept = F.array_join(F.aggregate(parts, empty, step), "/")
+        path = F.when(dots, F.concat(kept, F.when(plain.rlike(r"/\.{1,2}$"), "/").otherwise(""))).otherwise(plain)
+        return F.concat(F.lower(F.regexp_extract(u, "(?i)^([a-z]+://[^/?#]+)", 1)), let(path, lambda p: F.when(p == "", "/").otherwise(p)))
 
     return let(absolute, tidy)
 
@@ -299,14 +303,22 @@ def resolve_href(href: Column | str, base: Column | str) -> Column:
 def internal_links(html: Column | str, base: Column | str, limit: int = 5, every: bool = False) -> Column:
     """Links of the same host to read next, by origin and path, without the root: those whose path promises contacts or
     services. With ``every`` also the others, after them, but no files."""
-    host = host_of(base)
+    return chosen_links(links_here(html, base), limit, every)
+
+
+def links_here(html: Column | str, base: Column | str) -> Column:
+    """Every link of the same host but the root, as (u, path, first: whether its path promises contacts or services), in the page's order."""
     hrefs = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']([^"'#]+)["']"""), F.lit(1))
-    full = F.transform(hrefs, lambda h: resolve_href(h, base))
-    first = lambda u: path_of(u).rlike(V.INTERESTING)
-    here = F.filter(full, lambda u: u.isNotNull() & (host_of(u) == host) & ~path_of(u).isin("", "/"))
-    wanted = (lambda u: ~path_of(u).rlike(V.FILE_ENDING)) if every else first
-    kept = F.slice(F.array_distinct(F.filter(here, wanted)), 1, 4 * limit)
-    return let(kept, lambda k: F.slice(F.concat(F.filter(k, first), F.filter(k, lambda u: ~first(u))), 1, limit))
+    full = F.filter(F.transform(F.array_distinct(hrefs), lambda h: resolve_href(h, base)), lambda u: u.isNotNull())
+    told = F.transform(F.array_distinct(full), lambda u: let(path_of(u), lambda p: F.struct(u.alias("u"), p.alias("path"), p.rlike(V.INTERESTING).alias("first"))))
+    return let(host_of(base), lambda host: F.filter(told, lambda e: ~e["path"].isin("", "/") & (host_of(e["u"]) == host)))
+
+
+def chosen_links(here: Column | str, limit: int = 5, every: bool = False) -> Column:
+    """Of :func:`links_here` those to read next."""
+    kept = F.slice(F.filter(col(here), (lambda e: ~e["path"].rlike(V.FILE_ENDING)) if every else (lambda e: e["first"])), 1, 4 * limit)
+    ranked = lambda k: F.concat(F.filter(k, lambda e: e["first"]), F.filter(k, lambda e: ~e["first"]))
+    return F.transform(F.slice(let(kept, ranked), 1, limit), lambda e: e["u"])
 
 
 def page_signals(html: Column | str, final_url: Column | str) -> dict[str, Column]:
