@@ -84,26 +84,36 @@ def _type(node: Column) -> Column:
 def json_ld(html: Column | str) -> Column:
     """struct(type, name, description, telephone, address, url, same_as) of the page's business, else of the
     first object with a name or description; null if there is none."""
-    nodes = _nodes(col(html))
+    # nodes, node and address are bound: what follows mentions them many times
+    return let(let(_nodes(col(html)), _business), _facts)
+
+
+def _business(nodes: Column) -> Column:
     useful = "(?i)^(" + "|".join(V.USEFUL_TYPES) + ")$"
-    node = F.coalesce(F.get(F.filter(nodes, lambda n: _type(n).rlike(useful)), 0), F.get(F.filter(nodes, lambda n: _field(n, "name").isNotNull() | _field(n, "description").isNotNull()), 0))
-    raw = F.coalesce(F.get_json_object(node, "$.address[0]"), F.get_json_object(node, "$.address"))
+    return F.coalesce(F.get(F.filter(nodes, lambda n: _type(n).rlike(useful)), 0), F.get(F.filter(nodes, lambda n: _field(n, "name").isNotNull() | _field(n, "description").isNotNull()), 0))
+
+
+def _address(raw: Column) -> Column:
     parts = [_field(raw, k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
-    address = F.when(raw.startswith("{"), blank_to_null(F.concat_ws(", ", *parts))).otherwise(blank_to_null(collapse(raw)))
-    same = F.get_json_object(node, "$.sameAs")
-    listed = F.coalesce(F.from_json(F.when(same.startswith("["), same), "array<string>"), F.when(same.isNotNull(), F.array(same)), F.array().cast("array<string>"))
-    same_as = F.slice(F.array_distinct(F.filter(listed, lambda u: u.rlike("(?i)^https?://"))), 1, 8)
-    name, description, phone = F.coalesce(_field(node, "name"), _field(node, "legalName")), _field(node, "description"), _field(node, "telephone")
-    something = name.isNotNull() | description.isNotNull() | phone.isNotNull() | address.isNotNull() | (F.size(same_as) > 0)
-    return F.when(something, F.struct(_type(node).alias("type"), name.alias("name"), description.alias("description"), phone.alias("telephone"), address.alias("address"), _field(node, "url").alias("url"), same_as.alias("same_as")))
+    return F.when(raw.startswith("{"), blank_to_null(F.concat_ws(", ", *parts))).otherwise(blank_to_null(collapse(raw)))
+
+
+def _facts(node: Column) -> Column:
+    address = let(F.coalesce(F.get_json_object(node, "$.address[0]"), F.get_json_object(node, "$.address")), _address)
+    listed = lambda same: F.coalesce(F.from_json(F.when(same.startswith("["), same), "array<string>"), F.when(same.isNotNull(), F.array(same)), F.array().cast("array<string>"))
+    same_as = F.slice(F.array_distinct(F.filter(let(F.get_json_object(node, "$.sameAs"), listed), lambda u: u.rlike("(?i)^https?://"))), 1, 8)
+    name = F.coalesce(_field(node, "name"), _field(node, "legalName"))
+    made = F.struct(_type(node).alias("type"), name.alias("name"), _field(node, "description").alias("description"), _field(node, "telephone").alias("telephone"), address.alias("address"), _field(node, "url").alias("url"), same_as.alias("same_as"))
+    something = lambda f: f["name"].isNotNull() | f["description"].isNotNull() | f["telephone"].isNotNull() | f["address"].isNotNull() | (F.size(f["same_as"]) > 0)
+    return F.when(node.isNotNull(), let(made, lambda f: F.when(something(f), f)))
 
 
 def structured_text(meta: Column | str, facts: Column | str) -> Column:
     """Meta description, name and description, each once whatever its case, joined by a dash; 2000 characters at most."""
     f = col(facts)
     parts = F.filter(F.transform(F.array(col(meta), f["name"], f["description"]), lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != ""))
-    once = F.filter(parts, lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1)
-    return blank_to_null(F.left(F.array_join(once, " — "), F.lit(2000)))
+    once = lambda ps, low: F.filter(ps, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
+    return blank_to_null(F.left(F.array_join(let(parts, lambda ps: let(F.transform(ps, F.lower), lambda low: once(ps, low))), " — "), F.lit(2000)))
 
 
 # ---------------------------------------------------------------- profile pages
