@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import values as V
-from .text import blank_to_null, col, collapse, fold
+from .text import blank_to_null, col, collapse, fold, let
 
 MIN_NAME_TOKENS, MIN_COMPANY_TOKENS, MIN_SINGLE_CHARS = 3, 2, 5
 # fixed values: legal forms at a name's end
@@ -69,10 +69,10 @@ def company_tokens(raw: Column | str) -> Column:
 
 
 def _matches(candidate: Column, name: Column) -> Column:
-    a, b = F.array_join(candidate, " "), F.array_join(name, " ")
+    # an agreement with spaces is one without them, too
     ax, bx = F.array_join(candidate, ""), F.array_join(name, "")
     single = (F.length(F.get(candidate, 0)) >= MIN_SINGLE_CHARS) & (F.get(candidate, 0) == F.get(name, 0))
-    either = a.startswith(b) | b.startswith(a) | ax.startswith(bx) | bx.startswith(ax)
+    either = ax.startswith(bx) | bx.startswith(ax)
     return F.when(F.size(candidate) == 0, False).when(F.size(candidate) == 1, single).otherwise(either)
 
 
@@ -85,9 +85,10 @@ def verify_mirror_link(site_url, site_title, legal, trade) -> Column:
     """A site's title or domain label agrees with one of a company's names."""
     from .web import apex_label
 
-    title, label = company_tokens(site_title), company_tokens(apex_label(site_url))
-    agrees = lambda n: names_agree(title, n) | names_agree(label, n)
-    return F.coalesce(agrees(company_tokens(legal)) | agrees(company_tokens(trade)), F.lit(False))
+    # each side's words are computed once and bound: the test of two lists mentions both many times
+    said = F.array(company_tokens(site_title), company_tokens(apex_label(site_url)))
+    called = F.array(company_tokens(legal), company_tokens(trade))
+    return F.coalesce(let(called, lambda ns: F.exists(said, lambda c: F.exists(ns, lambda n: names_agree(c, n)))), F.lit(False))
 
 
 # ---------------------------------------------------------------- profile titles
