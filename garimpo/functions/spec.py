@@ -90,8 +90,9 @@ def _codes(v: Column) -> Column:
 
 def _first_of_key(rows: Column) -> Column:
     """Of structs with equal ``key`` the first."""
-    keys = F.transform(rows, lambda r: r["key"])
-    return F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1)
+    first = lambda rs, keys: F.filter(rs, lambda r, i: F.array_position(keys, r["key"]) == i + 1)
+    # rows and keys are bound: inside the filter they would be computed again for each row
+    return let(rows, lambda rs: let(F.transform(rs, lambda r: r["key"]), lambda keys: first(rs, keys)))
 
 
 def _targeting(t: Column) -> Column:
@@ -133,7 +134,7 @@ def _actions(v: Column) -> Column:
     one = lambda x: F.struct(F.coalesce(_key(_at(x, "value")), F.lit("")).alias("value"), F.coalesce(_text(_at(x, "label"), 80), F.lit("")).alias("label"), F.coalesce(_text(_at(x, "when"), 200), F.lit("")).alias("when"))
     sound = F.slice(F.filter(F.transform(_objects(v), one), lambda x: (x["value"] != "") & (x["label"] != "") & ~x["value"].isin(RESERVED)), 1, MOST_ACTIONS)
     usual = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip(("value", "label", "when"), row, strict=True)]) for row in DEFAULT_ACTIONS])
-    return F.when(F.size(sound) > 0, sound).otherwise(usual)
+    return let(sound, lambda rows: F.when(F.size(rows) > 0, rows).otherwise(usual))
 
 
 def _coverage(v: Column) -> Column:
@@ -177,4 +178,6 @@ def parse_specs(specs: DataFrame, text: str = "spec") -> DataFrame:
         ).alias("rubric"),
         _coverage(_at(F.col("_v"), "icpCoverage")).alias("icp_coverage"),
     )
-    return parts.withColumn("faults", faults).withColumn("parsed", F.when(F.size("faults") == 0, parsed)).select(*specs.columns, "parsed", "faults")
+    # bound again, so that faults are found once and the profile isn't built anew for each field that is read
+    told = bound(parts.withColumn("faults", faults))
+    return bound(told.withColumn("parsed", F.when(F.size("faults") == 0, parsed)).select(*specs.columns, "parsed", "faults"))

@@ -11,7 +11,7 @@ from ..operators import discovery, filters, keyed, textindex
 from ..operators.filters import CompanyFilters
 from ..streaming import continuous, loop, progress
 from . import enrichment, etl, flows
-from .driver import _CLEAN, _STORE, EST, activities, cities, est, query, raw_lines, store_tables, t
+from .driver import _CLEAN, _STORE, EST, activities, cities, dealt, est, query, raw_lines, store_tables, t
 
 DIGITS, LETTERS = "0123456789", "BCDFGHJKLM"
 
@@ -194,7 +194,7 @@ def project_specs(spark, d):
     probes = F.concat(F.lit("["), F.array_join(F.when((m == 6) | (n % 20 > 0), F.transform(F.sequence(F.lit(1), F.greatest(n % 20, F.lit(1)).cast("int")), probe)).otherwise(F.array().cast("array<string>")), ", "), F.lit("]"))
     targeting = F.concat(F.lit('{"cnaePrefixes": ["'), F.lpad(n.cast("string"), 7, "0"), F.lit('", "8-5", "x"], "ufs": '), F.when(m == 3, '"SP"').otherwise('["sp"]'), F.lit(', "minCapitalSocial": '), n.cast("string"), F.lit("}"))
     whole = F.concat(F.lit('{"summary": "s", "problem": "p", "buyer": '), F.when(m == 2, '" "').otherwise('"b"'), F.lit(', "targeting": '), targeting, F.lit(', "probes": '), probes, F.lit(', "rubric": {"axes": '), axes, F.lit("}}"))
-    out = spec.parse_specs(t(spark, d, "customer").select("c_custkey", F.when(m == 1, "[1]").otherwise(whole).alias("spec")))
+    out = spec.parse_specs(dealt(spark, d, "customer", "c_custkey").select("c_custkey", F.when(m == 1, "[1]").otherwise(whole).alias("spec")))
     told = F.array_join(F.transform("faults", lambda f: F.concat(f["path"], F.lit(": "), f["message"])), "; ")
     return out.select("c_custkey", told.alias("faults"), F.array_join("parsed.targeting.cnae_prefixes", " ").alias("codes"), F.when(F.col("parsed").isNotNull(), F.size("parsed.probes")).alias("probes"), F.col("parsed.targeting.min_capital").alias("min_capital"))
 
