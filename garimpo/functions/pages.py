@@ -121,11 +121,14 @@ def structured_text(meta: Column | str, facts: Column | str) -> Column:
 
 def wall(html: Column | str, url: Column | str, status: Column | str) -> Column:
     """What stands before a page: checkpoint, gone, auth, or null. The status decides first, then the path, then the text."""
-    s, path, text = col(status), path_of(url), extract_text(F.left(col(html), F.lit(600_000)), 20_000)
+    # the text is bound, and made only where neither status nor path decides
+    text = extract_text(F.left(col(html), F.lit(600_000)), 20_000)
+    said = lambda t: F.when(t.rlike(V.CHECKPOINT_TEXT), "checkpoint").when(t.rlike(V.GONE_TEXT), "gone").when(t.rlike(V.AUTH_TEXT) & (F.length(t) < 4_000), "auth")
+    s, path = col(status), path_of(url)
     out = F.when(s.isin(999, 429), "checkpoint").when(s.isin(404, 410), "gone").when(s == 403, "auth")
     for pattern, kind in V.WALL_PATHS:
         out = out.when(path.rlike(pattern), kind)
-    return out.when(text.rlike(V.CHECKPOINT_TEXT), "checkpoint").when(text.rlike(V.GONE_TEXT), "gone").when(text.rlike(V.AUTH_TEXT) & (F.length(text) < 4_000), "auth")
+    return out.otherwise(let(text, said))
 
 
 def _count(raw: Column) -> Column:
@@ -144,9 +147,16 @@ def employee_range(text: Column | str) -> Column:
 
 def entity_facts(html: Column | str) -> Column:
     """Facts of a company page: from its structured data first, then from its text."""
-    c = col(html)
-    text = extract_text(F.left(c, F.lit(600_000)), 20_000)
-    node = F.get(F.filter(_nodes(c), lambda n: _type(n).rlike("(?i)^(Organization|Corporation|EducationalOrganization|School)$")), 0)
+    text, node = extract_text(F.left(col(html), F.lit(600_000)), 20_000), _node(html, "Organization|Corporation|EducationalOrganization|School")
+    return let(text, lambda t: let(node, lambda n: _entity(t, n)))  # bound: each is read many times
+
+
+def _node(html: Column | str, types: str) -> Column:
+    """A page's first object of one of the types."""
+    return F.get(F.filter(_nodes(col(html)), lambda n: _type(n).rlike(f"(?i)^({types})$")), 0)
+
+
+def _entity(text: Column, node: Column) -> Column:
     low, high = _count(F.get_json_object(node, "$.numberOfEmployees.minValue")), _count(F.get_json_object(node, "$.numberOfEmployees.maxValue"))
     exact = F.coalesce(_count(F.get_json_object(node, "$.numberOfEmployees.value")), _count(F.get_json_object(node, "$.numberOfEmployees")))
     said = lambda words, what: blank_to_null(F.trim(F.regexp_extract(text, rf"(?iu)(?:{words})\s*:?\s*({what})", 1)))
@@ -161,12 +171,14 @@ def entity_facts(html: Column | str) -> Column:
 
 def profile_facts(html: Column | str) -> Column:
     """Facts of a person's page; the name falls back to the page's title."""
-    c = col(html)
-    node = F.get(F.filter(_nodes(c), lambda n: _type(n).rlike("(?i)^Person$")), 0)
+    return let(_node(html, "Person"), lambda n: _person(n, col(html)))
+
+
+def _person(node: Column, html: Column) -> Column:
     address = F.get_json_object(node, "$.address")
     place = F.when(address.startswith("{"), blank_to_null(F.concat_ws(", ", *[_field(address, k, 80) for k in ("addressLocality", "addressRegion", "addressCountry")]))).otherwise(blank_to_null(address))
     headline = F.coalesce(*[_field(node, k, 300) for k in ("jobTitle", "disambiguatingDescription", "description")])
-    return F.struct(F.coalesce(_field(node, "name", 200), title_of(c)).alias("name"), headline.alias("headline"), place.alias("location"))
+    return F.struct(F.coalesce(_field(node, "name", 200), title_of(html)).alias("name"), headline.alias("headline"), place.alias("location"))
 
 
 # ---------------------------------------------------------------- robots files

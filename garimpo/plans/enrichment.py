@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names, pages as P, registry, web
 from ..functions import values as V
+from ..functions.text import bound
 from ..operators import discovery, store
 from ..streaming.continuous import shared
 from . import flows
@@ -319,21 +320,23 @@ def estimate_cost(price_per_thousand: Column, requests: Column) -> Column:
 # ---------------------------------------------------------------- profile pages
 
 
-def plan_fetches(hits: DataFrame, companies: DataFrame, pages: DataFrame, budget: int) -> DataFrame:
+def plan_fetches(hits: DataFrame, companies: DataFrame, pages: DataFrame, budget: int | None) -> DataFrame:
     """(cnpj, url, mode): pages worth a visit: company pages whose title agrees, then profiles whose title leads with the name;
-    companies that have a page row are done; cut at the budget."""
+    companies that have a page row are done; cut at the budget, all without one."""
     told = hits.filter(F.col("kind").isin("linkedin", "linkedin_company")).join(companies.select("cnpj", "razao_social", "nome_fantasia"), "cnpj").join(pages.select("cnpj"), "cnpj", "left_anti")
     entity = (F.col("kind") == "linkedin_company") & web.is_linkedin_entity("url") & names.entity_title_matches("title", "razao_social", "nome_fantasia")
     person = (F.col("kind") == "linkedin") & web.is_linkedin_profile("url") & names.title_leads_with_name("title", F.coalesce("razao_social", "nome_fantasia"))
     mode = F.when(entity, "entity").when(person, "profile")
-    plans = told.select("cnpj", F.when(entity, web.linkedin_about_url("url")).otherwise(F.col("url")).alias("url"), mode.alias("mode")).filter("mode is not null and url is not null").distinct()
-    return plans.orderBy("mode", "cnpj", "url").limit(budget)
+    told = bound(told.select("cnpj", "url", mode.alias("mode"))).filter("mode is not null")
+    plans = told.withColumn("url", F.when(F.col("mode") == "entity", web.linkedin_about_url("url")).otherwise(F.col("url"))).filter("url is not null").distinct()
+    return plans if budget is None else plans.orderBy("mode", "cnpj", "url").limit(budget)
 
 
 def page_outcomes(fetched: DataFrame) -> DataFrame:
     """One row a visited page (cnpj, url, mode, http_status, html): status, facts and whether they say more than the name."""
-    stop = P.wall("html", "url", "http_status")
-    entity, person = P.entity_facts("html"), P.profile_facts("html")
-    out = fetched.withColumn("status", F.coalesce(stop, F.lit("ok"))).withColumn("entity", F.when((F.col("mode") == "entity") & stop.isNull(), entity)).withColumn("person", F.when((F.col("mode") == "profile") & stop.isNull(), person))
+    ok = F.col("status") == "ok"
+    # status and facts are bound, so that neither is found again for each field that is read
+    out = bound(fetched.withColumn("status", F.coalesce(P.wall("html", "url", "http_status"), F.lit("ok"))))
+    out = bound(out.withColumn("entity", F.when((F.col("mode") == "entity") & ok, P.entity_facts("html"))).withColumn("person", F.when((F.col("mode") == "profile") & ok, P.profile_facts("html"))))
     more = F.coalesce(*[F.col(f"entity.{c}").cast("string") for c in ("description", "industry", "employees_on_site", "website", "founded")], F.col("entity.employee_range.min").cast("string"), F.col("person.headline"))
     return out.withColumn("has_substance", more.isNotNull()).drop("html")
