@@ -59,22 +59,23 @@ def site_signals(pages: DataFrame, probes: dict[str, list[str]] | None = None) -
     host = first.select("site", web.host_of(F.coalesce("final_url", "url")).alias("_host"))
     read = few.join(host, "site").select("site", F.struct("position", web.emails_of("html", F.col("_host")).alias("e"), web.phones_of("html").alias("p"), web.extract_text("html").alias("t")).alias("page"))
     # at most SITE_PAGES excerpts of 8000 characters a site
-    more = read.groupBy("site").agg(F.array_sort(F.collect_list("page")).alias("_pages"))
+    more = bound(read).groupBy("site").agg(F.array_sort(F.collect_list("page")).alias("_pages"))
     out = first.join(more, "site", "left").join(host, "site")
     rest = F.coalesce("_pages", F.array().cast(more.schema["_pages"].dataType))
     own = ~F.col("is_link_hub") & ~F.col("is_dead")
     merged = lambda c, k: F.aggregate(rest, F.col(c), lambda acc, p: web.merge_contacts(acc, p[k]))
     text = F.left(F.concat_ws(" ", F.col("text_excerpt"), F.transform(rest, lambda p: p["t"])), F.lit(V.EXCERPT_CHARS))
+    out = bound(out.withColumns({"_emails": merged("emails", "e"), "_phones": merged("phones", "p")}))
     out = out.withColumns(
         {
-            "emails": F.when(own, web.rank_emails(merged("emails", "e"), F.col("_host"))),
-            "phones": F.when(own, merged("phones", "p")),
+            "emails": F.when(own, web.rank_emails("_emails", F.col("_host"))),
+            "phones": F.when(own, F.col("_phones")),
             "text_excerpt": F.when(own, text),
             "site_phone": F.when(own, F.coalesce("site_phone", F.get(F.filter(F.flatten(F.transform(rest, lambda p: F.slice(p["p"], 1, 1))), lambda x: x.isNotNull()), 0))),
             "pages_fetched": F.when(F.col("is_link_hub"), 0).otherwise(1 + F.size(rest)),
         }
     )
-    return out.withColumn("probes", flows.probed("text_excerpt", "structured_text", "is_js_shell", probes)).drop("_pages", "_host")
+    return bound(out).withColumn("probes", flows.probed("text_excerpt", "structured_text", "is_js_shell", probes)).drop("_pages", "_host", "_emails", "_phones")
 
 
 # ---------------------------------------------------------------- the pipeline
