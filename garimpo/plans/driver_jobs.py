@@ -145,7 +145,7 @@ UNION ALL SELECT 'name', cnpj, row_number() OVER (ORDER BY coalesce(nome_fantasi
 SELECT list, cnpj, CAST((n - 1) // 200 AS INTEGER) AS page FROM r WHERE n <= 1000""")
 def pages_by_token(spark, d):
     """Five pages of two hundred, each from where the one before ended: by capital, and by name with many ties."""
-    companies = est(spark, d)
+    companies = enrichment._written(est(spark, d), "registry")  # joined once; each order then samples and sorts the file
     named = companies.withColumn("razao_social", F.when(F.col("cnpj").cast("long") % 2 == 0, F.col("razao_social")))
     work, out = f"{continuous.shared(spark)}/ordered-{uuid.uuid4().hex}", None
     for order, df, f in (("capital-desc", companies, CompanyFilters(uf=["O", "P"])), ("name", named, CompanyFilters())):
