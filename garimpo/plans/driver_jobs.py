@@ -206,7 +206,8 @@ def project_specs(spark, d):
 UNION ALL SELECT '33', cnpj FROM est WHERE contains(lower(coalesce(nome_fantasia, '') || chr(10) || razao_social), '33')""")
 def substring_index(spark, d):
     """Companies whose names hold a text: one with many hits, one with few, and one too short for the index."""
-    path, registry = f"{continuous.shared(spark)}/grams-{uuid.uuid4().hex}", est(spark, d)
+    path = f"{continuous.shared(spark)}/grams-{uuid.uuid4().hex}"
+    registry = enrichment._written(est(spark, d).select("cnpj", "nome_fantasia", "razao_social"), "names")  # joined once; the index and three searches read the file
     textindex.write(registry, path, ["nome_fantasia", "razao_social"])
     out = None
     for q in ("#0000001", "ER#000000012", "33"):
