@@ -39,13 +39,13 @@ def name_prefix_pairs(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def sliced(df: DataFrame, path: str, at: str, key: str, slices: int) -> None:
-    """Rows in the order of ``at`` as slices that come one after the other; all of a key's rows of a slice lie in one file."""
+def sliced(df: DataFrame, path: str, at: str, key: str, slices: int, files: int = 2) -> None:
+    """Rows in the order of ``at`` as slices that come one after the other, each of ``files`` files at most; all of a key's rows of a slice lie in one file."""
     low, high = df.agg(F.min(at), F.max(at)).first()
     step = ((high or 0) - (low or 0)) // slices + 1
     for i in range(slices):
         part = df.filter(F.col(at).between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1))
-        part.repartition(2, key).write.mode("append").parquet(path)
+        part.repartition(files, key).write.mode("append").parquet(path)
 
 
 _LOOP = """WITH e AS (SELECT user_id AS project_id, event_id AS position, CASE WHEN event_type = 'view' THEN 'no_site' WHEN event_type <> 'error' THEN 'scored' WHEN event_id % 211 = 0 THEN 'daily' WHEN event_id % 7 = 0 THEN 'transient' ELSE 'error' END AS outcome FROM events),
@@ -65,8 +65,9 @@ def continuous_stops(spark, d):
     k, kind = F.col("event_id"), F.col("event_type")
     error = F.when(kind == "error", F.when(k % 211 == 0, "daily quota reached").when(k % 7 == 0, "429 Too Many Requests").otherwise("invalid key"))
     matches = t(spark, d, "events").select(F.col("user_id").alias("project_id"), k.alias("position"), k.cast("string").alias("cnpj"), (kind != "view").alias("evidence"), error.alias("error"))
-    sliced(matches, f"{work}/in", "position", "project_id", 5)
-    stream = continuous.stream_parquet(spark, f"{work}/in", matches.schema, 2)
+    files = max(2, spark.sparkContext.defaultParallelism)  # a slice is written and read by all cores
+    sliced(matches, f"{work}/in", "position", "project_id", 5, files)
+    stream = continuous.stream_parquet(spark, f"{work}/in", matches.schema, files)
     loop.start(spark, loop.pull(stream, budget=30), f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return loop.stops(spark.read.parquet(f"{work}/out"))
 
