@@ -65,9 +65,9 @@ def continuous_stops(spark, d):
     k, kind = F.col("event_id"), F.col("event_type")
     error = F.when(kind == "error", F.when(k % 211 == 0, "daily quota reached").when(k % 7 == 0, "429 Too Many Requests").otherwise("invalid key"))
     matches = t(spark, d, "events").select(F.col("user_id").alias("project_id"), k.alias("position"), k.cast("string").alias("cnpj"), (kind != "view").alias("evidence"), error.alias("error"))
-    files = max(2, spark.sparkContext.defaultParallelism)  # a slice is written and read by all cores
-    sliced(matches, f"{work}/in", "position", "project_id", 5, files)
-    stream = continuous.stream_parquet(spark, f"{work}/in", matches.schema, files)
+    sliced(matches, f"{work}/in", "position", "project_id", 5, max(2, spark.sparkContext.defaultParallelism))  # by all cores
+    files = len(spark.read.schema(matches.schema).parquet(f"{work}/in").inputFiles())
+    stream = continuous.stream_parquet(spark, f"{work}/in", matches.schema, max(1, -(-files // 5)))  # as many batches as slices, however many files
     loop.start(spark, loop.pull(stream, budget=30), f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return loop.stops(spark.read.parquet(f"{work}/out"))
 
